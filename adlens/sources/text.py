@@ -85,7 +85,7 @@ def parse_keyword_lines(lines: DataFrame, on_bad: str = "fail") -> DataFrame | Q
     reason = (
         F.when(n < KEYWORD_MIN_FIELDS, F.lit("too few fields"))
         .when(enabled & (n < KEYWORD_ENABLED_MIN_FIELDS), F.lit("too few fields"))
-        .when(enabled & F.try_cast(f[pos["quota_impression"]], "double").isNull(),
+        .when(enabled & F.get(f, pos["quota_impression"]).try_cast("double").isNull(),
               F.lit("quota_impression is not a number"))
     )
     tagged = lines.select("value", reason.alias("reason"))
@@ -127,7 +127,7 @@ def parse_history_lines(lines: DataFrame, excluded_accounts: Iterable[str] = (),
     numbers = [c for c in HISTORY_COLUMNS if c not in ("account_id", "client_id")]
     not_number = None
     for c in numbers:
-        bad_c = F.try_cast(f[pos[c]], "double").isNull()
+        bad_c = F.get(f, pos[c]).try_cast("double").isNull()
         not_number = bad_c if not_number is None else (not_number | bad_c)
     reason = (F.when(n < HISTORY_KEPT_MIN_FIELDS, F.lit("too few fields"))
               .when(not_number, F.lit("a number does not parse")))
