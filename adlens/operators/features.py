@@ -3,13 +3,17 @@ history projection, the history join and training rows.
 
 Plan shape (per campaign features)::
 
-    rows --(partial agg)--> (campaign, raw keyword, n, sum_qi)          [shared]
-         --> dictionary: per normalised keyword count/avg -> cluster id  (literal centres)
-         --> pre-aggregated pairs LEFT JOIN dictionary on lookup key     (AQE: broadcast if small)
-         --> GROUP BY campaign with K conditional sums                   (partial + final)
+    rows --(partial agg)--> pairs (campaign, raw keyword, n, sum_qi)    [checkpointed once]
+    pairs --> dictionary: per normalised keyword count/avg -> cluster id (literal centres)
+    pairs LEFT JOIN dictionary on lookup key                            (AQE: broadcast if small)
+          --> GROUP BY campaign with K conditional sums                 (partial + final)
 
 Rows are reduced to distinct (campaign, keyword) pairs before any join, so a
-hot keyword or campaign is already collapsed per map task.
+hot keyword or campaign is already collapsed per map task.  The pairs feed
+two branches (dictionary and labels); they are written once to the shared
+checkpoint folder so the raw rows are scanned once, not twice (Catalyst
+pushes different inferred filters into each branch, so the shuffle would not
+be reused).
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ENABLED_STATE, lookup_key, normalize_keyword, strip_dashes
+from ..session import materialize
 from .clustering import ClusterCentres, TWO_D
 from .keywords import enabled_keywords
 
@@ -35,6 +40,12 @@ def keyword_pairs(rows: DataFrame, state: str = ENABLED_STATE) -> DataFrame:
                  F.sum(F.col("quota_impression").cast("double")).alias("sum_qi")))
 
 
+def shared_pairs(rows: DataFrame, state: str = ENABLED_STATE, share: bool = True) -> DataFrame:
+    """``keyword_pairs``, checkpointed when ``share`` (read by two branches)."""
+    pairs = keyword_pairs(rows, state)
+    return materialize(pairs) if share else pairs
+
+
 def stats_from_pairs(pairs: DataFrame) -> DataFrame:
     """``keyword, n, avg_qi`` per normalised keyword, from the pre-aggregated pairs."""
     return (pairs.groupBy(normalize_keyword("keyword").alias("keyword"))
@@ -99,27 +110,30 @@ def cluster_histogram(labelled: DataFrame, k: int, label: str = "cluster_id",
 
 def campaign_cluster_features(rows: DataFrame, centres: ClusterCentres, k: int | None = None,
                               features: Sequence[str] = TWO_D, lookup_case: str = "reference",
-                              state: str = ENABLED_STATE) -> DataFrame:
-    """Keyword statistics -> labels -> per-campaign histogram, in one plan.
+                              state: str = ENABLED_STATE, pairs: DataFrame | None = None,
+                              share: bool = True) -> DataFrame:
+    """Keyword statistics -> labels -> per-campaign histogram.
 
     ``k`` defaults to the number of centres; columns are fixed by ``k``, not by
-    how many clusters the model really has.
+    how many clusters the model really has.  ``pairs`` may be passed in when
+    several feature sets are built from the same rows.
     """
     k = centres.k if k is None else k
-    pairs = keyword_pairs(rows, state)
+    pairs = shared_pairs(rows, state, share) if pairs is None else pairs
     dictionary = label_dictionary(stats_from_pairs(pairs), centres, features)
     labelled = label_pairs(pairs, dictionary, centres.default_cluster(), lookup_case)
     return cluster_histogram(labelled, k)
 
 
 def campaign_avg_of_avg(rows: DataFrame, lookup_case: str = "reference", default: float = 0.0,
-                        state: str = ENABLED_STATE) -> DataFrame:
+                        state: str = ENABLED_STATE, pairs: DataFrame | None = None,
+                        share: bool = True) -> DataFrame:
     """Per campaign, the mean over its enabled rows of the keyword's mean QI.
 
     A keyword missing from the dictionary (see ``lookup_case``) counts as
     ``default``.  ``client_id, account_id, avg_of_avg``.
     """
-    pairs = keyword_pairs(rows, state)
+    pairs = shared_pairs(rows, state, share) if pairs is None else pairs
     means = stats_from_pairs(pairs).select("keyword", "avg_qi")
     d = _dict_side(means, "avg_qi")
     left = pairs.withColumn("_lookup", lookup_key("keyword", lookup_case))

@@ -15,8 +15,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -28,24 +30,31 @@ SGD_STEP = 5e-15
 
 def gram_statistics(df: DataFrame, feature_cols: Sequence[str],
                     label: str = "label") -> tuple[np.ndarray, np.ndarray, int]:
-    """One aggregate: ``X'X`` (upper triangle), ``X'y`` and the row count."""
-    cols = [F.col(c).cast("double") for c in feature_cols]
+    """One aggregate: ``X'X``, ``X'y`` and the row count.
+
+    Each row becomes one vector ``[x_i * x_j for i <= j] + [x_i * y]`` and the
+    vectors are summed by ``Summarizer`` (a JVM aggregate with map-side partial
+    sums), so the buffer is d(d+1)/2 + d doubles per task whatever the row count.
+    """
+    d = len(feature_cols)
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
     y = F.col(label).cast("double")
-    d = len(cols)
-    aggs = []
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.sum(cols[i] * cols[j]).alias(f"xx_{i}_{j}"))
-    aggs += [F.sum(cols[i] * y).alias(f"xy_{i}") for i in range(d)]
-    aggs.append(F.count(F.lit(1)).alias("n"))
-    row = df.agg(*aggs).first()
+    upper = F.flatten(F.transform(
+        x, lambda xi, i: F.transform(F.slice(x, i + 1, F.lit(d) - i), lambda xj: xi * xj)))
+    v = array_to_vector(F.concat(upper, F.transform(x, lambda xi: xi * y)))
+    s = (df.select(v.alias("v"))
+         .select(Summarizer.metrics("sum", "count").summary(F.col("v")).alias("s"))
+         .first()["s"])
+    n = int(s["count"]) if s is not None else 0
     xtx = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            v = row[f"xx_{i}_{j}"] or 0.0
-            xtx[i, j] = xtx[j, i] = v
-    xty = np.array([row[f"xy_{i}"] or 0.0 for i in range(d)])
-    return xtx, xty, int(row["n"])
+    xty = np.zeros(d)
+    if n:
+        sums = s["sum"].toArray()
+        iu = np.triu_indices(d)
+        xtx[iu] = sums[:len(iu[0])]
+        xtx = xtx + np.triu(xtx, 1).T
+        xty = np.asarray(sums[len(iu[0]):], dtype=float)
+    return xtx, xty, n
 
 
 @dataclass
@@ -186,7 +195,7 @@ def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
     reliable lineage.
     """
     if checkpoint_inputs:
-        train, test = materialize(train), materialize(test)
+        train, test = materialize(train, spread=True), materialize(test, spread=True)
     grid = [(t, d) for t in trees for d in depths]
     res = _parallel(lambda p: _score_forest(train, test, p[0], p[1], max_bins, seed),
                     grid, parallelism)
@@ -202,7 +211,7 @@ def repeat_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depth
     """Repeated fits (one seed per repeat) -> metrics ``run, seed, num_trees, max_depth, mse``
     and the models, in run order."""
     if checkpoint_inputs:
-        train, test = materialize(train), materialize(test)
+        train, test = materialize(train, spread=True), materialize(test, spread=True)
     runs = [(t, d) for t in trees for d in depths]
     seeds = list(seeds) if seeds is not None else [100 + i for i in range(len(runs))]
     res = _parallel(lambda i: _score_forest(train, test, runs[i][0], runs[i][1], max_bins, seeds[i]),

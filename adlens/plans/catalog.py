@@ -37,6 +37,10 @@ WINDOW_SECONDS = 3600
 WATERMARK = "1 hour"
 TOP_N = 20
 SEED = 42
+# Independent forest fits submitted concurrently (each is itself distributed).
+# K-means fits stay sequential: concurrent sweeps up to K=96 exhausted a 1 GiB
+# driver heap, and the driver's heap size is not ours to choose.
+FIT_PARALLELISM = 2
 
 
 def query(fn: Query) -> Query:
@@ -268,7 +272,7 @@ def mse_fixed_weights(spark, sf):
 
 @query
 def linear_sgd(spark, sf):
-    rows = materialize(_training(spark, sf, centres_2d(), 36, C.TWO_D))
+    rows = materialize(_training(spark, sf, centres_2d(), 36, C.TWO_D), spread=True)
     cols = FT.feature_columns(FT.histogram_columns(36))
     model = R.fit_linear_sgd(rows, cols)
     train_mse = R.mse_value(model.transform(rows))
@@ -302,7 +306,8 @@ FOREST_DEPTHS = (4, 6)
 def _forest(spark, sf):
     rows = _training(spark, sf, centres_2d(), 36, C.TWO_D)
     cols = FT.feature_columns(FT.histogram_columns(36))
-    return flows.forest_regression(rows, cols, FOREST_TREES, FOREST_DEPTHS, max_bins=64, seed=SEED)
+    return flows.forest_regression(rows, cols, FOREST_TREES, FOREST_DEPTHS, max_bins=64, seed=SEED,
+                                   parallelism=FIT_PARALLELISM)
 
 
 @query
@@ -316,10 +321,10 @@ def forest_repeats(spark, sf):
     rows = _training(spark, sf, centres_2d(), 36, C.TWO_D)
     cols = FT.feature_columns(FT.histogram_columns(36))
     train_rows, test_rows = R.split_train_test(rows, 0.7, SEED, key_cols=rows.columns)
-    train = materialize(FT.to_labeled(train_rows, cols))
-    test = materialize(FT.to_labeled(test_rows, cols))
+    train = materialize(FT.to_labeled(train_rows, cols), spread=True)
+    test = materialize(FT.to_labeled(test_rows, cols), spread=True)
     metrics, _ = R.repeat_forest(train, test, [20, 20, 20], [4, 6], max_bins=64,
-                                 checkpoint_inputs=False)
+                                 checkpoint_inputs=False, parallelism=FIT_PARALLELISM)
     return metrics
 
 

@@ -49,8 +49,8 @@ def forest_regression(rows: DataFrame, feature_cols: Sequence[str], trees: Seque
     """Training rows -> hash split 70/30 -> forest grid -> (metrics, models, test rows)."""
     key_cols = [c for c in rows.columns]
     train_rows, test_rows = R.split_train_test(rows, 0.7, seed, key_cols=key_cols)
-    train = materialize(FT.to_labeled(train_rows, feature_cols))
-    test = materialize(FT.to_labeled(test_rows, feature_cols))
+    train = materialize(FT.to_labeled(train_rows, feature_cols), spread=True)
+    test = materialize(FT.to_labeled(test_rows, feature_cols), spread=True)
     metrics, models = R.grid_forest(train, test, trees, depths, max_bins, seed,
                                     parallelism=parallelism, keep_models=True,
                                     checkpoint_inputs=False)

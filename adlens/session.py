@@ -63,14 +63,27 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/adlens-staging/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    Used before iterative fits that scan the same rows many times, so that a
-    lost executor costs a re-read of the checkpoint, not the whole lineage.
+    Used before iterative fits that scan the same rows many times, and for
+    intermediate results read by two branches of one plan, so that a lost
+    executor costs a re-read of the checkpoint, not the whole lineage.
+
+    ``spread=True`` first spreads rows that AQE coalesced into fewer
+    partitions than the cluster has cores (small inputs of iterative fits),
+    so every pass of the fit uses every core.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if spread:
+        # partitions of a checkpoint are known without running anything; only
+        # small inputs end up with fewer partitions than cores
+        cores = spark.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < cores:
+            out = out.repartition(cores).checkpoint(eager=True)
+    return out
 
 
 def local_path(path: str) -> str:
