@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import form_url_encode
+from ..session import materialize
 
 DEFAULT_BASE_URL = "http://localhost:8080/main.jsp?des_cosa="
 FAILED = "error"
@@ -46,22 +49,92 @@ def throughput(df: DataFrame, width_seconds: int = 3600, ts: str = "ts") -> Data
                     F.expr(f"(requests * 1000) div {width_ms}").alias("rate_per_sec")))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[float, float | None]:
+    """Exact continuous quantiles (linear interpolation between the two
+    nearest ranks, as ``percentile`` / ``quantile_cont``) of a numeric column.
+
+    Distributed selection, no group held in one task:
+
+    1. count rows per distinct value (partial aggregation; a hot value is one row),
+    2. range-partition the distinct values and checkpoint them (stable partition ids),
+    3. per-partition totals -> prefix offsets (one row per partition),
+    4. running count inside each partition + offset = global rank span per value,
+    5. pick the values whose span holds the wanted ranks.
+
+    Only the row count and the picked values reach the driver.
+    """
+    vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
+        F.count(F.lit(1)).alias("c"))
+    ranged = materialize(vc.repartitionByRange("v").select(
+        "v", "c", F.spark_partition_id().alias("pid")))
+    totals = ranged.groupBy("pid").agg(F.sum("c").alias("t"))
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("pid", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"),
+                            "t")
+    off_rows = offsets.collect()  # one row per partition
+    n = sum(r["t"] for r in off_rows)
+    if n == 0:
+        return {p: None for p in probs}
+    off = df.sparkSession.createDataFrame([(r["pid"], r["offset"]) for r in off_rows],
+                                          "pid int, offset long")
+    upto = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (ranged.join(F.broadcast(off), "pid")
+             .withColumn("end", F.col("offset") + F.sum("c").over(upto))
+             .withColumn("start", F.col("end") - F.col("c")))
+    wanted = {}
+    for p in probs:
+        h = (n - 1) * float(p)
+        wanted[p] = (h, int(math.floor(h)), int(math.ceil(h)))
+    aggs = []
+    for i, (_, lo, hi) in enumerate(wanted.values()):
+        for tag, rank in (("lo", lo), ("hi", hi)):
+            hit = (F.col("start") <= F.lit(rank)) & (F.lit(rank) < F.col("end"))
+            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"{tag}{i}"))
+    picked = spans.agg(*aggs).first()
+    out = {}
+    for i, (p, (h, lo, _)) in enumerate(wanted.items()):
+        a, b = float(picked[f"lo{i}"]), float(picked[f"hi{i}"])
+        out[p] = a + (h - lo) * (b - a)
+    return out
+
+
 def latency_summary(df: DataFrame, percentiles: Sequence[float] = (0.5, 0.95, 0.99),
-                    accuracy: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
+                    exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, min, max and percentiles of successful-request latency.
 
-    Percentiles come from ``percentile_approx`` (a mergeable sketch: partial
-    aggregation per task, bounded memory per group); with fewer rows than
-    ``accuracy`` per group the sketch is exact and returns the lower
-    (discrete) quantile.
+    ``exact=True``: percentiles by ``exact_quantiles`` (distributed selection).
+    ``exact=False``: ``percentile_approx`` sketches of bounded size
+    (rank error <= n / accuracy), one pass.
     """
     lat = F.col("latency_ms")
+    s = successful(df)
     aggs = [F.count(F.lit(1)).alias("requests"), F.avg(lat).alias("mean_ms"),
             F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms")]
-    for p in percentiles:
-        aggs.append(F.percentile_approx(lat, float(p), accuracy).alias(f"p{int(round(p * 100))}_ms"))
-    s = successful(df)
-    return s.groupBy(*by).agg(*aggs) if by else s.agg(*aggs)
+    names = [f"p{int(round(p * 100))}_ms" for p in percentiles]
+    if not exact:
+        aggs += [F.percentile_approx(lat, float(p), accuracy).alias(nm)
+                 for p, nm in zip(percentiles, names)]
+        return s.agg(*aggs)
+    q = exact_quantiles(s, "latency_ms", percentiles)
+    return s.agg(*aggs).select(
+        "*", *[F.lit(q[p]).cast("double").alias(nm) for p, nm in zip(percentiles, names)])
+
+
+def latency_by_window(df: DataFrame, width_seconds: int = 3600, ts: str = "ts",
+                      percentiles: Sequence[float] = (0.5, 0.95, 0.99),
+                      accuracy: int = 10_000) -> DataFrame:
+    """R4 per tumbling window (the latency log of each reporting interval):
+    count, mean, min, max and sketch percentiles per window."""
+    lat = F.col("latency_ms")
+    aggs = [F.count(F.lit(1)).alias("requests"), F.avg(lat).alias("mean_ms"),
+            F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms")]
+    aggs += [F.percentile_approx(lat, float(p), accuracy).alias(f"p{int(round(p * 100))}_ms")
+             for p in percentiles]
+    return (successful(df).groupBy(F.window(ts, f"{width_seconds} seconds").alias("w"))
+            .agg(*aggs).select(F.col("w.start").alias("window_start"),
+                               F.col("w.end").alias("window_end"), *[a for a in [
+                                   "requests", "mean_ms", "min_ms", "max_ms"]],
+                               *[f"p{int(round(p * 100))}_ms" for p in percentiles]))
 
 
 def write_responses(df: DataFrame, path: str, columns: Sequence[str] = ("visitor_id", "content")) -> None:

@@ -237,8 +237,9 @@ FROM requests WHERE status <> 'error' GROUP BY 1, 2"""
 
     q["latency_summary"] = _with(REQUESTS) + """
 SELECT count(*) AS requests, round(avg(latency_ms), 6) AS mean_ms, min(latency_ms) AS min_ms,
-       max(latency_ms) AS max_ms, quantile_disc(latency_ms, 0.5) AS p50_ms,
-       quantile_disc(latency_ms, 0.95) AS p95_ms, quantile_disc(latency_ms, 0.99) AS p99_ms
+       max(latency_ms) AS max_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms,
+       round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms
 FROM requests WHERE status <> 'error'"""
 
     # Closed windows only: append mode emits a window once the watermark

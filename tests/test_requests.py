@@ -32,7 +32,26 @@ def test_latency_summary(spark):
     rows = [(1, "a", t0, float(v), "ok", "x") for v in range(1, 101)] + [(1, "a", t0, 1e9, "error", "x")]
     r = RQ.latency_summary(log(spark, rows)).first()
     assert (r.requests, r.min_ms, r.max_ms, r.mean_ms) == (100, 1.0, 100.0, 50.5)
-    assert (r.p50_ms, r.p95_ms, r.p99_ms) == (50.0, 95.0, 99.0)
+    assert (r.p50_ms, round(r.p95_ms, 9), round(r.p99_ms, 9)) == (50.5, 95.05, 99.01)
+    a = RQ.latency_summary(log(spark, rows), exact=False).first()
+    assert (a.p50_ms, a.p95_ms, a.p99_ms) == (50.0, 95.0, 99.0)
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    import numpy as np
+    vals = [7.0] * 500 + [float(v) for v in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    got = RQ.exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.9, 1.0])
+    for p, v in got.items():
+        assert v == float(np.quantile(vals, p))
+
+
+def test_latency_by_window(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", t0 + dt.timedelta(minutes=i), float(i), "ok", "x") for i in range(120)]
+    out = RQ.latency_by_window(log(spark, rows), 3600).orderBy("window_start").collect()
+    assert [r.requests for r in out] == [60, 60]
+    assert out[0].max_ms == 59.0 and out[1].min_ms == 60.0
 
 
 def test_stream_equals_batch_on_closed_windows(spark):
