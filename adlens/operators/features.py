@@ -10,8 +10,8 @@ Plan shape (per campaign features)::
 
 Rows are reduced to distinct (campaign, keyword) pairs before any join, so a
 hot keyword or campaign is already collapsed per map task.  The pairs feed
-two branches (dictionary and labels); they are written once to the shared
-checkpoint folder so the raw rows are scanned once, not twice (Catalyst
+two branches (dictionary and labels); they are written once as a table in the
+shared checkpoint folder so the raw rows are scanned once, not twice (Catalyst
 pushes different inferred filters into each branch, so the shuffle would not
 be reused).
 """
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ENABLED_STATE, lookup_key, normalize_keyword, strip_dashes
-from ..session import materialize
+from ..session import MAX_BROADCAST_ROWS, checked_broadcast, write_table
 from .clustering import ClusterCentres, TWO_D
 from .keywords import enabled_keywords
 
@@ -41,9 +41,9 @@ def keyword_pairs(rows: DataFrame, state: str = ENABLED_STATE) -> DataFrame:
 
 
 def shared_pairs(rows: DataFrame, state: str = ENABLED_STATE, share: bool = True) -> DataFrame:
-    """``keyword_pairs``, checkpointed when ``share`` (read by two branches)."""
+    """``keyword_pairs``, written once when ``share`` (read by two branches)."""
     pairs = keyword_pairs(rows, state)
-    return materialize(pairs) if share else pairs
+    return write_table(pairs, "keyword-pairs") if share else pairs
 
 
 def stats_from_pairs(pairs: DataFrame) -> DataFrame:
@@ -58,20 +58,24 @@ def label_dictionary(stats: DataFrame, centres: ClusterCentres,
     return stats.select("keyword", centres.assign(features).alias("cluster_id"))
 
 
-def _dict_side(dictionary: DataFrame, value: str) -> DataFrame:
-    return dictionary.select(F.col("keyword").alias("_dict_key"), F.col(value).alias("_dict_value"))
+def _dict_side(dictionary: DataFrame, value: str,
+               max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+    d = dictionary.select(F.col("keyword").alias("_dict_key"), F.col(value).alias("_dict_value"))
+    return d if max_broadcast_rows is None else checked_broadcast(d, max_broadcast_rows)
 
 
 def label_keywords(rows: DataFrame, dictionary: DataFrame, default: Column | int | float,
                    lookup_case: str = "reference", value: str = "cluster_id",
-                   state: str = ENABLED_STATE) -> DataFrame:
+                   state: str = ENABLED_STATE,
+                   max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
     """J2 + P5: every enabled row with its dictionary value, ``default`` on a miss.
 
     ``client_id, account_id, keyword (raw), <value>``.  A left join, so the
-    dictionary may be any size; AQE broadcasts it only when its measured size
-    is under the threshold.
+    dictionary may be any size: it is broadcast when its counted size is
+    under ``max_broadcast_rows``, else the join is sort-merge (AQE splits
+    skewed partitions).  ``None`` leaves the choice to the optimizer.
     """
-    d = _dict_side(dictionary, value)
+    d = _dict_side(dictionary, value, max_broadcast_rows)
     dflt = default if isinstance(default, Column) else F.lit(default)
     left = enabled_keywords(rows, state).select(
         *CAMPAIGN, "keyword", lookup_key("keyword", lookup_case).alias("_lookup"))
@@ -80,9 +84,10 @@ def label_keywords(rows: DataFrame, dictionary: DataFrame, default: Column | int
 
 
 def label_pairs(pairs: DataFrame, dictionary: DataFrame, default: Column | int | float,
-                lookup_case: str = "reference", value: str = "cluster_id") -> DataFrame:
-    """J2 on pre-aggregated pairs: ``client_id, account_id, n, sum_qi, <value>``."""
-    d = _dict_side(dictionary, value)
+                lookup_case: str = "reference", value: str = "cluster_id",
+                max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+    """J2 on pre-aggregated pairs: ``client_id, account_id, n, <value>``."""
+    d = _dict_side(dictionary, value, max_broadcast_rows)
     dflt = default if isinstance(default, Column) else F.lit(default)
     left = pairs.withColumn("_lookup", lookup_key("keyword", lookup_case))
     return (left.join(d, left["_lookup"] == d["_dict_key"], "left")
@@ -135,7 +140,7 @@ def campaign_avg_of_avg(rows: DataFrame, lookup_case: str = "reference", default
     """
     pairs = shared_pairs(rows, state, share) if pairs is None else pairs
     means = stats_from_pairs(pairs).select("keyword", "avg_qi")
-    d = _dict_side(means, "avg_qi")
+    d = _dict_side(means, "avg_qi", MAX_BROADCAST_ROWS)
     left = pairs.withColumn("_lookup", lookup_key("keyword", lookup_case))
     joined = left.join(d, left["_lookup"] == d["_dict_key"], "left")
     v = F.coalesce("_dict_value", F.lit(float(default)))

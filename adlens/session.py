@@ -11,7 +11,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -66,17 +68,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    Used before iterative fits that scan the same rows many times, and for
-    intermediate results read by two branches of one plan, so that a lost
-    executor costs a re-read of the checkpoint, not the whole lineage.
+    For inputs of iterative fits that scan the same rows many times: a lost
+    executor costs a re-read of the checkpoint, not the whole lineage.  The
+    frame is persisted while it is checkpointed, so the plan runs once (an
+    unpersisted checkpoint computes it twice: for the count, then for the
+    write).
 
-    ``spread=True`` first spreads rows that AQE coalesced into fewer
-    partitions than the cluster has cores (small inputs of iterative fits),
-    so every pass of the fit uses every core.
+    ``spread=True`` spreads rows that AQE coalesced into fewer partitions
+    than the cluster has cores (small inputs), so every pass of a fit uses
+    every core.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
     if spread:
         # partitions of a checkpoint are known without running anything; only
         # small inputs end up with fewer partitions than cores
@@ -86,6 +94,36 @@ def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     return out
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back.
+
+    For intermediates read by several branches of a plan: one pass computes
+    them, readers get column pruning, and the planner sees the real size.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Row bound under which a lookup table is broadcast (each row is a keyword and
+# an id or a double: about 100 bytes, so the bound keeps it near 100 MB).
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      name: str = "lookup") -> DataFrame:
+    """Broadcast ``df`` only when its row count is proven small.
+
+    The frame is written once (``write_table``); its row count then comes
+    from parquet metadata, and the join reads exactly the rows counted.
+    Above the bound the join stays a (skew-aware) sort-merge join.  Deciding
+    before the join avoids shuffling the large side only to learn at runtime
+    that the small side could have been broadcast.
+    """
+    small = write_table(df, name)
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for local-only helpers (tests)."""
     return path[5:] if path.startswith("file:") else os.fspath(path)
