@@ -342,7 +342,10 @@ def forest_residuals(spark, sf):
 # ---- id join, unit scaling, decision tree ---------------------------------------------
 
 def _joined(spark, sf):
-    return TM.join_on_id(TB.a_ml(spark, sf), TB.b_ml(spark, sf))
+    """Both inputs through the table scan (S3), as views named like the originals."""
+    TB.a_ml(spark, sf).createOrReplaceTempView("a_ml")
+    TB.b_ml(spark, sf).createOrReplaceTempView("b_ml")
+    return TM.join_on_id(TX.read_table(spark, "a_ml"), TX.read_table(spark, "b_ml"))
 
 
 @query

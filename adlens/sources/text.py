@@ -173,5 +173,10 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, name: str, database: str | None = None) -> DataFrame:
-    """S3: a metastore table, optionally qualified by database."""
+    """S3: a metastore table or view, optionally qualified by database."""
     return spark.table(f"{database}.{name}" if database else name)
+
+
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Append a metrics table (grid results, progress) to a parquet log."""
+    metrics.write.mode("append").parquet(path)

@@ -95,3 +95,12 @@ def test_text_roundtrip_through_files(spark, tmp_table_dir):
     back = TX.read_keyword_rows(spark, tmp_table_dir).withColumn(
         "quota_impression", F.col("quota_impression").cast("double"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, src.collect()))
+
+
+def test_read_table_and_append_metrics(spark, tmp_table_dir):
+    spark.createDataFrame([(1, 2.0)], "id long, age double").createOrReplaceTempView("t_scan")
+    assert TX.read_table(spark, "t_scan").first().age == 2.0
+    m = spark.createDataFrame([(20, 4, 1.5)], "num_trees int, max_depth int, mse double")
+    TX.append_metrics(m, tmp_table_dir)
+    TX.append_metrics(m, tmp_table_dir)
+    assert spark.read.parquet(tmp_table_dir).count() == 2
