@@ -153,28 +153,37 @@ def assign_clusters_2d(spark, sf):
     return s.select("keyword", "n", r6("avg_qi").alias("avg_qi"), "cluster_id")
 
 
+def _two_rows(stats: DataFrame, per_set) -> DataFrame:
+    """One aggregate over the statistics for both centre sets, stacked into rows."""
+    sets = [(1, centres_1d(), C.ONE_D), (2, centres_2d(), C.TWO_D)]
+    aggs, structs = [], []
+    for dims, c, feats in sets:
+        a, st = per_set(dims, c, feats)
+        aggs += a
+        structs.append(st)
+    return stats.agg(*aggs).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
 @query
 def default_cluster(spark, sf):
     """Cluster of the zero vector, and how many keywords share it, per centre set."""
-    out = None
-    for dims, c in ((1, centres_1d()), (2, centres_2d())):
-        feats = C.ONE_D if dims == 1 else C.TWO_D
-        dflt = c.default_cluster()
-        part = (_stats(spark, sf).agg(F.count_if(c.assign(feats) == dflt).alias("keywords_in_default"))
-                .select(F.lit(dims).alias("dims"), dflt.alias("default_cluster"), "keywords_in_default"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    def per_set(dims, c, feats):
+        d = c.default_cluster()
+        return ([F.count_if(c.assign(feats) == d).alias(f"in{dims}")],
+                F.struct(F.lit(dims).alias("dims"), d.alias("default_cluster"),
+                         F.col(f"in{dims}").alias("keywords_in_default")))
+    return _two_rows(_stats(spark, sf), per_set)
 
 
 @query
 def dispersion_fixed_centres(spark, sf):
-    out = None
-    for dims, c in ((1, centres_1d()), (2, centres_2d())):
-        feats = C.ONE_D if dims == 1 else C.TWO_D
-        part = C.dispersion(_stats(spark, sf), c, feats, dim=0).select(
-            F.lit(dims).alias("dims"), F.lit(c.k).alias("k"), r6("dispersion").alias("dispersion"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    def per_set(dims, c, feats):
+        cid = c.assign(feats)
+        dev = F.abs(F.col(feats[0]) - c.coordinate(cid, 0))
+        return ([F.avg(dev).alias(f"disp{dims}")],
+                F.struct(F.lit(dims).alias("dims"), F.lit(c.k).alias("k"),
+                         r6(f"disp{dims}").alias("dispersion")))
+    return _two_rows(_stats(spark, sf), per_set)
 
 
 @query
