@@ -58,3 +58,12 @@ def campaign_key(client: str | Column, account: str | Column) -> Column:
 def form_url_encode(c: str | Column) -> Column:
     """``application/x-www-form-urlencoded`` in UTF-8 (blank -> ``+``)."""
     return F.url_encode(_col(c))
+
+
+def strict_double(c: str | Column, what: str = "number") -> Column:
+    """Cast to double, failing on text that is not a number whatever the ANSI
+    setting of the session (a null stays null)."""
+    col = _col(c)
+    return F.when(col.isNotNull() & col.try_cast("double").isNull(),
+                  F.raise_error(F.concat(F.lit(f"{what} is not a number: "), col.cast("string")))
+                  ).otherwise(col.cast("double"))

@@ -24,7 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ENABLED_STATE, lookup_key, normalize_keyword, strip_dashes
+from ..functions.text import (ENABLED_STATE, lookup_key, normalize_keyword, strict_double,
+                              strip_dashes)
 from ..session import MAX_BROADCAST_ROWS, checked_broadcast, write_table
 from .clustering import ClusterCentres, TWO_D
 from .keywords import enabled_keywords
@@ -37,7 +38,7 @@ def keyword_pairs(rows: DataFrame, state: str = ENABLED_STATE) -> DataFrame:
     return (enabled_keywords(rows, state)
             .groupBy(*CAMPAIGN, "keyword")
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.col("quota_impression").cast("double")).alias("sum_qi")))
+                 F.sum(strict_double("quota_impression", "quota_impression")).alias("sum_qi")))
 
 
 def shared_pairs(rows: DataFrame, state: str = ENABLED_STATE, share: bool = True) -> DataFrame:
@@ -159,9 +160,9 @@ def campaign_history(history: DataFrame, excluded_accounts: Iterable[str] = ())
     return kept.select(
         strip_dashes("client_id").alias("client_id"),
         F.col("account_id"),
-        F.col("quota_impression").cast("double").alias("label"),
-        F.col("impression").cast("double").alias("impression"),
-        F.col("max_cpc").cast("double").alias("max_cpc"),
+        strict_double("quota_impression", "quota_impression").alias("label"),
+        strict_double("impression", "impression").alias("impression"),
+        strict_double("max_cpc", "max_cpc").alias("max_cpc"),
     )
 
 

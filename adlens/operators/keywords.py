@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ENABLED_STATE, normalize_keyword
+from ..functions.text import ENABLED_STATE, normalize_keyword, strict_double
 
 
 def enabled_keywords(rows: DataFrame, state: str = ENABLED_STATE) -> DataFrame:
@@ -29,7 +29,7 @@ def keyword_qi(rows: DataFrame, state: str = ENABLED_STATE) -> DataFrame:
         "client_id", "account_id",
         F.col("keyword").alias("raw_keyword"),
         normalize_keyword("keyword").alias("keyword"),
-        F.col("quota_impression").cast("double").alias("quota_impression"),
+        strict_double("quota_impression", "quota_impression").alias("quota_impression"),
     )
 
 

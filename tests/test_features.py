@@ -76,3 +76,32 @@ def test_avg_of_avg_defaults_to_zero(spark):
     assert r.avg_of_avg == (0.0 + 6.0) / 2
     r = FT.campaign_avg_of_avg(rows, "normalized").collect()[0]
     assert r.avg_of_avg == 6.0
+
+
+def test_histogram_with_a_hot_keyword_equals_brute_force(spark):
+    """One keyword holds a third of all rows; compare with a plain-Python count."""
+    import random
+    from collections import Counter
+    rnd = random.Random(3)
+    words = ["Hot Key"] * 600 + [f"kw {rnd.randint(0, 40)}" for _ in range(1200)]
+    data = [(str(rnd.randint(0, 9)), f"a{rnd.randint(0, 2)}", w,
+             "enabled" if rnd.random() < 0.9 else "paused", float(rnd.randint(1, 50))) for w in words]
+    rows = kw(spark, data).repartition(6)
+    centres = C.fixed_centres_2d(36)
+    got = {(r.client_id, r.account_id): tuple(r[f"k{i}"] for i in range(36))
+           for r in FT.campaign_cluster_features(rows, centres, 36).collect()}
+    enabled = [d for d in data if d[3] == "enabled"]
+    cnt, tot = Counter(), Counter()
+    for d in enabled:
+        key = d[2].lower().replace(" ", "")
+        cnt[key] += 1
+        tot[key] += d[4]
+    label = {k: centres.predict((cnt[k], tot[k] / cnt[k])) for k in cnt}
+    default = centres.predict((0.0, 0.0))
+    want = {}
+    for d in enabled:
+        lk = d[2].replace(" ", "")
+        lab = label.get(lk, default)
+        h = want.setdefault((d[0], d[1]), [0] * 36)
+        h[lab] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}

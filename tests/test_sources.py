@@ -104,3 +104,38 @@ def test_read_table_and_append_metrics(spark, tmp_table_dir):
     TX.append_metrics(m, tmp_table_dir)
     TX.append_metrics(m, tmp_table_dir)
     assert spark.read.parquet(tmp_table_dir).count() == 2
+
+
+def test_bad_number_fails_with_ansi_off(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        rows = TX.parse_keyword_lines(lines_df(spark, [keyword_line(qi="abc")]))
+        with pytest.raises(PySparkException):
+            K.keyword_means(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def jvm_split_size(line: str, sep: str) -> int:
+    """Python model of java.lang.String.split(sep).length."""
+    if line == "":
+        return 1
+    parts = line.split(sep)
+    while parts and parts[-1] == "":
+        parts.pop()
+    return len(parts)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="ab; ", max_size=12), min_size=1, max_size=8))
+def test_field_count_matches_jvm_split(spark, lines):
+    # all-separator lines differ (JVM gives 0 fields, rtrim + split gives 1): both are too short
+    lines = [x for x in lines if x == "" or x.strip(";") != ""]
+    if not lines:
+        return
+    got = [r.n for r in lines_df(spark, lines).select(TX.jvm_field_count(";").alias("n")).collect()]
+    assert got == [jvm_split_size(x, ";") for x in lines]
