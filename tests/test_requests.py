@@ -70,3 +70,27 @@ def test_write_responses_appends(spark, tmp_table_dir):
     RQ.write_responses(df, tmp_table_dir)
     RQ.write_responses(df, tmp_table_dir)
     assert spark.read.parquet(tmp_table_dir).count() == 2
+
+
+def test_stream_late_rows_and_restart(spark, tmp_table_dir):
+    """Three runs over a growing folder with one checkpoint: rows inside the
+    watermark still count, a row for an already-closed window is dropped."""
+    schema = ("visitor_id long, search_text string, ts timestamp_ntz, latency_ms double, "
+              "status string, content string")
+    src, out, ck = tmp_table_dir + "/src", tmp_table_dir + "/out", tmp_table_dir + "/ck"
+
+    def at(h, m):
+        return dt.datetime(2024, 1, 1, h, m)
+
+    batches = [
+        [at(0, 10), at(0, 20), at(1, 30), at(3, 10)],
+        [at(0, 30), at(2, 50), at(3, 20)],      # 00:30 is behind the watermark (02:10)
+        [at(5, 30)],
+    ]
+    for i, times in enumerate(batches):
+        spark.createDataFrame([(1, "q", t, 1.0, "ok", "x") for t in times], schema) \
+            .write.mode("overwrite").parquet(f"{src}/b{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        ST.run_available(ST.throughput_stream(stream, 3600, "1 hour"), "late", out, ck)
+    got = {r.window_start: r.requests for r in spark.read.parquet(out).collect()}
+    assert got == {at(0, 0): 2, at(1, 0): 1, at(2, 0): 1, at(3, 0): 2}
