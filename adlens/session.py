@@ -38,6 +38,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: float, total_cores: int, shuffle_ratio: float = 0.1,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings for a large run, derived from the input size.
+
+    * scan splits of ``target_partition_bytes`` (column-pruned parquet reads
+      stay well inside one executor core's memory share);
+    * initial shuffle partitions sized for the largest expected shuffle
+      (``shuffle_ratio`` of the input: pairs are pre-aggregated before any
+      shuffle), at least 2 waves of the cluster, AQE coalescing the rest;
+    * AQE skew-join splitting on, so a key holding a large share of a join
+      side is split across tasks.
+
+    The caller applies them when building its session; the library never
+    changes the settings of a session it is given.
+    """
+    shuffle_bytes = input_bytes * shuffle_ratio
+    partitions = max(2 * total_cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only where it is unset.
 

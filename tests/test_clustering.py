@@ -65,3 +65,12 @@ def test_sweep_and_select_best(spark):
     assert rows[6].dispersion < rows[1].dispersion
     best = C.select_best(metrics, "dispersion").first()
     assert best.dispersion == min(r.dispersion for r in rows.values())
+
+
+def test_scale_conf_sizes_partitions():
+    from adlens.session import scale_conf
+    conf = scale_conf(100e12, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 16000
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(1e9, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
