@@ -125,9 +125,8 @@ def assign_clusters(stats: DataFrame, model: KMeansModel | ClusterCentres,
                     features: Sequence[str] = ONE_D, output: str = "cluster_id") -> DataFrame:
     """M5 through the model's own ``transform`` when it is a fitted ``KMeansModel``."""
     if isinstance(model, KMeansModel):
-        out = model.setPredictionCol(output).setFeaturesCol("features").transform(
-            assemble(stats, features))
-        return out.drop("features")
+        m = model.copy().setPredictionCol(output).setFeaturesCol("features")
+        return m.transform(assemble(stats, features)).drop("features")
     return assign_to_centres(stats, model, features, output)
 
 

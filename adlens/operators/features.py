@@ -182,8 +182,8 @@ def training_rows(joined: DataFrame, extra: Sequence[str]) -> DataFrame:
 
 
 def to_labeled(df: DataFrame, feature_cols: Sequence[str], label: str = "label",
-               output: str = "features") -> DataFrame:
-    """P10: ``label, features`` (dense vector) for the ML estimators."""
+               output: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """P10: ``label, features`` (dense vector) for the ML estimators (+ ``keep``)."""
     return VectorAssembler(inputCols=list(feature_cols), outputCol=output,
                            handleInvalid="error").transform(df).select(
-        F.col(label).cast("double").alias("label"), output)
+        F.col(label).cast("double").alias("label"), output, *keep)

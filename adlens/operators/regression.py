@@ -144,6 +144,21 @@ def predict(df: DataFrame, model) -> DataFrame:
 
 # ---- split ------------------------------------------------------------------
 
+SPLIT_BUCKETS = 1_000_000
+
+
+def split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
+    """A stable bucket in ``[0, SPLIT_BUCKETS)`` from a hash of the row's columns."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(SPLIT_BUCKETS))
+
+
+def split_by_bucket(df: DataFrame, train_fraction: float = 0.7,
+                    bucket: str = "_bucket") -> tuple[DataFrame, DataFrame]:
+    cut = F.lit(int(round(train_fraction * SPLIT_BUCKETS)))
+    return (df.filter(F.col(bucket) < cut).drop(bucket),
+            df.filter(F.col(bucket) >= cut).drop(bucket))
+
+
 def split_train_test(df: DataFrame, train_fraction: float = 0.7, seed: int = 42,
                      key_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """70/30 split.
@@ -155,9 +170,7 @@ def split_train_test(df: DataFrame, train_fraction: float = 0.7, seed: int = 42,
     if key_cols is None:
         train, test = df.randomSplit([train_fraction, 1.0 - train_fraction], seed)
         return train, test
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(1_000_000))
-    cut = F.lit(int(round(train_fraction * 1_000_000)))
-    return df.filter(bucket < cut), df.filter(bucket >= cut)
+    return split_by_bucket(df.withColumn("_bucket", split_bucket(key_cols, seed)), train_fraction)
 
 
 # ---- forests ----------------------------------------------------------------

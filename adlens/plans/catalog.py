@@ -331,9 +331,7 @@ def forest_grid(spark, sf):
 def forest_repeats(spark, sf):
     rows = _training(spark, sf, centres_2d(), 36, C.TWO_D)
     cols = FT.feature_columns(FT.histogram_columns(36))
-    train_rows, test_rows = R.split_train_test(rows, 0.7, SEED, key_cols=rows.columns)
-    train = materialize(FT.to_labeled(train_rows, cols), spread=True)
-    test = materialize(FT.to_labeled(test_rows, cols), spread=True)
+    train, test = flows.labeled_split(rows, cols, SEED)
     metrics, _ = R.repeat_forest(train, test, [20, 20, 20], [4, 6], max_bins=64,
                                  checkpoint_inputs=False, parallelism=FIT_PARALLELISM)
     return metrics

@@ -47,11 +47,17 @@ def forest_regression(rows: DataFrame, feature_cols: Sequence[str], trees: Seque
                       depths: Sequence[int], max_bins: int = 1024, seed: int = 42,
                       parallelism: int = 1):
     """Training rows -> hash split 70/30 -> forest grid -> (metrics, models, test rows)."""
-    key_cols = [c for c in rows.columns]
-    train_rows, test_rows = R.split_train_test(rows, 0.7, seed, key_cols=key_cols)
-    train = materialize(FT.to_labeled(train_rows, feature_cols), spread=True)
-    test = materialize(FT.to_labeled(test_rows, feature_cols), spread=True)
+    train, test = labeled_split(rows, feature_cols, seed)
     metrics, models = R.grid_forest(train, test, trees, depths, max_bins, seed,
                                     parallelism=parallelism, keep_models=True,
                                     checkpoint_inputs=False)
     return metrics, models, test
+
+
+def labeled_split(rows: DataFrame, feature_cols: Sequence[str], seed: int = 42,
+                  train_fraction: float = 0.7):
+    """Label/feature rows checkpointed once (spread over all cores) with a
+    stable hash bucket; train and test are filters over that one checkpoint."""
+    with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed))
+    labeled = materialize(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]), spread=True)
+    return R.split_by_bucket(labeled, train_fraction)

@@ -17,10 +17,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
-    qe = df._jdf.queryExecution()
-    df._jdf.collect() if False else None
-    return qe.executedPlan().toString()
+    """Run the frame's own query execution, then print its final AQE plan."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def summarise(plan: str) -> dict:
