@@ -285,8 +285,11 @@ def linear_sgd(spark, sf):
     cols = FT.feature_columns(FT.histogram_columns(36))
     model = R.fit_linear_sgd(rows, cols)
     train_mse = R.mse_value(model.transform(rows))
-    return model.weights_frame(spark).withColumn("training_mse", F.lit(train_mse)) \
-        .withColumn("iterations", F.lit(model.iterations_run))
+    # weights are ~1e-9: shown to 8 significant digits (fixed decimals would zero them)
+    return model.weights_frame(spark).select(
+        "position", "feature", F.format_string("%.8e", "weight").alias("weight_sci"),
+        F.round(F.lit(train_mse), 6).alias("training_mse"),
+        F.lit(model.iterations_run).alias("iterations"))
 
 
 @query

@@ -82,14 +82,56 @@ def _hist(k: int, dims: int) -> str:
 hist AS (SELECT client_id, account_id, {_kcols(k)} FROM labelled GROUP BY client_id, account_id)"""
 
 
-def _training(k: int, dims: int) -> str:
+def _training_ctes(k: int, dims: int) -> list[str]:
     c = CENTRES_1D if dims == 1 else CENTRES_2D
     d = DICT_1D if dims == 1 else DICT_2D
     ks = ", ".join(f"h2.k{i}" for i in range(k))
-    return _with(KEYWORD_ROWS, HISTORY_ROWS, ENABLED, STATS, c, d, _hist(k, dims), HISTORY) + f"""
-SELECT h.client_id, h.account_id, round(h.label, 6) AS label, round(h.impression, 6) AS impression,
-       round(h.max_cpc, 6) AS max_cpc, {ks}
-FROM history h JOIN hist h2 ON h.client_id = h2.client_id AND h.account_id = h2.account_id"""
+    train = f"""train AS (
+  SELECT h.client_id, h.account_id, h.label, h.impression, h.max_cpc, {ks}
+  FROM history h JOIN hist h2 ON h.client_id = h2.client_id AND h.account_id = h2.account_id)"""
+    return [KEYWORD_ROWS, HISTORY_ROWS, ENABLED, STATS, c, d, _hist(k, dims), HISTORY, train]
+
+
+def _training(k: int, dims: int) -> str:
+    ks = ", ".join(f"k{i}" for i in range(k))
+    return _with(*_training_ctes(k, dims)) + f"""
+SELECT client_id, account_id, round(label, 6) AS label, round(impression, 6) AS impression,
+       round(max_cpc, 6) AS max_cpc, {ks}
+FROM train"""
+
+
+def _linear_sgd(k: int = 36, iterations: int = 300, step: str = "5e-15") -> str:
+    """Full-batch gradient descent as a recursive CTE over the Gram matrix."""
+    names = ["impression", "max_cpc"] + [f"k{i}" for i in range(k)]
+    d = len(names)
+    xs = ", ".join(f"CAST({c} AS DOUBLE)" for c in names)
+    name_list = ", ".join(f"'{c}'" for c in names)
+    ctes = _training_ctes(k, 2) + [
+        f"feat AS (SELECT row_number() OVER () AS rid, label, [{xs}] AS x FROM train)",
+        f"xl AS (SELECT rid, label, unnest(x) AS v, unnest(range(0, {d})) AS i FROM feat)",
+        "gram AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS g FROM xl a JOIN xl b ON a.rid = b.rid "
+        "GROUP BY a.i, b.i)",
+        "xty AS (SELECT i, sum(v * label) AS b FROM xl GROUP BY i)",
+        "nn AS (SELECT count(*) AS n FROM feat)",
+        f"""w(t, i, w) AS (
+  SELECT 0, i, CAST(0.0 AS DOUBLE) FROM xty
+  UNION ALL
+  SELECT wj.t + 1, g.i,
+         max(CASE WHEN g.j = g.i THEN wj.w END)
+           - ({step} / sqrt(wj.t + 1)) * ((sum(g.g * wj.w) - max(x.b)) / max(nn.n))
+  FROM w wj JOIN gram g ON g.j = wj.i JOIN xty x ON x.i = g.i CROSS JOIN nn
+  WHERE wj.t < {iterations}
+  GROUP BY wj.t, g.i)""",
+        f"fin AS (SELECT i, w FROM w WHERE t = {iterations})",
+        "pred AS (SELECT xl.rid, max(xl.label) AS label, sum(xl.v * fin.w) AS p "
+        "FROM xl JOIN fin USING (i) GROUP BY xl.rid)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT CAST(i AS INTEGER) AS position, list_extract([{name_list}], i + 1) AS feature,
+       printf('%.8e', w) AS weight_sci,
+       (SELECT round(avg((label - p) * (label - p)), 6) FROM pred) AS training_mse,
+       {iterations} AS iterations
+FROM fin"""
 
 
 def _fixed_pred() -> str:
@@ -208,6 +250,8 @@ SELECT h.client_id, h.account_id, round(h.label, 6) AS label, round(h.impression
        round(h.max_cpc, 6) AS max_cpc, round(a.avg_of_avg, 6) AS avg_of_avg
 FROM history h JOIN avgavg a ON h.client_id = a.client_id AND h.account_id = a.account_id"""
 
+    q["linear_sgd"] = _linear_sgd()
+
     q["linear_fixed_weights_residuals"] = _fixed_pred() + """
 SELECT client_id, account_id, round(label, 6) AS label, round(prediction, 6) AS prediction,
        round(label - prediction, 6) AS residual FROM pred"""
