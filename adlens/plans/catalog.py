@@ -378,8 +378,8 @@ def unit_scale(spark, sf):
 def decision_tree_fit(spark, sf):
     _, pred = TM.fit_tree_pipeline(_joined(spark, sf))
     arr = vector_to_array("features")
-    return pred.select("label", arr[0].alias("age_years"), arr[1].alias("high_meters"),
-                       "prediction")
+    return pred.select(r6("label").alias("label"), r6(arr[0]).alias("age_years"),
+                       r6(arr[1]).alias("high_meters"), r6("prediction").alias("prediction"))
 
 
 # ---- request log --------------------------------------------------------------------

@@ -268,6 +268,15 @@ SELECT count(*) AS rows, round(avg((label - prediction) * (label - prediction)),
 SELECT round(CAST(weight AS DOUBLE), 6) AS label, round(age / 12.0, 6) AS age_years,
        round(high / 100.0, 6) AS high_meters FROM ab"""
 
+    # A depth-30 variance tree with more bins than distinct feature values
+    # isolates every distinct (age, high) pair of its training rows (labels are
+    # continuous, so no split has zero gain): each prediction is the mean
+    # label of the rows sharing its features.
+    q["decision_tree_fit"] = _with(ab) + """
+SELECT round(CAST(weight AS DOUBLE), 6) AS label, round(age / 12.0, 6) AS age_years,
+       round(high / 100.0, 6) AS high_meters,
+       round(avg(weight) OVER (PARTITION BY age, high), 6) AS prediction FROM ab"""
+
     q["request_urls"] = _with(REQUESTS) + f"""
 SELECT visitor_id,
        '{_url()}' || replace(replace(url_encode(search_text), '%20', '+'), '~', '%7E')
