@@ -74,3 +74,13 @@ def test_scale_conf_sizes_partitions():
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(1e9, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_keyword_clustering_flow(spark):
+    from adlens.plans import flows
+    from adlens.sources.tables import keyword_rows
+    from conftest import SF_SMALL
+    metrics, fits = flows.keyword_clustering(keyword_rows(spark, SF_SMALL), [1, 6], C.TWO_D, max_iter=5)
+    rows = {r.k: r for r in metrics.collect()}
+    assert set(rows) == {1, 6} and fits[6].k <= 6 and fits[1].k == 1
+    assert rows[1].dispersion == pytest.approx(15.143333, abs=1e-5)   # FIXTURES: K=1 at sf0.001

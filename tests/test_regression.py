@@ -95,3 +95,11 @@ def test_forest_grid_and_repeats(spark):
     m2, models = R.repeat_forest(train, test, [3], [2, 4], max_bins=32, seeds=[1, 2])
     assert m2.count() == 2 and len(models) == 2
     assert "Tree" in R.describe(models[0])
+
+
+def test_fit_linear_solves_least_squares(spark):
+    m = R.fit_linear(frame(spark), ["x0", "x1"], fitIntercept=False, regParam=0.0)
+    x = np.array([[r[1], r[2]] for r in ROWS])
+    y = np.array([r[0] for r in ROWS])
+    want, *_ = np.linalg.lstsq(x, y, rcond=None)
+    assert np.allclose(m.coefficients.toArray(), want, rtol=1e-6)
