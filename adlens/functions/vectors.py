@@ -48,11 +48,15 @@ def nearest_centre(features: Sequence[str | Column], centres: Centres,
 
 def centre_coordinate(cluster_id: str | Column, centres: Centres, dim: int,
                       ids: Sequence[int] | None = None) -> Column:
-    """Coordinate ``dim`` of the centre with the given id."""
-    ids = list(range(len(centres))) if ids is None else list(ids)
+    """Coordinate ``dim`` of the centre with the given id.
+
+    A lookup by position in a literal array, so ``cluster_id`` appears once in
+    the expression tree (a ``CASE`` over K ids would copy a nearest-centre
+    expression K times, K^2 distance terms in all).
+    """
     cid = F.col(cluster_id) if isinstance(cluster_id, str) else cluster_id
-    expr = None
-    for i, c in zip(ids, centres):
-        cond = cid == F.lit(int(i))
-        expr = F.when(cond, F.lit(float(c[dim]))) if expr is None else expr.when(cond, F.lit(float(c[dim])))
-    return expr
+    coords = F.array(*[F.lit(float(c[dim])) for c in centres])
+    if ids is None or list(ids) == list(range(len(centres))):
+        return F.get(coords, cid)
+    id_array = F.array(*[F.lit(int(i)) for i in ids])
+    return F.get(coords, F.array_position(id_array, cid).cast("int") - 1)
