@@ -126,15 +126,15 @@ def latency_by_window(df: DataFrame, width_seconds: int = 3600, ts: str = "ts",
     """R4 per tumbling window (the latency log of each reporting interval):
     count, mean, min, max and sketch percentiles per window."""
     lat = F.col("latency_ms")
+    names = [f"p{int(round(p * 100))}_ms" for p in percentiles]
     aggs = [F.count(F.lit(1)).alias("requests"), F.avg(lat).alias("mean_ms"),
             F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms")]
-    aggs += [F.percentile_approx(lat, float(p), accuracy).alias(f"p{int(round(p * 100))}_ms")
-             for p in percentiles]
+    aggs += [F.percentile_approx(lat, float(p), accuracy).alias(nm)
+             for p, nm in zip(percentiles, names)]
     return (successful(df).groupBy(F.window(ts, f"{width_seconds} seconds").alias("w"))
-            .agg(*aggs).select(F.col("w.start").alias("window_start"),
-                               F.col("w.end").alias("window_end"), *[a for a in [
-                                   "requests", "mean_ms", "min_ms", "max_ms"]],
-                               *[f"p{int(round(p * 100))}_ms" for p in percentiles]))
+            .agg(*aggs)
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "requests", "mean_ms", "min_ms", "max_ms", *names))
 
 
 def write_responses(df: DataFrame, path: str, columns: Sequence[str] = ("visitor_id", "content")) -> None:

@@ -7,7 +7,6 @@ is only for tests and the local benchmark.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -153,7 +152,3 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
     small = write_table(df, name)
     return F.broadcast(small) if small.count() <= max_rows else small
 
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-only helpers (tests)."""
-    return path[5:] if path.startswith("file:") else os.fspath(path)
