@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import form_url_encode
 from ..session import materialize
 
-DEFAULT_BASE_URL = "http://localhost:8080/main.jsp?des_cosa="
+DEFAULT_BASE_URL = "http://localhost:8080/search?q="
 FAILED = "error"
 
 
