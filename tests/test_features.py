@@ -105,3 +105,17 @@ def test_histogram_with_a_hot_keyword_equals_brute_force(spark):
         h = want.setdefault((d[0], d[1]), [0] * 36)
         h[lab] += 1
     assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_shared_pairs_equal_lazy_plan(spark):
+    from adlens.sources.tables import keyword_rows
+    from conftest import SF_SMALL
+    rows = keyword_rows(spark, SF_SMALL)
+    c = C.fixed_centres_1d(21)
+    shared = FT.campaign_cluster_features(rows, c, 21, C.ONE_D, share=True)
+    lazy = FT.campaign_cluster_features(rows, c, 21, C.ONE_D, share=False)
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, lazy.collect()))
+    a = FT.campaign_avg_of_avg(rows, share=True).collect()
+    b = FT.campaign_avg_of_avg(rows, share=False).collect()
+    assert {(r.client_id, r.account_id): round(r.avg_of_avg, 9) for r in a} == \
+        {(r.client_id, r.account_id): round(r.avg_of_avg, 9) for r in b}

@@ -139,3 +139,13 @@ def test_field_count_matches_jvm_split(spark, lines):
         return
     got = [r.n for r in lines_df(spark, lines).select(TX.jvm_field_count(";").alias("n")).collect()]
     assert got == [jvm_split_size(x, ";") for x in lines]
+
+
+def test_quarantine_equals_fail_mode_on_clean_lines(spark):
+    from adlens.sources.tables import keyword_rows
+    from conftest import SF_SMALL
+    lines = TX.format_keyword_lines(keyword_rows(spark, SF_SMALL))
+    strict = TX.parse_keyword_lines(lines)
+    good, bad = TX.parse_keyword_lines(lines, on_bad="quarantine")
+    assert bad.count() == 0
+    assert sorted(map(tuple, strict.collect())) == sorted(map(tuple, good.collect()))
