@@ -5,6 +5,7 @@ lazily so Catalyst sees the whole plan."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -61,3 +62,61 @@ def labeled_split(rows: DataFrame, feature_cols: Sequence[str], seed: int = 42,
     with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed))
     labeled = materialize(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]), spread=True)
     return R.split_by_bucket(labeled, train_fraction)
+
+
+# Fixed values of the original workflows: the forest grids, the final
+# repeated models and the K-means settings.
+FOREST_GRID_21 = (tuple(range(20, 501, 50)), tuple(range(4, 31, 5)))   # 10 x 6 = 60 points
+FOREST_GRID_36 = (tuple(range(20, 201, 70)), tuple(range(4, 21, 5)))   # 3 x 4 = 12 points
+FINAL_FORESTS = ((150, 150, 150), (14, 19))                            # 3 repeats x 2 depths
+KMEANS_RESTARTS = 7
+KMEANS_ITERATIONS = 50
+
+
+@dataclass
+class RegressionResult:
+    linear: R.LinearModel
+    linear_training_mse: float
+    grid: DataFrame                      # num_trees, max_depth, mse, fit_seconds
+    final: DataFrame | None = None       # run, seed, num_trees, max_depth, mse, fit_seconds
+    final_models: list = field(repr=False, default_factory=list)
+    residuals: DataFrame | None = None   # residual, label, prediction (best final model, test rows)
+
+
+def campaign_regression(rows: DataFrame, feature_cols: Sequence[str],
+                        grid: tuple[Sequence[int], Sequence[int]] = FOREST_GRID_36,
+                        final: tuple[Sequence[int], Sequence[int]] | None = FINAL_FORESTS,
+                        max_bins: int = 1024, seed: int = 42,
+                        parallelism: int = 1) -> RegressionResult:
+    """The regression workflow on training rows.
+
+    Linear model by full-batch gradient descent (training MSE), one stable
+    70/30 split, the forest grid on it, the final repeated forests, and the
+    residuals of the best final model on the test rows.
+    """
+    fixed = materialize(rows, spread=True)
+    linear = R.fit_linear_sgd(fixed, feature_cols)
+    linear_mse = R.mse_value(linear.transform(fixed))
+    train, test = labeled_split(fixed, feature_cols, seed)
+    grid_metrics = R.grid_forest(train, test, grid[0], grid[1], max_bins, seed,
+                                 parallelism=parallelism, checkpoint_inputs=False)
+    result = RegressionResult(linear, linear_mse, grid_metrics)
+    if final is not None:
+        final_metrics, models = R.repeat_forest(train, test, final[0], final[1], max_bins,
+                                                parallelism=parallelism, checkpoint_inputs=False)
+        scores = [r["mse"] for r in final_metrics.orderBy("run").collect()]  # one row per model
+        best = min(range(len(models)), key=lambda i: scores[i])
+        result.final, result.final_models = final_metrics, models
+        result.residuals = R.residuals(models[best].transform(test)).select(
+            "residual", "label", "prediction")
+    return result
+
+
+def keyword_restarts(keyword_rows: DataFrame, k: int = 21, n: int = KMEANS_RESTARTS,
+                     features: Sequence[str] = C.ONE_D, parallelism: int = 1):
+    """1-D workflow: keyword counts -> ``n`` K-means fits at one K -> (metrics, best fit)."""
+    counts = K.keyword_counts(keyword_rows) if features == C.ONE_D else K.keyword_stats(keyword_rows)
+    metrics, fits = C.restart_kmeans(counts, k, n, features, max_iter=KMEANS_ITERATIONS,
+                                     parallelism=parallelism)
+    best_run = C.select_best(metrics, "dispersion").first()["run"]
+    return metrics, fits[best_run]

@@ -103,3 +103,28 @@ def test_fit_linear_solves_least_squares(spark):
     y = np.array([r[0] for r in ROWS])
     want, *_ = np.linalg.lstsq(x, y, rcond=None)
     assert np.allclose(m.coefficients.toArray(), want, rtol=1e-6)
+
+
+def test_campaign_regression_flow(spark):
+    from adlens.operators import clustering as C
+    from adlens.plans import flows
+    from adlens.sources import tables as TB
+    from conftest import SF_SMALL
+    rows = flows.campaign_training_rows(TB.keyword_rows(spark, SF_SMALL), TB.history_rows(spark, SF_SMALL),
+                                        C.fixed_centres_2d(36), C.TWO_D, 36,
+                                        excluded_accounts=TB.EXCLUDED_ACCOUNTS)
+    cols = FT.feature_columns(FT.histogram_columns(36))
+    res = flows.campaign_regression(rows, cols, grid=([5], [3, 4]), final=([5, 5], [3]), max_bins=32)
+    assert res.linear.iterations_run == 300 and res.linear_training_mse > 0
+    assert res.grid.count() == 2 and res.final.count() == 2 and len(res.final_models) == 2
+    assert res.residuals.count() > 0
+    assert flows.FOREST_GRID_21[0][-1] == 470 and len(flows.FOREST_GRID_21[1]) == 6
+    assert flows.FOREST_GRID_36 == ((20, 90, 160), (4, 9, 14, 19))
+
+
+def test_keyword_restarts_flow(spark):
+    from adlens.plans import flows
+    from adlens.sources import tables as TB
+    from conftest import SF_SMALL
+    metrics, best = flows.keyword_restarts(TB.keyword_rows(spark, SF_SMALL), k=5, n=3)
+    assert metrics.count() == 3 and best.k <= 5
