@@ -42,6 +42,11 @@ def main(argv):
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", scratch)
              .config("spark.sql.shuffle.partitions", "32")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+             # local-size skew thresholds, so AQE's split is visible at sf0.1
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "256k")
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+             .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+             .config("spark.sql.autoBroadcastJoinThreshold", "-1")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from adlens.operators import clustering as C
@@ -56,13 +61,27 @@ def main(argv):
     spark.sparkContext.setJobGroup("skew", "campaign features on skewed rows")
     hist = FT.campaign_cluster_features(rows, C.fixed_centres_2d(36, scale=10.0, offset=0.5), 36)
     hist.write.format("noop").mode("overwrite").save()
+    # per-row labels with a dictionary too large to broadcast (bound forced to 0):
+    # sort-merge join, the hot keyword's partition split by AQE
+    spark.sparkContext.setJobGroup("skew-join", "per-row labels, no broadcast")
+    from adlens.operators import keywords as K
+    c = C.fixed_centres_2d(36, scale=10.0, offset=0.5)
+    dictionary = FT.label_dictionary(K.keyword_stats(rows), c)
+    labelled = FT.label_keywords(rows, dictionary, c.default_cluster(), "normalized",
+                                 max_broadcast_rows=0)
+    labelled.write.format("noop").mode("overwrite").save()
     spark.stop()
 
+    for group in ("skew", "skew-join"):
+        report(scratch, group, n_rows)
+
+
+def report(scratch: str, group: str, n_rows: int) -> None:
     stage_job, jobs_in_group, tasks = {}, set(), {}
     names = {}
     for e in read_events(scratch):
         ev = e["Event"]
-        if ev == "SparkListenerJobStart" and e.get("Properties", {}).get("spark.jobGroup.id") == "skew":
+        if ev == "SparkListenerJobStart" and e.get("Properties", {}).get("spark.jobGroup.id") == group:
             jobs_in_group.add(e["Job ID"])
             for s in e["Stage IDs"]:
                 stage_job[s] = e["Job ID"]
@@ -74,7 +93,7 @@ def main(argv):
             recs = sr.get("Total Records Read", 0)
             inp = m.get("Input Metrics", {}).get("Records Read", 0)
             tasks.setdefault(e["Stage ID"], []).append((recs, inp, e["Task Info"]["Finish Time"] - e["Task Info"]["Launch Time"]))
-    print(f"input rows: {n_rows}; hot keyword ~1/3 of rows, hot client ~1/3 of rows")
+    print(f"[{group}] input rows: {n_rows}; hot keyword ~1/3 of rows, hot client ~1/3 of rows")
     print(f"{'stage':>5} {'tasks':>5} {'shuffle-read records: max / median / total':>44} {'max task ms':>11}")
     for s in sorted(t for t in tasks if stage_job.get(t) in jobs_in_group):
         recs = [t[0] for t in tasks[s]]
