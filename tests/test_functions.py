@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from adlens.functions import text as T
 from adlens.functions import vectors as V

@@ -1,7 +1,6 @@
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
 
 from adlens.operators import tree_model as TM
 
