@@ -60,10 +60,12 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType,
 
 
 def run_available(result: DataFrame, name: str, output: str | None = None,
-                  checkpoint: str | None = None) -> str:
+                  checkpoint: str | None = None, timeout_seconds: float | None = None) -> str:
     """Run a streaming frame over everything available now, into a parquet folder.
 
-    Returns the output folder; read it back with ``spark.read.parquet``.
+    Returns the output folder; read it back with ``spark.read.parquet``.  A
+    failed query raises; with ``timeout_seconds`` a query still running then
+    is stopped and ``TimeoutError`` raised (it resumes from its checkpoint).
     """
     spark = result.sparkSession
     base = staging_path(spark, name)
@@ -72,5 +74,9 @@ def run_available(result: DataFrame, name: str, output: str | None = None,
     q = (result.writeStream.format("parquet").outputMode("append")
          .option("path", output).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    if timeout_seconds is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_seconds):
+        q.stop()
+        raise TimeoutError(f"stream {name} still running after {timeout_seconds} s")
     return output
