@@ -128,3 +128,13 @@ def test_keyword_restarts_flow(spark):
     from conftest import SF_SMALL
     metrics, best = flows.keyword_restarts(TB.keyword_rows(spark, SF_SMALL), k=5, n=3)
     assert metrics.count() == 3 and best.k <= 5
+
+
+def test_tune_forest_with_train_validation_split(spark):
+    df = spark.range(400).select(
+        (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    data = FT.to_labeled(df.withColumn("label", F.col("a") * 2 + F.col("b")), ["a", "b"])
+    metrics, best = R.tune_forest(data, [3, 6], [2, 5], max_bins=32, parallelism=2)
+    rows = metrics.collect()
+    assert len(rows) == 4 and all(r.mse >= 0 for r in rows)
+    assert best.getMaxDepth() == min(rows, key=lambda r: r.mse).max_depth
