@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,32 +93,32 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/adlens-staging/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def materialize(df: DataFrame, spread: bool = False,
+                rows_per_partition: int = 250_000) -> DataFrame:
+    """Cut the lineage: write ``df`` once as a table in the shared folder.
 
     For inputs of iterative fits that scan the same rows many times: a lost
-    executor costs a re-read of the checkpoint, not the whole lineage.  The
-    frame is persisted while it is checkpointed, so the plan runs once (an
-    unpersisted checkpoint computes it twice: for the count, then for the
-    write).
-
-    ``spread=True`` spreads rows that AQE coalesced into fewer partitions
-    than the cluster has cores (small inputs), so every pass of a fit uses
-    every core.
+    executor costs a re-read of the table, not the whole lineage.  The plan
+    runs once, under AQE (a persisted-then-checkpointed frame would run with
+    the un-coalesced shuffle partitioning of the session, e.g. 200 tiny
+    partitions, and every iteration of a fit would pay for 200 tasks).
+
+    Partitions are then sized from the row count (parquet metadata, no scan):
+    many small partitions are coalesced to ``rows_per_partition`` each, and
+    with ``spread=True`` an input with fewer partitions than cores is spread
+    over the cores, so every pass of a fit uses every core.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    out = write_table(df, "materialized")
+    n = out.count()
+    have = out.rdd.getNumPartitions()
+    want = max(1, -(-n // rows_per_partition))
     if spread:
-        # partitions of a checkpoint are known without running anything; only
-        # small inputs end up with fewer partitions than cores
-        cores = spark.sparkContext.defaultParallelism
-        if out.rdd.getNumPartitions() < cores:
-            out = out.repartition(cores).checkpoint(eager=True)
+        want = max(want, min(spark.sparkContext.defaultParallelism, max(n, 1)))
+    if want < have:
+        out = out.coalesce(want)
+    elif spread and want > have:
+        out = out.repartition(want)
     return out
 
 
