@@ -33,7 +33,7 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(sdf.columns, rows)[0] == digest(cols, drows)[0]
 
 
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n != "kmeans_sweep"])
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_query_runs(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() > 0
 
