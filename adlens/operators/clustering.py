@@ -170,7 +170,7 @@ def sweep_k(stats: DataFrame, ks: Iterable[int] = K_SWEEP, features: Sequence[st
             parallelism: int = 1) -> tuple[DataFrame, dict[int, ClusterCentres]]:
     """M2: one fit per K -> metrics ``k, n_centres, dispersion, fit_seconds`` and the fits.
 
-    The statistics are checkpointed once so every fit rescans a short lineage.
+    The statistics are written once as a table so every fit rescans a short lineage.
     """
     ks = list(ks)
     data = materialize(stats.select(*features))

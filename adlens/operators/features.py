@@ -3,7 +3,7 @@ history projection, the history join and training rows.
 
 Plan shape (per campaign features)::
 
-    rows --(partial agg)--> pairs (campaign, raw keyword, n, sum_qi)    [checkpointed once]
+    rows --(partial agg)--> pairs (campaign, raw keyword, n, sum_qi)    [written once]
     pairs --> dictionary: per normalised keyword count/avg -> cluster id (literal centres)
     pairs LEFT JOIN dictionary on lookup key                            (AQE: broadcast if small)
           --> GROUP BY campaign with K conditional sums                 (partial + final)

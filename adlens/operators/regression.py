@@ -204,7 +204,7 @@ def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
                 keep_models: bool = False, checkpoint_inputs: bool = True):
     """M9: every (trees, depth) on one fixed split -> ``num_trees, max_depth, mse, fit_seconds``.
 
-    Train and test rows are checkpointed once so every fit rescans a short,
+    Train and test rows are written once as tables so every fit rescans a short,
     reliable lineage.
     """
     if checkpoint_inputs:

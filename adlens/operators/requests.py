@@ -56,7 +56,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[flo
     Distributed selection, no group held in one task:
 
     1. count rows per distinct value (partial aggregation; a hot value is one row),
-    2. range-partition the distinct values and checkpoint them (stable partition ids),
+    2. range-partition the distinct values and write them once (stable partition ids),
     3. per-partition totals -> prefix offsets (one row per partition),
     4. running count inside each partition + offset = global rank span per value,
     5. pick the values whose span holds the wanted ranks.

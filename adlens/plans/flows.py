@@ -57,8 +57,8 @@ def forest_regression(rows: DataFrame, feature_cols: Sequence[str], trees: Seque
 
 def labeled_split(rows: DataFrame, feature_cols: Sequence[str], seed: int = 42,
                   train_fraction: float = 0.7):
-    """Label/feature rows checkpointed once (spread over all cores) with a
-    stable hash bucket; train and test are filters over that one checkpoint."""
+    """Label/feature rows written once (spread over all cores) with a
+    stable hash bucket; train and test are filters over that one table."""
     with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed))
     labeled = materialize(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]), spread=True)
     return R.split_by_bucket(labeled, train_fraction)
