@@ -28,9 +28,8 @@ def summarise(plan: str) -> dict:
     out = {
         "exchanges": sum(1 for x in lines if re.search(r"\bExchange (hash|range|round|Single|SinglePartition)", x)),
         "broadcasts": sum(1 for x in lines if "BroadcastExchange" in x),
-        "joins": [re.search(r"(\w+Join)\b[^,]*,[^,]*,\s*(\w+)", x).group(1) + ":" +
-                  re.search(r"(\w+Join)\b[^,]*,[^,]*,\s*(\w+)", x).group(2)
-                  for x in lines if re.search(r"(\w+Join)\b[^,]*,[^,]*,\s*(\w+)", x)],
+        "joins": [f"{m.group(1)}:{m.group(2)}" for m in
+                  (re.search(r"(\w+Join) \[.*?\], \[.*?\], (\w+)", x) for x in lines) if m],
         "reused": sum(1 for x in lines if "ReusedExchange" in x),
         "python": any(("EvalPython" in x) or ("PythonUDF" in x) for x in lines),
         "scans": [],
