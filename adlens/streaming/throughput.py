@@ -6,6 +6,11 @@ passes its end, so late rows within the watermark still count and state for
 closed windows is dropped.  The sink is a parquet folder with its own
 checkpoint in the shared checkpoint folder, so a restarted query resumes
 exactly where it stopped.
+
+The aggregation keeps its state in ``spark.sql.shuffle.partitions``
+partitions, fixed when the query first starts (and kept in its checkpoint);
+size that setting for the stream before the first start, since AQE does not
+re-partition streaming state.
 """
 
 from __future__ import annotations
