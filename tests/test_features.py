@@ -119,3 +119,16 @@ def test_shared_pairs_equal_lazy_plan(spark):
     b = FT.campaign_avg_of_avg(rows, share=False).collect()
     assert {(r.client_id, r.account_id): round(r.avg_of_avg, 9) for r in a} == \
         {(r.client_id, r.account_id): round(r.avg_of_avg, 9) for r in b}
+
+
+def test_dictionary_join_without_broadcast_equals_broadcast(spark):
+    from adlens.sources.tables import keyword_rows
+    from conftest import SF_SMALL
+    rows = keyword_rows(spark, SF_SMALL)
+    c = C.fixed_centres_2d(36)
+    d = FT.label_dictionary(K.keyword_stats(rows), c)
+    a = FT.label_keywords(rows, d, c.default_cluster(), "reference")
+    b = FT.label_keywords(rows, d, c.default_cluster(), "reference", max_broadcast_rows=0)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan  # AQE may still pick either

@@ -94,3 +94,10 @@ def test_stream_late_rows_and_restart(spark, tmp_table_dir):
         ST.run_available(ST.throughput_stream(stream, 3600, "1 hour"), "late", out, ck)
     got = {r.window_start: r.requests for r in spark.read.parquet(out).collect()}
     assert got == {at(0, 0): 2, at(1, 0): 1, at(2, 0): 1, at(3, 0): 2}
+
+
+def test_exact_quantiles_empty_and_nulls(spark):
+    empty = spark.createDataFrame([], "x double")
+    assert RQ.exact_quantiles(empty, "x", [0.5]) == {0.5: None}
+    df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "x double")
+    assert RQ.exact_quantiles(df, "x", [0.5, 1.0]) == {0.5: 2.0, 1.0: 3.0}
