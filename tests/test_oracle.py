@@ -43,3 +43,9 @@ def test_entry(spark):
     assert df.columns[:5] == ["client_id", "account_id", "label", "impression", "max_cpc"]
     assert len(df.columns) == 5 + 36
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_no_python_in_plan(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "PythonUDF" not in plan and "MapInPandas" not in plan
