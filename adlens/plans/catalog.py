@@ -405,7 +405,7 @@ def latency_summary(spark, sf):
 @query
 def throughput_stream(spark, sf):
     events = TB.table(spark, sf, "events")
-    stream = ST.read_stream(spark, sf, events.schema, glob="events.parquet")
+    stream = ST.read_stream(ST.stream_session(spark), sf, events.schema, glob="events.parquet")
     out = ST.run_available(ST.throughput_stream(TB.request_log_of(stream), WINDOW_SECONDS, WATERMARK),
                            "throughput-stream")
     return spark.read.parquet(out)

@@ -8,9 +8,9 @@ checkpoint in the shared checkpoint folder, so a restarted query resumes
 exactly where it stopped.
 
 The aggregation keeps its state in ``spark.sql.shuffle.partitions``
-partitions, fixed when the query first starts (and kept in its checkpoint);
-size that setting for the stream before the first start, since AQE does not
-re-partition streaming state.
+partitions of the session that starts it, fixed at the first start (and kept
+in its checkpoint; AQE does not re-partition streaming state).
+``stream_session`` gives a session sharing the context with its own count.
 """
 
 from __future__ import annotations
@@ -53,6 +53,19 @@ def throughput_stream(stream: DataFrame, width_seconds: int = 3600,
                       F.expr(f"(requests * 1000) div {width_ms}").alias("rate_per_sec"))
 
 
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session sharing ``spark``'s context, with its own state-partition count.
+
+    The window counts of the throughput stream are bounded by the open windows,
+    not by the data, so as many state partitions as cores are enough; the
+    caller's session and its settings stay untouched.
+    """
+    s = spark.newSession()
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    s.conf.set("spark.sql.shuffle.partitions", str(n))
+    return s
+
+
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType,
                 glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet file source over ``folder`` (optionally only files matching ``glob``)."""
