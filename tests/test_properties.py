@@ -50,3 +50,26 @@ def test_exact_quantiles_match_numpy(spark, values, probs):
     got = RQ.exact_quantiles(df, "x", probs)
     for p in probs:
         assert abs(got[p] - float(np.quantile(values, p))) < 1e-9
+
+
+field_st = st.sampled_from(["", "a", "enabled", "paused", "12", "3.5", "x y", "NaN", "abc"])
+line_st = st.lists(field_st, min_size=0, max_size=18).map(lambda fs: ";".join(fs))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(line_st, min_size=1, max_size=12))
+def test_fail_mode_raises_exactly_when_quarantine_finds_bad_lines(spark, lines):
+    from pyspark.errors import PySparkException
+
+    from adlens.operators import keywords as K
+    from adlens.sources import text as TX
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    good, bad = TX.parse_keyword_lines(df, on_bad="quarantine")
+    n_good, n_bad = good.count(), bad.count()
+    assert n_good + n_bad == len(lines)
+    try:
+        K.keyword_means(TX.parse_keyword_lines(df)).collect()
+        raised = False
+    except PySparkException:
+        raised = True
+    assert raised == (n_bad > 0)
