@@ -52,11 +52,13 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--restarts", type=int, default=1)
     s.add_argument("--model", required=True)
 
-    s = sub.add_parser("features", help="campaign histograms joined with the history")
+    s = sub.add_parser("features", help="campaign features joined with the history")
     s.add_argument("--keywords", required=True)
     s.add_argument("--history", required=True)
-    s.add_argument("--model", required=True)
-    s.add_argument("--k", type=int, required=True)
+    s.add_argument("--kind", choices=("histogram", "avg"), default="histogram",
+                   help="cluster histogram (needs --model, --k) or average of keyword averages")
+    s.add_argument("--model")
+    s.add_argument("--k", type=int)
     s.add_argument("--dims", type=int, choices=(1, 2), default=2)
     s.add_argument("--lookup-case", choices=("reference", "normalized"), default="reference")
     s.add_argument("--exclude", action="append", default=[])
@@ -99,10 +101,16 @@ def main(argv: list[str] | None = None) -> int:
         _, best = flows.keyword_restarts(rows, a.k, max(1, a.restarts), _features(a.dims))
         C.save_model(best, a.model, spark)
     elif a.cmd == "features":
-        centres = C.load_model(spark, a.model)
-        rows = flows.campaign_training_rows(
-            read_keyword_rows(spark, a.keywords), read_history_rows(spark, a.history),
-            centres, _features(a.dims), a.k, a.lookup_case, excluded_accounts=a.exclude)
+        kw, hist = read_keyword_rows(spark, a.keywords), read_history_rows(spark, a.history)
+        if a.kind == "avg":
+            rows = flows.campaign_avg_training_rows(kw, hist, a.lookup_case,
+                                                    excluded_accounts=a.exclude)
+        else:
+            if not a.model or not a.k:
+                p.error("features --kind histogram needs --model and --k")
+            rows = flows.campaign_training_rows(kw, hist, C.load_model(spark, a.model),
+                                                _features(a.dims), a.k, a.lookup_case,
+                                                excluded_accounts=a.exclude)
         rows.write.mode("overwrite").parquet(a.out)
     elif a.cmd == "regress":
         train = spark.read.parquet(a.training)

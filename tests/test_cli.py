@@ -18,6 +18,9 @@ def test_cli_workflow(spark, tmp_table_dir):
                  "--k", "6", "--exclude", "naccount7", "--out", d + "/train"]) == 0
     train = spark.read.parquet(d + "/train")
     assert train.count() == 420 and "k5" in train.columns          # FIXTURES: 420 training rows
+    assert main(["features", "--kind", "avg", "--keywords", d + "/kw", "--history", d + "/hist",
+                 "--exclude", "naccount7", "--out", d + "/train_avg"]) == 0
+    assert spark.read.parquet(d + "/train_avg").columns[-1] == "avg_of_avg"
     assert main(["regress", "--training", d + "/train", "--k", "6", "--trees", "5",
                  "--depths", "2,3", "--no-final", "--out", d + "/reg"]) == 0
     assert spark.read.parquet(d + "/reg/grid").count() == 2
