@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
 
     s = sub.add_parser("regress", help="gradient descent + forest grid + final forests")
     s.add_argument("--training", required=True)
-    s.add_argument("--k", type=int, required=True)
+    s.add_argument("--k", type=int, help="histogram width (not needed for avg features)")
     s.add_argument("--grid", choices=("21", "36"), default="36")
     s.add_argument("--trees", type=_ks, default=None, help="override the grid's tree counts")
     s.add_argument("--depths", type=_ks, default=None, help="override the grid's depths")
@@ -116,8 +116,14 @@ def main(argv: list[str] | None = None) -> int:
         train = spark.read.parquet(a.training)
         grid = flows.FOREST_GRID_21 if a.grid == "21" else flows.FOREST_GRID_36
         grid = (a.trees or grid[0], a.depths or grid[1])
+        if "avg_of_avg" in train.columns:
+            extra = ["avg_of_avg"]
+        elif a.k:
+            extra = FT.histogram_columns(a.k)
+        else:
+            p.error("regress needs --k for histogram features")
         res = flows.campaign_regression(
-            train, FT.feature_columns(FT.histogram_columns(a.k)), grid,
+            train, FT.feature_columns(extra), grid,
             None if a.no_final else flows.FINAL_FORESTS, parallelism=a.parallelism)
         res.linear.weights_frame(spark).write.mode("overwrite").parquet(a.out + "/linear_weights")
         res.grid.write.mode("overwrite").parquet(a.out + "/grid")

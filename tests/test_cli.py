@@ -24,5 +24,8 @@ def test_cli_workflow(spark, tmp_table_dir):
     assert main(["regress", "--training", d + "/train", "--k", "6", "--trees", "5",
                  "--depths", "2,3", "--no-final", "--out", d + "/reg"]) == 0
     assert spark.read.parquet(d + "/reg/grid").count() == 2
+    assert main(["regress", "--training", d + "/train_avg", "--trees", "5", "--depths", "2",
+                 "--no-final", "--out", d + "/reg_avg"]) == 0
+    assert spark.read.parquet(d + "/reg_avg/linear_weights").count() == 3
     assert main(["throughput", "--requests", d + "/events", "--out", d + "/tp"]) == 0
     assert spark.read.parquet(d + "/tp").count() > 0
