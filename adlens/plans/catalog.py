@@ -71,11 +71,13 @@ def _stats(spark, sf):
 
 @query
 def enabled_keywords(spark, sf):
+    """Enabled rows with the normalised keyword and QI as double."""
     return K.keyword_qi(_kw(spark, sf))
 
 
 @query
 def text_scan_roundtrip(spark, sf):
+    """Keyword rows written as ';' text and parsed back (fail-fast)."""
     path = staging_path(spark, "keyword-lines")
     TX.write_lines(TX.format_keyword_lines(_kw(spark, sf)), path)
     rows = TX.read_keyword_rows(spark, path)
@@ -84,6 +86,7 @@ def text_scan_roundtrip(spark, sf):
 
 @query
 def history_scan(spark, sf):
+    """History rows written as ',' text, parsed with the account exclusion."""
     path = staging_path(spark, "history-lines")
     TX.write_lines(TX.format_history_lines(TB.history_rows(spark, sf)), path)
     rows = TX.read_history_rows(spark, path, excluded_accounts=TB.EXCLUDED_ACCOUNTS)
@@ -94,6 +97,7 @@ def history_scan(spark, sf):
 
 @query
 def field_count_profile(spark, sf):
+    """Records per field count (JVM counting) for both record formats."""
     kw = TX.field_count_profile(TX.format_keyword_lines(_kw(spark, sf)), ";")
     hi = TX.field_count_profile(TX.format_history_lines(TB.history_rows(spark, sf)), ",")
     return (kw.select(F.lit("keyword").alias("source"), "n_fields", "n_lines")
@@ -104,38 +108,45 @@ def field_count_profile(spark, sf):
 
 @query
 def keyword_counts(spark, sf):
+    """A1: occurrences per normalised keyword."""
     return K.keyword_counts(_kw(spark, sf))
 
 
 @query
 def keyword_means(spark, sf):
+    """A2: mean quota impression per normalised keyword."""
     return K.keyword_means(_kw(spark, sf)).select("keyword", r6("avg_qi").alias("avg_qi"))
 
 
 @query
 def keyword_stats(spark, sf):
+    """Count and mean per keyword in one aggregate."""
     return _stats(spark, sf).select("keyword", "n", r6("avg_qi").alias("avg_qi"))
 
 
 @query
 def top_keywords(spark, sf):
+    """O2: the most frequent keywords (top-k report, ties by keyword)."""
     return K.top_keywords(K.keyword_counts(_kw(spark, sf)), TOP_N)
 
 
 @query
 def count_moments(spark, sf):
+    """Number of keywords, mean and sample sd of their counts."""
     m = K.count_moments(K.keyword_counts(_kw(spark, sf)))
     return m.select("keywords", r6("mean_n").alias("mean_n"), r6("sd_n").alias("sd_n"))
 
 
 @query
 def standardized_counts(spark, sf):
+    """Z-score of each keyword count."""
     z = K.standardize(K.keyword_counts(_kw(spark, sf)), ["n"])
     return z.select("keyword", "n", r6("n_z").alias("n_z"))
 
 
 @query
 def campaign_keyword_groups(spark, sf):
+    """A3: keywords grouped per campaign as a distributed multiset."""
     return K.campaign_keyword_groups(_kw(spark, sf))
 
 
@@ -143,11 +154,13 @@ def campaign_keyword_groups(spark, sf):
 
 @query
 def assign_clusters_1d(spark, sf):
+    """M5: nearest fixed 1-D centre (K=21) per keyword count."""
     return C.assign_to_centres(K.keyword_counts(_kw(spark, sf)), centres_1d(), C.ONE_D)
 
 
 @query
 def assign_clusters_2d(spark, sf):
+    """M5: nearest fixed 2-D centre (K=36) per keyword (count, mean)."""
     s = C.assign_to_centres(_stats(spark, sf), centres_2d(), C.TWO_D)
     return s.select("keyword", "n", r6("avg_qi").alias("avg_qi"), "cluster_id")
 
@@ -176,6 +189,7 @@ def default_cluster(spark, sf):
 
 @query
 def dispersion_fixed_centres(spark, sf):
+    """Mean |count - assigned centre| for the fixed 1-D and 2-D centres."""
     def per_set(dims, c, feats):
         cid = c.assign(feats)
         dev = F.abs(F.col(feats[0]) - c.coordinate(cid, 0))
@@ -187,6 +201,7 @@ def dispersion_fixed_centres(spark, sf):
 
 @query
 def kmeans_k1(spark, sf):
+    """M1/Q18: K=1 is the mean; its dispersion."""
     counts = K.keyword_counts(_kw(spark, sf))
     c = C.fit_kmeans(counts, 1, C.ONE_D)
     return C.dispersion(counts, c, C.ONE_D).select(
@@ -205,26 +220,31 @@ def _label_keywords(spark, sf, lookup_case):
 
 @query
 def label_keywords_reference(spark, sf):
+    """Per-row cluster label, blank-stripped lookup (mixed case misses)."""
     return _label_keywords(spark, sf, "reference")
 
 
 @query
 def label_keywords_normalized(spark, sf):
+    """Per-row cluster label, normalised lookup."""
     return _label_keywords(spark, sf, "normalized")
 
 
 @query
 def cluster_histogram_21(spark, sf):
+    """A4: per-campaign histogram over 21 clusters (1-D centres)."""
     return FT.campaign_cluster_features(_kw(spark, sf), centres_1d(), 21, C.ONE_D)
 
 
 @query
 def cluster_histogram_36(spark, sf):
+    """A5: per-campaign histogram over 36 clusters (2-D centres)."""
     return FT.campaign_cluster_features(_kw(spark, sf), centres_2d(), 36, C.TWO_D)
 
 
 @query
 def campaign_avg_of_avg(spark, sf):
+    """Per campaign, the mean of its rows' keyword means (0 on a miss)."""
     a = FT.campaign_avg_of_avg(_kw(spark, sf))
     return a.select("client_id", "account_id", r6("avg_of_avg").alias("avg_of_avg"))
 
@@ -242,16 +262,19 @@ def _rounded_training(df):
 
 @query
 def training_rows_21(spark, sf):
+    """History joined with the K=21 histogram."""
     return _rounded_training(_training(spark, sf, centres_1d(), 21, C.ONE_D))
 
 
 @query
 def training_rows_36(spark, sf):
+    """History joined with the K=36 histogram."""
     return _rounded_training(_training(spark, sf, centres_2d(), 36, C.TWO_D))
 
 
 @query
 def training_rows_avg_of_avg(spark, sf):
+    """History joined with the average-of-average feature."""
     rows = flows.campaign_avg_training_rows(_kw(spark, sf), TB.history_rows(spark, sf),
                                             excluded_accounts=TB.EXCLUDED_ACCOUNTS)
     return rows.select(*[r6(c).alias(c) if c in ("label", "impression", "max_cpc", "avg_of_avg")
@@ -265,6 +288,7 @@ def _fixed_linear():
 
 @query
 def linear_fixed_weights_residuals(spark, sf):
+    """Residuals of a fixed linear model on the training rows."""
     pred = R.residuals(_fixed_linear().transform(_training(spark, sf, centres_2d(), 36, C.TWO_D)))
     return pred.select("client_id", "account_id", r6("label").alias("label"),
                        r6("prediction").alias("prediction"), r6("residual").alias("residual"))
@@ -272,6 +296,7 @@ def linear_fixed_weights_residuals(spark, sf):
 
 @query
 def mse_fixed_weights(spark, sf):
+    """Mean squared error of a fixed linear model."""
     pred = _fixed_linear().transform(_training(spark, sf, centres_2d(), 36, C.TWO_D))
     return R.mse(pred).select("rows", r6("mse").alias("mse"))
 
@@ -280,6 +305,7 @@ def mse_fixed_weights(spark, sf):
 
 @query
 def linear_sgd(spark, sf):
+    """M7: 300 full-batch gradient steps; weights and training MSE."""
     rows = materialize(_training(spark, sf, centres_2d(), 36, C.TWO_D), spread=True)
     cols = FT.feature_columns(FT.histogram_columns(36))
     model = R.fit_linear_sgd(rows, cols)
@@ -293,6 +319,7 @@ def linear_sgd(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
+    """M1 M2 M4: K-means for K = 1, 6, ..., 96 on (count, mean); dispersion per K."""
     metrics, _ = C.sweep_k(_stats(spark, sf), C.K_SWEEP, C.TWO_D, max_iter=50, seed=SEED,
                            parallelism=FIT_PARALLELISM)
     return metrics
@@ -300,6 +327,7 @@ def kmeans_sweep(spark, sf):
 
 @query
 def kmeans_restarts(spark, sf):
+    """M3: 7 K-means fits at K=21 on counts; dispersion per fit."""
     metrics, _ = C.restart_kmeans(K.keyword_counts(_kw(spark, sf)), 21, 7, C.ONE_D,
                                   parallelism=FIT_PARALLELISM)
     return metrics
@@ -307,6 +335,7 @@ def kmeans_restarts(spark, sf):
 
 @query
 def select_best(spark, sf):
+    """O3: the restart with the lowest dispersion."""
     metrics, _ = C.restart_kmeans(K.keyword_counts(_kw(spark, sf)), 21, 7, C.ONE_D,
                                   parallelism=FIT_PARALLELISM)
     return C.select_best(metrics, "dispersion")
@@ -329,12 +358,14 @@ def _forest(spark, sf):
 
 @query
 def forest_grid(spark, sf):
+    """Forest grid on a stable 70/30 split; test MSE per point."""
     metrics, _, _ = _forest(spark, sf)
     return metrics
 
 
 @query
 def forest_repeats(spark, sf):
+    """Repeated forests with different seeds; test MSE per run."""
     rows = _training(spark, sf, centres_2d(), 36, C.TWO_D)
     cols = FT.feature_columns(FT.histogram_columns(36))
     train, test = flows.labeled_split(rows, cols, SEED)
@@ -345,6 +376,7 @@ def forest_repeats(spark, sf):
 
 @query
 def forest_residuals(spark, sf):
+    """Residuals of the best grid forest on the test rows."""
     metrics, models, test = _forest(spark, sf)
     scores = [r["mse"] for r in metrics.collect()]  # one row per grid point
     best = min(range(len(models)), key=lambda i: scores[i])
@@ -363,11 +395,13 @@ def _joined(spark, sf):
 
 @query
 def id_join(spark, sf):
+    """a_ml JOIN b_ml ON id through the table scan."""
     return _joined(spark, sf)
 
 
 @query
 def unit_scale(spark, sf):
+    """Label and the two scaled features."""
     out = TM.UnitScaleTransformer().transform(_joined(spark, sf))
     arr = vector_to_array("features")
     return out.select(r6("label").alias("label"), r6(arr[0]).alias("age_years"),
@@ -376,6 +410,7 @@ def unit_scale(spark, sf):
 
 @query
 def decision_tree_fit(spark, sf):
+    """Transformer + depth-30 tree fitted and applied to the same rows."""
     _, pred = TM.fit_tree_pipeline(_joined(spark, sf))
     arr = vector_to_array("features")
     return pred.select(r6("label").alias("label"), r6(arr[0]).alias("age_years"),
@@ -386,16 +421,19 @@ def decision_tree_fit(spark, sf):
 
 @query
 def request_urls(spark, sf):
+    """Form-encoded request URL per logged request."""
     return RQ.request_urls(TB.request_log(spark, sf), BASE_URL)
 
 
 @query
 def throughput(spark, sf):
+    """R2: successful requests per hour window and the integer rate."""
     return RQ.throughput(TB.request_log(spark, sf), WINDOW_SECONDS)
 
 
 @query
 def latency_summary(spark, sf):
+    """Count, mean, min, max and exact percentiles of successful latency."""
     s = RQ.latency_summary(TB.request_log(spark, sf))
     return s.select("requests", r6("mean_ms").alias("mean_ms"), "min_ms", "max_ms",
                     r6("p50_ms").alias("p50_ms"), r6("p95_ms").alias("p95_ms"),
@@ -404,6 +442,7 @@ def latency_summary(spark, sf):
 
 @query
 def throughput_stream(spark, sf):
+    """The throughput per window from a watermarked stream (closed windows)."""
     events = TB.table(spark, sf, "events")
     stream = ST.read_stream(ST.stream_session(spark), sf, events.schema, glob="events.parquet")
     out = ST.run_available(ST.throughput_stream(TB.request_log_of(stream), WINDOW_SECONDS, WATERMARK),
