@@ -64,6 +64,7 @@ def strict_double(c: str | Column, what: str = "number") -> Column:
     """Cast to double, failing on text that is not a number whatever the ANSI
     setting of the session (a null stays null)."""
     col = _col(c)
-    return F.when(col.isNotNull() & col.try_cast("double").isNull(),
+    parsed = col.try_cast("double")   # parsed once; the check and the value share it
+    return F.when(col.isNotNull() & parsed.isNull(),
                   F.raise_error(F.concat(F.lit(f"{what} is not a number: "), col.cast("string")))
-                  ).otherwise(col.cast("double"))
+                  ).otherwise(parsed)
