@@ -47,8 +47,13 @@ def _fields(sep: str) -> Column:
 
 
 def jvm_field_count(sep: str) -> Column:
-    """Number of fields as the JVM split counts them (trailing empties dropped)."""
-    return F.size(F.split(F.rtrim(F.col("value"), F.lit(sep)), sep, -1))
+    """Number of fields as the JVM split counts them (trailing empties dropped).
+
+    The fields of the one split every record gets, minus the trailing
+    separators (each closes one trailing empty field); no second split.
+    """
+    trailing = F.length(F.col("value")) - F.length(F.rtrim(F.col("value"), F.lit(sep)))
+    return F.size(_fields(sep)) - trailing
 
 
 def _guard(value: Column, ok: Column, message: str) -> Column:
