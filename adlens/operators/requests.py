@@ -57,26 +57,26 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[flo
 
     1. count rows per distinct value (partial aggregation; a hot value is one row),
     2. range-partition the distinct values and write them once (stable partition ids),
-    3. per-partition totals -> prefix offsets (one row per partition),
+    3. per-partition totals (one row per partition) -> prefix offsets,
     4. running count inside each partition + offset = global rank span per value,
     5. pick the values whose span holds the wanted ranks.
 
-    Only the row count and the picked values reach the driver.
+    Only the per-partition totals (one row per partition) and the picked
+    values reach the driver.
     """
     vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
         F.count(F.lit(1)).alias("c"))
     ranged = materialize(vc.repartitionByRange("v").select(
         "v", "c", F.spark_partition_id().alias("pid")))
-    totals = ranged.groupBy("pid").agg(F.sum("c").alias("t"))
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("pid", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"),
-                            "t")
-    off_rows = offsets.collect()  # one row per partition
-    n = sum(r["t"] for r in off_rows)
+    totals = sorted((r["pid"], r["t"]) for r in
+                    ranged.groupBy("pid").agg(F.sum("c").alias("t")).collect())  # one row per partition
+    offsets, n = [], 0
+    for pid, t in totals:
+        offsets.append((pid, n))
+        n += t
     if n == 0:
         return {p: None for p in probs}
-    off = df.sparkSession.createDataFrame([(r["pid"], r["offset"]) for r in off_rows],
-                                          "pid int, offset long")
+    off = df.sparkSession.createDataFrame(offsets, "pid int, offset long")
     upto = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     spans = (ranged.join(F.broadcast(off), "pid")
              .withColumn("end", F.col("offset") + F.sum("c").over(upto))
