@@ -101,3 +101,17 @@ def test_exact_quantiles_empty_and_nulls(spark):
     assert RQ.exact_quantiles(empty, "x", [0.5]) == {0.5: None}
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "x double")
     assert RQ.exact_quantiles(df, "x", [0.5, 1.0]) == {0.5: 2.0, 1.0: 3.0}
+
+
+def test_stream_runs_with_the_scale_conf_state_store(spark, tmp_table_dir):
+    from adlens.session import scale_conf
+    s = ST.stream_session(spark)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    s.conf.set(key, scale_conf(1e12, 8)[key])
+    events = TB.table(spark, SF_SMALL, "events")
+    stream = ST.read_stream(s, SF_SMALL, events.schema, glob="events.parquet")
+    out = ST.run_available(ST.throughput_stream(TB.request_log_of(stream)), "rocks",
+                           tmp_table_dir + "/out", tmp_table_dir + "/ck", timeout_seconds=300)
+    batch = RQ.throughput(TB.request_log(spark, SF_SMALL), 3600).count()
+    got = spark.read.parquet(out).count()
+    assert 0 < got <= batch and batch - got <= 2
