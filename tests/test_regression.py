@@ -138,3 +138,14 @@ def test_tune_forest_with_train_validation_split(spark):
     rows = metrics.collect()
     assert len(rows) == 4 and all(r.mse >= 0 for r in rows)
     assert best.getMaxDepth() == min(rows, key=lambda r: r.mse).max_depth
+
+
+def test_training_features_are_all_continuous(spark):
+    """Histogram counts are integers, but the forests must see every feature as continuous."""
+    from adlens.operators import clustering as C
+    from adlens.plans import catalog as CT
+    from conftest import SF_SMALL
+    rows = CT._training(spark, SF_SMALL, CT.centres_2d(), 36, C.TWO_D)
+    lab = FT.to_labeled(rows, FT.feature_columns(FT.histogram_columns(36)))
+    attrs = lab.schema["features"].metadata["ml_attr"]["attrs"]
+    assert set(attrs) == {"numeric"} and len(attrs["numeric"]) == 38
