@@ -19,19 +19,26 @@ from ..session import materialize
 def campaign_training_rows(keyword_rows: DataFrame, history_rows: DataFrame,
                            centres: C.ClusterCentres, features: Sequence[str] = C.TWO_D,
                            k: int | None = None, lookup_case: str = "reference",
-                           excluded_accounts: Iterable[str] = ()) -> DataFrame:
-    """keyword rows + history -> ``client_id, account_id, label, impression, max_cpc, k0..``."""
+                           excluded_accounts: Iterable[str] = (),
+                           pairs: DataFrame | None = None) -> DataFrame:
+    """keyword rows + history -> ``client_id, account_id, label, impression, max_cpc, k0..``.
+
+    ``pairs`` (``features.shared_pairs(keyword_rows)``) can be passed to build
+    several feature sets from one scan of the keyword rows.
+    """
     k = centres.k if k is None else k
-    hist = FT.campaign_cluster_features(keyword_rows, centres, k, features, lookup_case)
+    hist = FT.campaign_cluster_features(keyword_rows, centres, k, features, lookup_case,
+                                        pairs=pairs)
     history = FT.campaign_history(history_rows, excluded_accounts)
     return FT.training_rows(FT.join_history(history, hist), FT.histogram_columns(k))
 
 
 def campaign_avg_training_rows(keyword_rows: DataFrame, history_rows: DataFrame,
                                lookup_case: str = "reference",
-                               excluded_accounts: Iterable[str] = ()) -> DataFrame:
+                               excluded_accounts: Iterable[str] = (),
+                               pairs: DataFrame | None = None) -> DataFrame:
     """Average-of-average variant: features ``impression, max_cpc, avg_of_avg``."""
-    feats = FT.campaign_avg_of_avg(keyword_rows, lookup_case)
+    feats = FT.campaign_avg_of_avg(keyword_rows, lookup_case, pairs=pairs)
     history = FT.campaign_history(history_rows, excluded_accounts)
     return FT.training_rows(FT.join_history(history, feats), ["avg_of_avg"])
 

@@ -132,3 +132,17 @@ def test_dictionary_join_without_broadcast_equals_broadcast(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan  # AQE may still pick either
+
+
+def test_feature_sets_share_one_pairs_table(spark):
+    from adlens.plans import flows
+    from adlens.sources import tables as TB
+    from conftest import SF_SMALL
+    kw, hist = TB.keyword_rows(spark, SF_SMALL), TB.history_rows(spark, SF_SMALL)
+    pairs = FT.shared_pairs(kw)
+    c = C.fixed_centres_2d(36)
+    a = flows.campaign_training_rows(kw, hist, c, C.TWO_D, 36, excluded_accounts=["naccount7"], pairs=pairs)
+    b = flows.campaign_training_rows(kw, hist, c, C.TWO_D, 36, excluded_accounts=["naccount7"])
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    avg = flows.campaign_avg_training_rows(kw, hist, excluded_accounts=["naccount7"], pairs=pairs)
+    assert avg.count() == a.count()
