@@ -30,6 +30,7 @@ def _features(dims: int):
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Parse the command line and run one workflow; returns the exit code."""
     p = argparse.ArgumentParser(prog="adlens")
     sub = p.add_subparsers(dest="cmd", required=True)
 

@@ -43,6 +43,7 @@ def lookup_key(c: str | Column, lookup_case: str = "reference") -> Column:
 
 
 def strip_dashes(c: str | Column) -> Column:
+    """Remove every ``-`` (history client ids)."""
     return F.replace(_col(c), F.lit(DASH), F.lit(""))
 
 

@@ -21,6 +21,7 @@ def _as_cols(features: Sequence[str | Column]) -> list[Column]:
 
 
 def squared_distance(features: Sequence[str | Column], centre: Sequence[float]) -> Column:
+    """Squared Euclidean distance of the feature columns to one literal centre."""
     cols = _as_cols(features)
     if len(cols) != len(centre):
         raise ValueError(f"{len(cols)} features against a centre of {len(centre)} coordinates")

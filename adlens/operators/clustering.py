@@ -70,6 +70,7 @@ class ClusterCentres:
 
 
 def centres_of(model: KMeansModel | ClusterCentres) -> ClusterCentres:
+    """Centres of a fitted ``KMeansModel`` (model kept alongside) or the centres as given."""
     if isinstance(model, ClusterCentres):
         return model
     return ClusterCentres([tuple(float(x) for x in c) for c in model.clusterCenters()], model)

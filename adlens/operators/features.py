@@ -96,6 +96,7 @@ def label_pairs(pairs: DataFrame, dictionary: DataFrame, default: Column | int |
 
 
 def histogram_columns(k: int) -> list[str]:
+    """Column names ``k0 .. k{k-1}`` of a K-cluster histogram."""
     return [f"k{i}" for i in range(k)]
 
 

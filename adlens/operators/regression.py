@@ -59,6 +59,7 @@ def gram_statistics(df: DataFrame, feature_cols: Sequence[str],
 
 @dataclass
 class LinearModel:
+    """Linear model (weights over named columns); predictions are a column expression."""
     feature_cols: list[str]
     weights: list[float]
     intercept: float = 0.0
@@ -128,6 +129,7 @@ def mse(pred: DataFrame, label: str = "label", prediction: str = "prediction") -
 
 
 def mse_value(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
+    """``mse`` as a Python float (one aggregate row)."""
     v = mse(pred, label, prediction).first()["mse"]
     return float(v) if v is not None else float("nan")
 
@@ -154,6 +156,7 @@ def split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
 
 def split_by_bucket(df: DataFrame, train_fraction: float = 0.7,
                     bucket: str = "_bucket") -> tuple[DataFrame, DataFrame]:
+    """Train/test by the stable bucket column, which is dropped from both sides."""
     cut = F.lit(int(round(train_fraction * SPLIT_BUCKETS)))
     return (df.filter(F.col(bucket) < cut).drop(bucket),
             df.filter(F.col(bucket) >= cut).drop(bucket))

@@ -22,6 +22,7 @@ FAILED = "error"
 
 
 def successful(df: DataFrame) -> DataFrame:
+    """Requests that did not fail."""
     return df.filter(F.col("status") != F.lit(FAILED))
 
 

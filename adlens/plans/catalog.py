@@ -43,19 +43,23 @@ FIT_PARALLELISM = 2
 
 
 def query(fn: Query) -> Query:
+    """Register a query function under its name."""
     REGISTRY[fn.__name__] = fn
     return fn
 
 
 def r6(c):
+    """Round to 6 decimal places (both engines round the same way)."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def centres_1d() -> C.ClusterCentres:
+    """Fixed 1-D centres of the checks: ``25 * i``, i = 0..20."""
     return C.fixed_centres_1d(21)
 
 
 def centres_2d() -> C.ClusterCentres:
+    """Fixed 2-D centres of the checks: a 6 x 6 grid, K = 36."""
     return C.fixed_centres_2d(36)
 
 

@@ -82,6 +82,7 @@ KMEANS_ITERATIONS = 50
 
 @dataclass
 class RegressionResult:
+    """Everything ``campaign_regression`` produces."""
     linear: R.LinearModel
     linear_training_mse: float
     grid: DataFrame                      # num_trees, max_depth, mse, fit_seconds

@@ -148,6 +148,7 @@ def _url() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """Query name -> DuckDB SQL over the driver's table views."""
     kw = _with(KEYWORD_ROWS)
     en = _with(KEYWORD_ROWS, ENABLED)
     st = _with(KEYWORD_ROWS, ENABLED, STATS)

@@ -22,6 +22,7 @@ EXCLUDED_ACCOUNTS = ("naccount7",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -58,17 +59,20 @@ def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``a_ml(id, age)`` over ``part``."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_size").alias("age"))
 
 
 def b_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``b_ml(id, weight, high)`` over ``customer``."""
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("weight"),
         (F.lit(150) + F.col("c_custkey") % 50).alias("high"))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log over ``events``."""
     return request_log_of(table(spark, sf_dir, "events"))
 
 

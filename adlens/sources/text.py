@@ -38,6 +38,7 @@ HISTORY_COLUMNS = ["account_id", "client_id", "impression", "quota_impression",
 
 
 class Quarantined(NamedTuple):
+    """Rows that parsed (``good``) and lines that did not, with a reason (``bad``)."""
     good: DataFrame
     bad: DataFrame
 
@@ -174,6 +175,7 @@ def format_history_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
+    """Write one-column ``value`` lines as text files (replacing the folder)."""
     lines.write.mode("overwrite").text(path)
 
 
