@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_byte_bpe(spark, sf_dir):
     """Byte-level BPE of every document, encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def held_out(holdout: int, remainder: int):
+    return (F.crc32(F.col("doc_id").cast("string")) % holdout == remainder).alias("held_out")
+
+
+@query
+def op1_quality(spark, sf_dir):
+    """Quality score of every document; fitted without the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document; fitted without the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).select("doc_id", held_out(4, 2), "score", "predicted",
+                                                *toxicity.CLASSES)

@@ -61,20 +61,30 @@ class _Powers:
         return cls.up, cls.down
 
 
+class SegmentHasher:
+    """64-bit hashes of byte segments of one array (prefix sums, made once)."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        up, self.down = _Powers.upto(len(data) + 1)
+        self.total = np.empty(len(data) + 1, dtype=np.uint64)
+        self.total[0] = 0
+        np.cumsum(BYTE_CODES[data] * up[:len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = (self.total[ends] - self.total[starts]) * self.down[starts]
+        out = mix(out + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            digest = hashlib.blake2b(self.data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every byte segment ``data[starts[i]:ends[i]]``."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _Powers.upto(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(BYTE_CODES[data] * up[:len(data)], out=total[1:])
-    out = (total[ends] - total[starts]) * down[starts]
-    out = mix(out + (ends - starts).astype(np.uint64))
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
-        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
-        out[i] = int.from_bytes(digest, "little")
-    return out
+    return SegmentHasher(data)(starts, ends)
 
 
 class Chunk:
