@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity
+from . import bpe, linededup, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,22 @@ def op9_toxicity(spark, sf_dir):
     grammar = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, grammar).select("doc_id", held_out(4, 2), "score", "predicted",
                                                 *toxicity.CLASSES)
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_mixing"] = mixing.SQL
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    """Every document without the boilerplate lines of its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.drop_lines(docs, report=True)
+
+
+ORACLES["op10_line_dedup"] = linededup.SQL
