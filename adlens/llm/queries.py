@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, quality, toxicity
+from . import bpe, fingerprints, linededup, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op10_line_dedup(spark, sf_dir):
 
 
 ORACLES["op10_line_dedup"] = linededup.SQL
+
+
+@query
+def op4_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, with likenesses."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
