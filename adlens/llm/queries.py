@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, linededup, mixing, quality, toxicity
+from . import bpe, fingerprints, linededup, mixing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,14 @@ ORACLES["op10_line_dedup"] = linededup.SQL
 def op4_fingerprints(spark, sf_dir):
     """Fingerprints of every document and of its edited text, with likenesses."""
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+#: Key of the registered query; production passes a secret of its own.
+PII_KEY = b"key of the registered query"
+
+
+@query
+def op3_pii(spark, sf_dir):
+    """Every document with its personal data under pseudonyms, counted by kind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, counts=True)
