@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, linededup, mixing, pii, quality, toxicity
+from . import ann, bpe, fingerprints, linededup, mixing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op3_pii(spark, sf_dir):
     """Every document with its personal data under pseudonyms, counted by kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY, counts=True)
+
+
+@query
+def op8_nearest(spark, sf_dir):
+    """The 5 nearest vectors found of every 50th vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
