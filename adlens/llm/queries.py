@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, linededup, mixing, pii, quality, toxicity
+from . import ann, bpe, fingerprints, linededup, mixing, ngramjoin, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,9 @@ def op3_pii(spark, sf_dir):
 def op8_nearest(spark, sf_dir):
     """The 5 nearest vectors found of every 50th vector."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op2_ngram_join(spark, sf_dir):
+    """Components of the documents whose 4-word shingle sets have Jaccard 0.85 or more."""
+    return ngramjoin.near_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
