@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, linededup, mixing, ngramjoin, pii, quality, toxicity
+from . import ann, bpe, fingerprints, linededup, mixing, ngramjoin, pii, quality, tokenfiles, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,10 @@ def op8_nearest(spark, sf_dir):
 def op2_ngram_join(spark, sf_dir):
     """Components of the documents whose 4-word shingle sets have Jaccard 0.85 or more."""
     return ngramjoin.near_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    """Token ids of every document, written to range-coded files and read back."""
+    files = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.summary(files)
