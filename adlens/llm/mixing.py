@@ -43,8 +43,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     """Per source: ``place`` (code point order), ``source_size``, ``target``,
     ``stop`` (the target in whole words) from (source, source_size) rows.
 
-    The shares are found by filling sources in the order in which they reach
-    their limit: the first that does not reach it fixes the level of the rest.
+    Sources are filled in the order in which they reach their limit.  With the
+    first ones full, the others would stand at words left / weights left; that
+    level rises with every source that must be full and falls with every other,
+    so the true level is the highest.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("full_at", "place").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +59,7 @@ def targets(sizes: DataFrame) -> DataFrame:
                .withColumn("words", everything).withColumn("weights", F.sum("weight").over(every)))
     left = F.col("words") - F.coalesce(F.sum("limit").over(fill), F.lit(0))
     open_ = F.col("weights") - F.coalesce(F.sum("weight").over(fill), F.lit(0))
-    level = F.min(F.when(F.col("level_here") <= F.col("full_at"), F.col("level_here"))).over(every)
+    level = F.max("level_here").over(every)
     return (weighed.withColumn("level_here", left / open_).withColumn("level", level)
             .withColumn("target", F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")))
             .select("source", "place", "source_size", "target",
@@ -179,7 +181,7 @@ f AS (SELECT *, cap / weight AS full_at,
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level_here FROM v),
-g AS (SELECT *, least(cap::DOUBLE, weight * (SELECT min(level_here) FROM f WHERE level_here <= full_at)) AS target FROM f),
+g AS (SELECT *, least(cap::DOUBLE, weight * (SELECT max(level_here) FROM f)) AS target FROM f),
 p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 0.5) AS stop,
     coalesce(sum(d.size) OVER (PARTITION BY g.place ORDER BY d.key, d.doc_id, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
