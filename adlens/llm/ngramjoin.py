@@ -46,6 +46,8 @@ from .textkit import chunks, mix, shingles
 _U = np.uint64
 #: Bytes of index entries that one task sorts, about.
 BUCKET_BYTES = 16 << 20
+#: Index entries that a task collects before it passes them on.
+HELD = 400_000
 #: Members of a leader that one task holds, times the leader's shingles.
 MEMBER_CELLS, MEMBERS = 8 << 20, 1024
 #: 64-bit words of the filter in front of the second reading of the texts.
@@ -182,7 +184,7 @@ def _index(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
                     sigs.append(s)
                     rows.append(own[o])
                     held += len(s)
-                if held > 2_000_000:
+                if held > HELD:
                     yield flush()
                     sigs, rows, held = [], [], 0
         if held:
