@@ -99,7 +99,7 @@ def fit_tree(x: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
         if parent is not None:
             children[parent][side] = name
     dim = x.shape[1] if x.ndim == 2 else 0
-    return Tree(np.array(normals, dtype=np.float32).reshape(-1, dim), np.array(offsets, dtype=np.float32),
+    return Tree(np.array(normals, dtype=np.float32).reshape(len(normals), dim), np.array(offsets, dtype=np.float32),
                 np.array(children, dtype=np.int64).reshape(-1, 2), leaves)
 
 
@@ -180,7 +180,8 @@ def fit_forest(pts: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int
     rows = (spark.range(trees, numPartitions=trees)
             .mapInArrow(grow, "tree long, normals binary, offsets binary, children binary, leaves long").collect())
     dim = x.shape[1]
-    return [Tree(np.frombuffer(bytes(r["normals"]), "<f4").reshape(-1, dim), np.frombuffer(bytes(r["offsets"]), "<f4"),
+    return [Tree(np.frombuffer(bytes(r["normals"]), "<f4").reshape(len(r["offsets"]) // 4, dim),
+                 np.frombuffer(bytes(r["offsets"]), "<f4"),
                  np.frombuffer(bytes(r["children"]), "<i8").reshape(-1, 2), r["leaves"])
             for r in sorted(rows, key=lambda r: r["tree"])]
 

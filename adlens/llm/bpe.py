@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import boundaries
-from .textkit import Chunk, chunks, mix, ragged, segment_hashes
+from .textkit import Chunk, chunks, map_batches, mix, ragged, segment_hashes
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Entries of the table of merged misses; it is emptied when full.
-MISS_ENTRIES = 400_000
+MISS_ENTRIES = 150_000
 
 
 class PerfectHash:
@@ -188,16 +189,16 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.merged: dict[bytes, np.ndarray] = {}
+        self.merged: dict[bytes, bytes] = {}  # piece -> its ids, packed
 
-    def _misses(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _misses(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.merged) > MISS_ENTRIES:
             self.merged.clear()
         out = []
         for p in pieces:
             got = self.merged.get(p)
             if got is None:
-                got = np.array(merge(p, self.v.ranks), dtype=np.uint32)
+                got = array("I", merge(p, self.v.ranks)).tobytes()
                 if len(p) <= 64:
                     self.merged[p] = got
             out.append(got)
@@ -220,14 +221,14 @@ def encode_pieces(data, at, first, whole, entry_ids, misses):
         _, one, which = np.unique(keys, return_index=True, return_inverse=True)
         raw = data.tobytes()
         found = misses([raw[s:e] for s, e in zip(starts[lost[one]].tolist(), ends[lost[one]].tolist())])
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
         counts[lost] = sizes[which]
     offsets = np.concatenate([[0], np.cumsum(counts)])
     ids = np.empty(int(offsets[-1]), dtype=np.uint32)
     kept = np.flatnonzero(hit)
     ids[offsets[kept]] = entry_ids[entry[kept]]
     if len(lost):
-        flat = np.concatenate(found)
+        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
         begins = np.cumsum(sizes) - sizes
         ids[ragged(offsets[lost], sizes[which])] = flat[ragged(begins[which], sizes[which])]
     return ids, offsets[first]
@@ -278,7 +279,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in keep] + [ids],
                                              [*keep, ids_col])
 
-    return df.mapInArrow(run, _with_column(df, ids_col, T.ArrayType(T.LongType())))
+    return map_batches(df, run, _with_column(df, ids_col, T.ArrayType(T.LongType())))
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -295,7 +296,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", bytes_col: str
                 [b.column(b.schema.get_field_index(n)) for n in keep] + [pa.array(out, pa.binary())],
                 [*keep, bytes_col])
 
-    return df.mapInArrow(run, _with_column(df, bytes_col, T.BinaryType()))
+    return map_batches(df, run, _with_column(df, bytes_col, T.BinaryType()))
 
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -328,4 +329,4 @@ def digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, DIGEST_SCHEMA)
+    return map_batches(rows, run, DIGEST_SCHEMA)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import in_order
-from .textkit import Chunk, SegmentHasher, chunks, mix
+from .textkit import Chunk, SegmentHasher, chunks, map_batches, mix
 
 STRONG, SOFT, PIECE = 8, 256, 8
 _U = np.uint64
@@ -126,7 +126,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    return map_batches(rows, run, "doc_id long, fingerprint string")
 
 
 COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -186,4 +186,4 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield flush(ids, texts)
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
 
-    return rows.select("_piece", "_ahead", "doc_id", "text").mapInArrow(run, COMPARED)
+    return map_batches(rows.select("_piece", "_ahead", "doc_id", "text"), run, COMPARED)

@@ -59,12 +59,11 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", site_col: str = "source",
     hits = (_page_lines(pages, "page", "site")
             .join(common, F.col("site").eqNullSafe(F.col("its_site")) & (F.col("line") == F.col("its_line")),
                   "left_semi")
-            .groupBy(F.col("page").alias("_hit_page"), F.col("site").alias("_hit_site"))
-            .agg(F.collect_set("line").alias("_hit_lines")))
-    text, drop = F.col(text_col), F.col("_hit_lines")
+            .groupBy("page", "site").agg(F.collect_set("line").alias("lines")))
+    hits = hits.select(*(F.col(c).alias(c) for c in hits.columns))
+    text, drop = df[text_col], hits["lines"]
     kept = F.filter(_lines(text), lambda x: ~F.array_contains(drop, F.xxhash64(x)))
-    out = df.join(hits, df[id_col].eqNullSafe(F.col("_hit_page")) & df[site_col].eqNullSafe(F.col("_hit_site")),
-                  "left")
+    out = df.join(hits, df[id_col].eqNullSafe(hits["page"]) & df[site_col].eqNullSafe(hits["site"]), "left")
     columns = [F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col
                else df[c] for c in df.columns if not (report and c in ("n_lines", "n_dropped"))]
     if report:

@@ -72,7 +72,7 @@ def positions(df: DataFrame, id_col: str, text_col: str, source_col: str, *carri
     key = F.md5(F.col("doc_id").cast("string"))
     rows = (df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                      *(F.col(c).alias(f"_{c}") for c in carried))
+                      *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)))
             .withColumn("key", F.coalesce(key, F.lit(""))).withColumn("bucket", F.substring("key", 1, 3)))
     if not carried:
         rows = write_table(rows, "mix-sizes")
@@ -164,7 +164,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = F.when(F.col("size") == 0, 1).otherwise(F.least(begun, F.lit(MAX_REPEAT))).cast("int")
     return (placed.withColumn("copies", copies).where("copies > 0")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*(F.col(f"_{c}").alias(c) for c in df.columns)))
+            .select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(df.columns))))
 
 
 #: ``op6_mixing`` in DuckDB: a row's words are the overlaps of its copies in the

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .components import components
-from .textkit import chunks, mix, shingles
+from .textkit import chunks, map_batches, mix, shingles
 
 _U = np.uint64
 #: Bytes of index entries that one task sorts, about.
@@ -221,7 +221,7 @@ def _index(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
             "k1": pa.concat_arrays([pa.array(docs_[4], pa.int64()), none]),
             "k2": pa.concat_arrays([pa.array(docs_[5], pa.int64()), none])})
 
-    cut_rows = docs.select("doc_id", "text").mapInArrow(cut, "bucket int, kind int, data binary")
+    cut_rows = map_batches(docs.select("doc_id", "text"), cut, "bucket int, kind int, data binary")
     return write_table(cut_rows.groupBy("bucket").applyInArrow(gather, _INDEX), "ngram-index")
 
 
@@ -414,9 +414,9 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
         if nodes:
             yield done()
 
-    dealt = read.mapInArrow(deal, "leader long, block int, blocks int, node long, data binary")
+    dealt = map_batches(read, deal, "leader long, block int, blocks int, node long, data binary")
     sorted_ = dealt.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("node") != F.col("leader"), "node")
-    first = write_table(sorted_.mapInArrow(resolve, _RESOLVED), "ngram-links")
+    first = write_table(map_batches(sorted_, resolve, _RESOLVED), "ngram-links")
 
     # members of one leader in several blocks: block against block
     across = (first.where("kind = 1")
@@ -455,8 +455,8 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
         if rows:
             yield out(done())
 
-    more = (across.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "block", "b")
-            .mapInArrow(cross, "a long, b long"))
+    more = map_batches(across.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "block", "b"),
+                       cross, "a long, b long")
     return first.where("kind = 0").select("a", "b").unionByName(more)
 
 
@@ -491,11 +491,14 @@ def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     """``df`` with one document of each group: the smallest id.  Of several
     rows with that id the one of lowest text hash stays; null ids all stay."""
     groups = near_groups(df, width, percent, id_col, text_col)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = df.where(F.col(id_col).isNotNull())
-    kept = named.join(firsts, F.col(id_col).cast("long") == F.col("_first"), "left_semi")
-    best = kept.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.xxhash64(text_col)).alias("_hash"), F.count("*").alias("_rows"))
-    once = kept.join(best, (F.col(id_col) == F.col("_id")) & ((F.col("_rows") == 1) | (F.xxhash64(text_col) == F.col("_hash"))))
-    single = once.where("_rows = 1").select(*df.columns)
-    several = once.where("_rows > 1").select(*df.columns).dropDuplicates([id_col])
-    return single.unionByName(several).unionByName(df.where(F.col(id_col).isNull()))
+    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    named = df.where(df[id_col].isNotNull())
+    kept = named.join(firsts, named[id_col].cast("long") == firsts["first"], "left_semi")
+    # names of columns are the caller's: the texts' hashes travel in a struct of their own
+    packed = kept.select(F.struct(*(kept[c] for c in df.columns)).alias("doc"), kept[id_col].alias("id"),
+                         F.xxhash64(kept[text_col]).alias("hash"))
+    least = packed.groupBy(F.col("id").alias("its_id")).agg(F.min("hash").alias("least"), F.count("*").alias("rows"))
+    one = packed.join(least, (F.col("id") == F.col("its_id")) & (F.col("hash") == F.col("least")))
+    single = one.where("rows = 1").select("doc.*")
+    several = one.where("rows > 1").groupBy("id").agg(F.first("doc").alias("doc")).select("doc.*")
+    return single.unionByName(several).unionByName(df.where(df[id_col].isNull()))

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textkit import map_batches
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "number", "secret")
 ROUNDS = 8
 #: Values whose pseudonyms a worker remembers.
@@ -269,7 +271,7 @@ def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", counts: bool
             columns += [pa.array([n.get(k, 0) for n in found], pa.int64()) for k in extra]
             yield pa.RecordBatch.from_arrays(columns, [*names, *extra])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def restore(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ rate, smoothed.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SPACE, Chunk, chunks, segment_hashes
+from .textkit import SPACE, Chunk, chunks, map_batches, segment_hashes
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -54,8 +55,8 @@ def features(chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     # pieces of words: their inner bytes are no white space, their ends may be
     codes = np.where(SPACE[data], np.uint32(32), data).astype(np.uint32)
     solid = ~SPACE[data]
-    owner = np.repeat(np.arange(chunk.n), np.diff(chunk.offsets))
-    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    owner = np.repeat(np.arange(chunk.n, dtype=np.int32), np.diff(chunk.offsets))
+    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     h = codes.copy()
     inner = np.ones(len(data), dtype=bool)
     for n in range(2, max(PIECES) + 1):
@@ -167,7 +168,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
                 half = len(raw) // 2
                 docs.append((np.frombuffer(raw[:half], dtype="<i4"), np.frombuffer(raw[half:], dtype="<f4")))
                 labels.append(int(label == 1))
-                ids.append((i is not None, i or 0, raw))
+                ids.append((i is not None, i or 0, zlib.crc32(raw)))
         order = sorted(range(len(ids)), key=ids.__getitem__)  # the same order on every run
         m = train([docs[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f8").tobytes()], pa.binary()),
@@ -175,7 +176,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     spark = labelled.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_docs)
-    counted = sample.mapInArrow(count, "id long, shares binary, label int")
+    counted = map_batches(sample, count, "id long, shares binary, label int")
     got = counted.coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
     if not got:
         return Model(np.zeros(BUCKETS), 0.0)
@@ -205,7 +206,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 ["doc_id", "score", "predicted"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, score double, predicted int")
 
 
 def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -218,7 +219,7 @@ def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float =
             s = [shared.value.scores(c) for c in chunks(b.column(place).cast(pa.string()))]
             yield b.filter(pa.array(np.concatenate(s) >= threshold)) if s else b
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:

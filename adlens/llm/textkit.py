@@ -15,9 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows that travel to a Python worker at once.  Spark's default of 10,000 whole
+#: texts can take hundreds of megabytes on either side.
+BATCH_ROWS = 1000
 #: Bytes of text that are processed together (one longer text is its own chunk).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -43,6 +47,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``BATCH_ROWS`` rows at most.
+
+    The session's own setting holds where it is lower; otherwise it is lowered
+    for the session, as it is read when the plan runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 class _Powers:
     """Powers of the hash base and of its inverse, extended on demand."""
 

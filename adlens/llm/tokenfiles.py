@@ -31,9 +31,9 @@ from . import rangecoder
 from .bpe import MAX_VOCAB_BYTES
 from .ordered import in_order
 from .pretokens import boundaries
-from .textkit import Chunk, SegmentHasher, chunks, ragged
+from .textkit import Chunk, SegmentHasher, chunks, map_batches, ragged
 
-UNIT = 1 << 20
+UNIT = 1 << 16
 #: Distinct pre-tokens that a worker remembers.
 REMEMBERED = 500_000
 END_ID = 2
@@ -150,7 +150,7 @@ def write(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if ready:
             yield flush()
 
-    return write_table(rows.mapInArrow(run, _UNITS), "token-files")
+    return write_table(map_batches(rows, run, _UNITS), "token-files")
 
 
 def _coded(units: list[tuple]) -> pa.RecordBatch:
@@ -224,7 +224,7 @@ def read(files: DataFrame) -> DataFrame:
                 [pa.array(r["doc_ids"], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
 
-    return files.mapInArrow(run, "doc_id long, ids array<long>")
+    return map_batches(files, run, "doc_id long, ids array<long>")
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -240,4 +240,4 @@ def summary(files: DataFrame) -> DataFrame:
                  pa.array([zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(ends.tolist(), ends[1:].tolist())], pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _placed(files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(_placed(files), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

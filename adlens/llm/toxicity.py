@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .quality import sample_labels
-from .textkit import LOWER, Chunk, SegmentHasher, chunks, segment_hashes
+from .textkit import LOWER, Chunk, SegmentHasher, chunks, map_batches, segment_hashes
 
 MAX_DOCS = 20_000
 
@@ -289,7 +289,7 @@ def learn(docs: DataFrame, ids: DataFrame) -> Lexicon:
 
     labelled = docs.join(F.broadcast(ids), "doc_id").select(
         F.xxhash64("text").alias("doc"), F.col("text").cast("string").alias("text"), "label").where("text is not null")
-    found = labelled.mapInArrow(pairs, "key long, doc long, toxic int")
+    found = map_batches(labelled, pairs, "key long, doc long, toxic int")
     # copies of one text are one piece of evidence
     arcs = (found.groupBy("key", "doc").agg(F.max("toxic").alias("toxic"))
             .groupBy("key").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"),
@@ -334,7 +334,7 @@ def describe(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      *(F.col(c).cast("long").alias(c) for c in carried))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *CLASSES, *carried)))
+    return map_batches(rows, run, ", ".join(f"{c} long" for c in ("doc_id", *CLASSES, *carried)))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Grammar:
