@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import centre_coordinate, nearest_centre
-from ..session import materialize
+from ..session import fit_layout, in_parallel
 
 ONE_D = ("n",)
 TWO_D = ("n", "avg_qi")
@@ -156,13 +156,6 @@ def _fit_and_score(stats: DataFrame, k: int, features: Sequence[str], max_iter:
     return centres, float(disp) if disp is not None else float("nan"), fit_seconds
 
 
-def _parallel(fn, items, parallelism: int):
-    if parallelism <= 1:
-        return [fn(x) for x in items]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(fn, items))
-
-
 K_SWEEP = tuple(range(1, 100, 5))   # fixed values: K = 1, 6, ..., 96
 
 
@@ -174,8 +167,8 @@ def sweep_k(stats: DataFrame, ks: Iterable[int] = K_SWEEP, features: Sequence[st
     The statistics are written once as a table so every fit rescans a short lineage.
     """
     ks = list(ks)
-    data = materialize(stats.select(*features))
-    results = _parallel(lambda k: _fit_and_score(data, k, features, max_iter, seed, dim),
+    data = fit_layout(stats.select(*features))
+    results = in_parallel(lambda k: _fit_and_score(data, k, features, max_iter, seed, dim),
                         ks, parallelism)
     spark = stats.sparkSession
     schema = "k int, n_centres int, dispersion double, fit_seconds double"
@@ -189,8 +182,8 @@ def restart_kmeans(stats: DataFrame, k: int = 21, n: int = 7, features: Sequence
                    parallelism: int = 1) -> tuple[DataFrame, list[ClusterCentres]]:
     """M3: ``n`` fits of the same K with different seeds -> metrics and fits."""
     seeds = list(seeds) if seeds is not None else [1000 + i for i in range(n)]
-    data = materialize(stats.select(*features))
-    results = _parallel(lambda s: _fit_and_score(data, k, features, max_iter, s, dim),
+    data = fit_layout(stats.select(*features))
+    results = in_parallel(lambda s: _fit_and_score(data, k, features, max_iter, s, dim),
                         seeds, parallelism)
     spark = stats.sparkSession
     schema = "run int, seed long, k int, n_centres int, dispersion double, fit_seconds double"
@@ -208,7 +201,10 @@ def select_best(metrics: DataFrame, by: str, ascending: bool = True) -> DataFram
 # ---- persistence (S4, S5) -------------------------------------------------
 
 def save_model(model: KMeansModel | ClusterCentres, path: str, spark: SparkSession | None = None) -> None:
-    """ML writer for fitted models; a centres table for closed-form ones."""
+    """ML writer for fitted models, a centres table for closed-form ones.
+
+    Either replaces everything at ``path``, so an older model never stays.
+    """
     if isinstance(model, ClusterCentres) and model.model is not None:
         model = model.model
     if isinstance(model, KMeansModel):
@@ -216,15 +212,19 @@ def save_model(model: KMeansModel | ClusterCentres, path: str, spark: SparkSessi
         return
     if spark is None:
         raise ValueError("a SparkSession is needed to save plain centres")
-    model.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path + "/centres")
+    model.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> ClusterCentres:
-    """Load what ``save_model`` wrote (either form)."""
+    """Load what ``save_model`` wrote; the form is told by the ML metadata."""
     try:
+        fitted = not spark.read.text(f"{path}/metadata").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fitted = False
+    if fitted:
         return centres_of(KMeansModel.load(path))
-    except Exception:  # noqa: BLE001 - fall back to the centres table
-        df = spark.read.parquet(path + "/centres").orderBy("cluster_id")
-        rows = df.collect()  # <= K rows: model parameters
-        dims = len(df.columns) - 1
-        return ClusterCentres([tuple(r[f"c{d}"] for d in range(dims)) for r in rows])
+    df = spark.read.parquet(path).orderBy("cluster_id")
+    rows = df.collect()  # <= K rows: model parameters
+    return ClusterCentres([tuple(r[f"c{d}"] for d in range(len(df.columns) - 1)) for r in rows])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (ENABLED_STATE, lookup_key, normalize_keyword, strict_double,
                               strip_dashes)
-from ..session import MAX_BROADCAST_ROWS, checked_broadcast, write_table
+from ..session import MAX_BROADCAST_BYTES, checked_broadcast, write_table
 from .clustering import ClusterCentres, TWO_D
 from .keywords import enabled_keywords
 
@@ -60,23 +60,23 @@ def label_dictionary(stats: DataFrame, centres: ClusterCentres,
 
 
 def _dict_side(dictionary: DataFrame, value: str,
-               max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+               max_broadcast_bytes: int | None = MAX_BROADCAST_BYTES) -> DataFrame:
     d = dictionary.select(F.col("keyword").alias("_dict_key"), F.col(value).alias("_dict_value"))
-    return d if max_broadcast_rows is None else checked_broadcast(d, max_broadcast_rows)
+    return d if max_broadcast_bytes is None else checked_broadcast(d, max_broadcast_bytes)
 
 
 def label_keywords(rows: DataFrame, dictionary: DataFrame, default: Column | int | float,
                    lookup_case: str = "reference", value: str = "cluster_id",
                    state: str = ENABLED_STATE,
-                   max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_bytes: int | None = MAX_BROADCAST_BYTES) -> DataFrame:
     """J2 + P5: every enabled row with its dictionary value, ``default`` on a miss.
 
     ``client_id, account_id, keyword (raw), <value>``.  A left join, so the
-    dictionary may be any size: it is broadcast when its counted size is
-    under ``max_broadcast_rows``, else the join is sort-merge (AQE splits
+    dictionary may be any size: it is broadcast when its measured size is
+    under ``max_broadcast_bytes``, else the join is sort-merge (AQE splits
     skewed partitions).  ``None`` leaves the choice to the optimizer.
     """
-    d = _dict_side(dictionary, value, max_broadcast_rows)
+    d = _dict_side(dictionary, value, max_broadcast_bytes)
     dflt = default if isinstance(default, Column) else F.lit(default)
     left = enabled_keywords(rows, state).select(
         *CAMPAIGN, "keyword", lookup_key("keyword", lookup_case).alias("_lookup"))
@@ -86,9 +86,9 @@ def label_keywords(rows: DataFrame, dictionary: DataFrame, default: Column | int
 
 def label_pairs(pairs: DataFrame, dictionary: DataFrame, default: Column | int | float,
                 lookup_case: str = "reference", value: str = "cluster_id",
-                max_broadcast_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_bytes: int | None = MAX_BROADCAST_BYTES) -> DataFrame:
     """J2 on pre-aggregated pairs: ``client_id, account_id, n, <value>``."""
-    d = _dict_side(dictionary, value, max_broadcast_rows)
+    d = _dict_side(dictionary, value, max_broadcast_bytes)
     dflt = default if isinstance(default, Column) else F.lit(default)
     left = pairs.withColumn("_lookup", lookup_key("keyword", lookup_case))
     return (left.join(d, left["_lookup"] == d["_dict_key"], "left")
@@ -142,7 +142,7 @@ def campaign_avg_of_avg(rows: DataFrame, lookup_case: str = "reference", default
     """
     pairs = shared_pairs(rows, state, share) if pairs is None else pairs
     means = stats_from_pairs(pairs).select("keyword", "avg_qi")
-    d = _dict_side(means, "avg_qi", MAX_BROADCAST_ROWS)
+    d = _dict_side(means, "avg_qi", MAX_BROADCAST_BYTES)
     left = pairs.withColumn("_lookup", lookup_key("keyword", lookup_case))
     joined = left.join(d, left["_lookup"] == d["_dict_key"], "left")
     v = F.coalesce("_dict_value", F.lit(float(default)))

@@ -9,19 +9,20 @@ then run on that small matrix.  Forests are ``pyspark.ml`` estimators.
 from __future__ import annotations
 
 import math
+import threading
 import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import fit_layout, in_parallel
 
 # Fixed values of the original linear model: 300 iterations, step 5e-15, no intercept.
 SGD_ITERATIONS = 300
@@ -30,31 +31,22 @@ SGD_STEP = 5e-15
 
 def gram_statistics(df: DataFrame, feature_cols: Sequence[str],
                     label: str = "label") -> tuple[np.ndarray, np.ndarray, int]:
-    """One aggregate: ``X'X``, ``X'y`` and the row count.
+    """One pass: ``X'X``, ``X'y`` and the row count.
 
-    Each row becomes one vector ``[x_i * x_j for i <= j] + [x_i * y]`` and the
-    vectors are summed by ``Summarizer`` (a JVM aggregate with map-side partial
-    sums), so the buffer is d(d+1)/2 + d doubles per task whatever the row count.
+    Rows become vectors ``[1, x, y]`` whose Gram matrix is summed in the JVM
+    (``RowMatrix``: a packed triangle per task, merged in a tree), so the buffer
+    is d(d+1)/2 doubles per task whatever the row count.  The constant 1 makes
+    the row count part of the same matrix.
     """
     d = len(feature_cols)
-    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    y = F.col(label).cast("double")
-    upper = F.flatten(F.transform(
-        x, lambda xi, i: F.transform(F.slice(x, i + 1, F.lit(d) - i), lambda xj: xi * xj)))
-    v = array_to_vector(F.concat(upper, F.transform(x, lambda xi: xi * y)))
-    s = (df.select(v.alias("v"))
-         .select(Summarizer.metrics("sum", "count").summary(F.col("v")).alias("s"))
-         .first()["s"])
-    n = int(s["count"]) if s is not None else 0
-    xtx = np.zeros((d, d))
-    xty = np.zeros(d)
-    if n:
-        sums = s["sum"].toArray()
-        iu = np.triu_indices(d)
-        xtx[iu] = sums[:len(iu[0])]
-        xtx = xtx + np.triu(xtx, 1).T
-        xty = np.asarray(sums[len(iu[0]):], dtype=float)
-    return xtx, xty, n
+    rows = VectorAssembler(inputCols=["_one", *feature_cols, "_label"], outputCol="v", handleInvalid="error").transform(
+        df.select(F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in feature_cols],
+                  F.col(label).cast("double").alias("_label"))).select("v")
+    if rows.isEmpty():
+        return np.zeros((d, d)), np.zeros(d), 0
+    vectors = MLUtils.convertVectorColumnsFromML(rows, "v")
+    g = RowMatrix(vectors).computeGramianMatrix().toArray()
+    return g[1:-1, 1:-1], g[1:-1, -1], int(round(g[0, 0]))
 
 
 @dataclass
@@ -154,6 +146,12 @@ def split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(SPLIT_BUCKETS))
 
 
+def text_split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
+    """The same from the md5 of the columns' text, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % SPLIT_BUCKETS
+
+
 def split_by_bucket(df: DataFrame, train_fraction: float = 0.7,
                     bucket: str = "_bucket") -> tuple[DataFrame, DataFrame]:
     """Train/test by the stable bucket column, which is dropped from both sides."""
@@ -178,43 +176,51 @@ def split_train_test(df: DataFrame, train_fraction: float = 0.7, seed: int = 42,
 
 # ---- forests ----------------------------------------------------------------
 
+#: Node statistics of one fit, in MB.  A task holds them for the nodes it grows
+#: at a time; 32 MB keep several concurrent fits of 150 trees of depth 19 with
+#: 1024 bins inside a 1 GiB heap, at the price of more passes over the rows.
+MAX_MEMORY_MB = 32
+
+
 def fit_forest(train: DataFrame, num_trees: int, max_depth: int, max_bins: int = 1024,
                seed: int = 42, feature_subset: str = "auto",
-               features: str = "features", label: str = "label") -> RandomForestRegressionModel:
+               features: str = "features", label: str = "label", *,
+               max_memory_mb: int = MAX_MEMORY_MB, cache_node_ids: bool = False,
+               checkpoint_interval: int = 10, subsampling_rate: float = 1.0,
+               bootstrap: bool = True) -> RandomForestRegressionModel:
     """M8: random-forest regressor, variance impurity, all features continuous."""
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, numTrees=num_trees, maxDepth=max_depth,
         maxBins=max_bins, impurity="variance", featureSubsetStrategy=feature_subset,
-        seed=seed).fit(train)
+        maxMemoryInMB=max_memory_mb, cacheNodeIds=cache_node_ids, checkpointInterval=checkpoint_interval,
+        subsamplingRate=subsampling_rate, bootstrap=bootstrap, seed=seed).fit(train)
 
 
-def _score_forest(train, test, trees, depth, max_bins, seed):
+def _score_forest(train, test, trees, depth, max_bins, seed, options):
     t0 = time.perf_counter()
-    model = fit_forest(train, trees, depth, max_bins, seed)
+    model = fit_forest(train, trees, depth, max_bins, seed, **options)
     fit_seconds = time.perf_counter() - t0
     return model, mse_value(model.transform(test)), fit_seconds
 
 
-def _parallel(fn, items, parallelism):
-    if parallelism <= 1:
-        return [fn(x) for x in items]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(fn, items))
-
-
 def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths: Sequence[int],
                 max_bins: int = 1024, seed: int = 42, parallelism: int = 1,
-                keep_models: bool = False, checkpoint_inputs: bool = True):
+                keep_models: bool = False, checkpoint_inputs: bool = True, **options):
     """M9: every (trees, depth) on one fixed split -> ``num_trees, max_depth, mse, fit_seconds``.
 
-    Train and test rows are written once as tables so every fit rescans a short,
-    reliable lineage.
+    Train and test rows are laid out once (``fit_layout``) so every fit rescans
+    a short, reliable lineage.  A model is dropped once scored unless
+    ``keep_models``; ``options`` go to :func:`fit_forest`.
     """
     if checkpoint_inputs:
-        train, test = materialize(train, spread=True), materialize(test, spread=True)
+        train, test = fit_layout(train), fit_layout(test)
     grid = [(t, d) for t in trees for d in depths]
-    res = _parallel(lambda p: _score_forest(train, test, p[0], p[1], max_bins, seed),
-                    grid, parallelism)
+
+    def one(p):
+        model, score, seconds = _score_forest(train, test, p[0], p[1], max_bins, seed, options)
+        return (model if keep_models else None), score, seconds
+
+    res = in_parallel(one, grid, parallelism)
     metrics = train.sparkSession.createDataFrame(
         [(t, d, r[1], r[2]) for (t, d), r in zip(grid, res)],
         "num_trees int, max_depth int, mse double, fit_seconds double")
@@ -223,19 +229,27 @@ def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
 
 def repeat_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths: Sequence[int],
                   max_bins: int = 1024, seeds: Sequence[int] | None = None, parallelism: int = 1,
-                  checkpoint_inputs: bool = True):
+                  checkpoint_inputs: bool = True, **options):
     """Repeated fits (one seed per repeat) -> metrics ``run, seed, num_trees, max_depth, mse``
-    and the models, in run order."""
+    and the model of lowest test MSE (the first on ties); no other model is kept."""
     if checkpoint_inputs:
-        train, test = materialize(train, spread=True), materialize(test, spread=True)
+        train, test = fit_layout(train), fit_layout(test)
     runs = [(t, d) for t in trees for d in depths]
     seeds = list(seeds) if seeds is not None else [100 + i for i in range(len(runs))]
-    res = _parallel(lambda i: _score_forest(train, test, runs[i][0], runs[i][1], max_bins, seeds[i]),
-                    range(len(runs)), parallelism)
+    best, lock = [math.inf, len(runs), None], threading.Lock()
+
+    def one(i: int):
+        model, score, seconds = _score_forest(train, test, runs[i][0], runs[i][1], max_bins, seeds[i], options)
+        with lock:
+            if (score, i) < (best[0], best[1]):
+                best[:] = [score, i, model]
+        return score, seconds
+
+    res = in_parallel(one, range(len(runs)), parallelism)
     metrics = train.sparkSession.createDataFrame(
-        [(i, seeds[i], runs[i][0], runs[i][1], r[1], r[2]) for i, r in enumerate(res)],
+        [(i, seeds[i], *runs[i], *r) for i, r in enumerate(res)],
         "run int, seed long, num_trees int, max_depth int, mse double, fit_seconds double")
-    return metrics, [r[0] for r in res]
+    return metrics, best[2]
 
 
 def tune_forest(data: DataFrame, trees: Sequence[int], depths: Sequence[int],
@@ -249,12 +263,13 @@ def tune_forest(data: DataFrame, trees: Sequence[int], depths: Sequence[int],
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", maxBins=max_bins,
-                               impurity="variance", featureSubsetStrategy="auto", seed=seed)
+                               impurity="variance", featureSubsetStrategy="auto", seed=seed,
+                               maxMemoryInMB=MAX_MEMORY_MB)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build()
     tvs = TrainValidationSplit(estimator=rf, estimatorParamMaps=grid, trainRatio=train_ratio,
                                evaluator=RegressionEvaluator(metricName="mse"), seed=seed,
                                parallelism=parallelism)
-    fitted = tvs.fit(materialize(data, spread=True))
+    fitted = tvs.fit(fit_layout(data))
     rows = [(pm[rf.numTrees], pm[rf.maxDepth], float(m))
             for pm, m in zip(grid, fitted.validationMetrics)]
     metrics = data.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, mse double")

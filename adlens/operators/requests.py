@@ -11,11 +11,10 @@ from collections.abc import Sequence
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import form_url_encode
-from ..session import materialize
 
 DEFAULT_BASE_URL = "http://localhost:8080/search?q="
 FAILED = "error"
@@ -50,60 +49,123 @@ def throughput(df: DataFrame, width_seconds: int = 3600, ts: str = "ts") -> Data
                     F.expr(f"(requests * 1000) div {width_ms}").alias("rate_per_sec")))
 
 
+#: Relative rank error of the first scan, and the most values of one bracket
+#: that are sorted out at a time; a larger bracket is narrowed again.
+BRACKET_ERROR, BRACKET_ROWS = 1e-4, 1_000_000
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[float, float | None]:
     """Exact continuous quantiles (linear interpolation between the two
     nearest ranks, as ``percentile`` / ``quantile_cont``) of a numeric column.
 
-    Distributed selection, no group held in one task:
+    Two scans, and no shuffle of the values:
 
-    1. count rows per distinct value (partial aggregation; a hot value is one row),
-    2. range-partition the distinct values and write them once (stable partition ids),
-    3. per-partition totals (one row per partition) -> prefix offsets,
-    4. running count inside each partition + offset = global rank span per value,
-    5. pick the values whose span holds the wanted ranks.
+    1. one ``percentile_approx`` sketch (bounded size) gives for every wanted
+       rank a bracket of two values around it, and the row count;
+    2. one aggregate counts for every bracket the rows below it and, by value,
+       the rows inside it.  Only the distinct values of the brackets (about
+       ``BRACKET_ERROR`` of the rows each) are grouped, partly on the map side.
 
-    Only the per-partition totals (one row per partition) and the picked
-    values reach the driver.
+    A bracket that misses its rank is widened, and one that holds more than
+    ``BRACKET_ROWS`` distinct values is cut by a sketch of its own, until every
+    rank is found; a value with very many rows is one group.
     """
-    vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    ranged = materialize(vc.repartitionByRange("v").select(
-        "v", "c", F.spark_partition_id().alias("pid")))
-    totals = sorted((r["pid"], r["t"]) for r in
-                    ranged.groupBy("pid").agg(F.sum("c").alias("t")).collect())  # one row per partition
-    offsets, n = [], 0
-    for pid, t in totals:
-        offsets.append((pid, n))
-        n += t
+    v = F.col(col)
+    rows = df.filter(v.isNotNull()).select(v.cast("double").alias("v"))
+    n = rows.count()
     if n == 0:
         return {p: None for p in probs}
-    off = df.sparkSession.createDataFrame(offsets, "pid int, offset long")
-    upto = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    spans = (ranged.join(F.broadcast(off), "pid")
-             .withColumn("end", F.col("offset") + F.sum("c").over(upto))
-             .withColumn("start", F.col("end") - F.col("c")))
-    wanted = {}
+    wanted = {r for p in probs for r in (math.floor((n - 1) * float(p)), math.ceil((n - 1) * float(p)))}
+    found: dict[int, float] = {}
+    bounds = {r: (-math.inf, math.inf, 0, n) for r in wanted}  # low, high, rows below low, rows inside
+    widen = 2.0
+    while bounds:
+        bounds = _narrow(rows, bounds, widen)
+        bounds, found = _pick(rows, bounds, found)
+        widen *= 4
+    out = {}
     for p in probs:
         h = (n - 1) * float(p)
-        wanted[p] = (h, int(math.floor(h)), int(math.ceil(h)))
+        lo, hi = math.floor(h), math.ceil(h)
+        out[p] = found[lo] + (h - lo) * (found[hi] - found[lo])
+    return out
+
+
+def _inside(low: float, high: float):
+    """Rows of a bracket, NaN (the largest double) included in an open end."""
+    c = F.lit(True)
+    if low != -math.inf:
+        c = c & (F.col("v") >= F.lit(low))
+    if high != math.inf:
+        c = c & (F.col("v") <= F.lit(high))
+    return c
+
+
+def _narrow(rows: DataFrame, bounds: dict, widen: float) -> dict:
+    """Tighter brackets from one sketch of the rows inside each bracket."""
+    accuracy = int(1 / BRACKET_ERROR)
     aggs = []
-    for i, (_, lo, hi) in enumerate(wanted.values()):
-        for tag, rank in (("lo", lo), ("hi", hi)):
-            hit = (F.col("start") <= F.lit(rank)) & (F.lit(rank) < F.col("end"))
-            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"{tag}{i}"))
-    picked = spans.agg(*aggs).first()
+    for r, (low, high, below, inside) in bounds.items():
+        share = (r - below + 0.5) / inside
+        step = widen * BRACKET_ERROR
+        points = [max(0.0, share - step), min(1.0, share + step)]
+        aggs.append(F.percentile_approx(F.when(_inside(low, high), F.col("v")), F.array(*map(F.lit, points)), accuracy).alias(f"b{r}"))
+    row = rows.agg(*aggs).first()
     out = {}
-    for i, (p, (h, lo, _)) in enumerate(wanted.items()):
-        a, b = float(picked[f"lo{i}"]), float(picked[f"hi{i}"])
-        out[p] = a + (h - lo) * (b - a)
+    for r, (low, high, below, inside) in bounds.items():
+        a, b = (float(x) for x in row[f"b{r}"])
+        step = widen * BRACKET_ERROR
+        share = (r - below + 0.5) / inside
+        out[r] = (low if share <= step else a, high if share + step >= 1 else b, low, high)
     return out
 
 
+def _pick(rows: DataFrame, bounds: dict, found: dict) -> tuple[dict, dict]:
+    """The values at the ranks whose bracket holds them; the other brackets."""
+    aggs = []
+    for r, (low, high, *_) in bounds.items():
+        inside = _inside(low, high)
+        under = F.lit(False) if low == -math.inf else F.col("v") < F.lit(low)
+        aggs += [F.count_if(under).alias(f"under{r}"), F.count_if(inside).alias(f"in{r}")]
+    counts = rows.agg(*aggs).first()
+    left, ready = {}, []
+    for r, (low, high, old_low, old_high) in bounds.items():
+        under, inside = counts[f"under{r}"], counts[f"in{r}"]
+        if low == high and under <= r < under + inside:
+            found[r] = low
+        elif under <= r < under + inside:
+            left[r] = (low, high, under, inside)
+            if inside <= BRACKET_ROWS or _one_value(rows, low, high):
+                ready.append(r)
+        else:  # the sketch was off: back to the bracket before, from its own start
+            below = 0 if old_low == -math.inf else rows.filter(F.col("v") < F.lit(old_low)).count()
+            left[r] = (old_low, old_high, below, rows.filter(_inside(old_low, old_high)).count())
+    for r in ready:
+        low, high, under, _ = left.pop(r)
+        at = under
+        for x in rows.filter(_inside(low, high)).groupBy("v").count().orderBy("v").toLocalIterator():
+            at += x["count"]
+            if r < at:
+                found[r] = float(x["v"])
+                break
+    return left, found
+
+
+def _one_value(rows: DataFrame, low: float, high: float) -> bool:
+    """Few distinct values among very many rows (ties)."""
+    return rows.filter(_inside(low, high)).groupBy("v").count().limit(BRACKET_ROWS + 1).count() <= BRACKET_ROWS
+
+
+def percentile_name(p: float) -> str:
+    """``p50_ms``, ``p99_ms``, ``p99_9_ms``, ...: the digits of the percentage."""
+    return f"p{100 * float(p):.10g}".replace(".", "_") + "_ms"
+
+
 def latency_summary(df: DataFrame, percentiles: Sequence[float] = (0.5, 0.95, 0.99),
                     exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, min, max and percentiles of successful-request latency.
 
-    ``exact=True``: percentiles by ``exact_quantiles`` (distributed selection).
+    ``exact=True``: percentiles by ``exact_quantiles`` (two scans).
     ``exact=False``: ``percentile_approx`` sketches of bounded size
     (rank error <= n / accuracy), one pass.
     """
@@ -111,7 +173,7 @@ def latency_summary(df: DataFrame, percentiles: Sequence[float] = (0.5, 0.95, 0.
     s = successful(df)
     aggs = [F.count(F.lit(1)).alias("requests"), F.avg(lat).alias("mean_ms"),
             F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms")]
-    names = [f"p{int(round(p * 100))}_ms" for p in percentiles]
+    names = [percentile_name(p) for p in percentiles]
     if not exact:
         aggs += [F.percentile_approx(lat, float(p), accuracy).alias(nm)
                  for p, nm in zip(percentiles, names)]
@@ -127,7 +189,7 @@ def latency_by_window(df: DataFrame, width_seconds: int = 3600, ts: str = "ts",
     """R4 per tumbling window (the latency log of each reporting interval):
     count, mean, min, max and sketch percentiles per window."""
     lat = F.col("latency_ms")
-    names = [f"p{int(round(p * 100))}_ms" for p in percentiles]
+    names = [percentile_name(p) for p in percentiles]
     aggs = [F.count(F.lit(1)).alias("requests"), F.avg(lat).alias("mean_ms"),
             F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms")]
     aggs += [F.percentile_approx(lat, float(p), accuracy).alias(nm)

@@ -1,6 +1,10 @@
 """End-to-end flows: keyword clustering, campaign training rows, regression,
-and the tree-model flow.  Each is a composition of the operators, declared
-lazily so Catalyst sees the whole plan."""
+and the tree-model flow.  Each is a composition of the operators.
+
+Not everything is lazy: a flow runs jobs while it is built wherever later
+steps need a written table (shared pairs, dictionaries whose bytes are
+measured, fit inputs), model parameters or metrics.  Run flows inside
+``session.staging`` to drop the written tables at the end."""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from ..operators import clustering as C
 from ..operators import features as FT
 from ..operators import keywords as K
 from ..operators import regression as R
-from ..session import materialize
+from ..session import fit_layout, materialize
 
 
 def campaign_training_rows(keyword_rows: DataFrame, history_rows: DataFrame,
@@ -54,20 +58,19 @@ def keyword_clustering(keyword_rows: DataFrame, ks: Iterable[int] = C.K_SWEEP,
 def forest_regression(rows: DataFrame, feature_cols: Sequence[str], trees: Sequence[int],
                       depths: Sequence[int], max_bins: int = 1024, seed: int = 42,
                       parallelism: int = 1):
-    """Training rows -> hash split 70/30 -> forest grid -> (metrics, models, test rows)."""
+    """Training rows -> hash split 70/30 -> forest grid -> (metrics, train, test rows)."""
     train, test = labeled_split(rows, feature_cols, seed)
-    metrics, models = R.grid_forest(train, test, trees, depths, max_bins, seed,
-                                    parallelism=parallelism, keep_models=True,
-                                    checkpoint_inputs=False)
-    return metrics, models, test
+    metrics = R.grid_forest(train, test, trees, depths, max_bins, seed, parallelism=parallelism,
+                            checkpoint_inputs=False)
+    return metrics, train, test
 
 
 def labeled_split(rows: DataFrame, feature_cols: Sequence[str], seed: int = 42,
                   train_fraction: float = 0.7):
-    """Label/feature rows written once (spread over all cores) with a
-    stable hash bucket; train and test are filters over that one table."""
+    """Label/feature rows with a stable hash bucket, written and laid out once
+    (``session.fit_layout``); train and test are filters over that table."""
     with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed))
-    labeled = materialize(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]), spread=True)
+    labeled = fit_layout(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]))
     return R.split_by_bucket(labeled, train_fraction)
 
 
@@ -87,7 +90,7 @@ class RegressionResult:
     linear_training_mse: float
     grid: DataFrame                      # num_trees, max_depth, mse, fit_seconds
     final: DataFrame | None = None       # run, seed, num_trees, max_depth, mse, fit_seconds
-    final_models: list = field(repr=False, default_factory=list)
+    final_model: object = field(repr=False, default=None)   # the best final model
     residuals: DataFrame | None = None   # residual, label, prediction (best final model, test rows)
 
 
@@ -102,7 +105,7 @@ def campaign_regression(rows: DataFrame, feature_cols: Sequence[str],
     70/30 split, the forest grid on it, the final repeated forests, and the
     residuals of the best final model on the test rows.
     """
-    fixed = materialize(rows, spread=True)
+    fixed = materialize(rows)
     linear = R.fit_linear_sgd(fixed, feature_cols)
     linear_mse = R.mse_value(linear.transform(fixed))
     train, test = labeled_split(fixed, feature_cols, seed)
@@ -110,12 +113,9 @@ def campaign_regression(rows: DataFrame, feature_cols: Sequence[str],
                                  parallelism=parallelism, checkpoint_inputs=False)
     result = RegressionResult(linear, linear_mse, grid_metrics)
     if final is not None:
-        final_metrics, models = R.repeat_forest(train, test, final[0], final[1], max_bins,
-                                                parallelism=parallelism, checkpoint_inputs=False)
-        scores = [r["mse"] for r in final_metrics.orderBy("run").collect()]  # one row per model
-        best = min(range(len(models)), key=lambda i: scores[i])
-        result.final, result.final_models = final_metrics, models
-        result.residuals = R.residuals(models[best].transform(test)).select(
+        result.final, result.final_model = R.repeat_forest(
+            train, test, final[0], final[1], max_bins, parallelism=parallelism, checkpoint_inputs=False)
+        result.residuals = R.residuals(result.final_model.transform(test)).select(
             "residual", "label", "prediction")
     return result
 
@@ -123,7 +123,7 @@ def campaign_regression(rows: DataFrame, feature_cols: Sequence[str],
 def keyword_restarts(keyword_rows: DataFrame, k: int = 21, n: int = KMEANS_RESTARTS,
                      features: Sequence[str] = C.ONE_D, parallelism: int = 1):
     """1-D workflow: keyword counts -> ``n`` K-means fits at one K -> (metrics, best fit)."""
-    counts = K.keyword_counts(keyword_rows) if features == C.ONE_D else K.keyword_stats(keyword_rows)
+    counts = K.keyword_counts(keyword_rows) if list(features) == ["n"] else K.keyword_stats(keyword_rows)
     metrics, fits = C.restart_kmeans(counts, k, n, features, max_iter=KMEANS_ITERATIONS,
                                      parallelism=parallelism)
     best_run = C.select_best(metrics, "dispersion").first()["run"]

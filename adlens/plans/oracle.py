@@ -176,7 +176,8 @@ lines AS (
   SELECT 'history', concat_ws(',', account_id, client_id, '', CAST(impression AS VARCHAR), '', '',
                    '', '', CAST(quota_impression AS VARCHAR), '', '', '', CAST(max_cpc AS VARCHAR)), ','
   FROM history_rows)
-SELECT source, CAST(len(string_split(rtrim(line, sep), sep)) AS INTEGER) AS n_fields,
+SELECT source, CAST(CASE WHEN line <> '' AND rtrim(line, sep) = '' THEN 0
+                         ELSE len(string_split(rtrim(line, sep), sep)) END AS INTEGER) AS n_fields,
        count(*) AS n_lines
 FROM lines GROUP BY ALL"""
 
@@ -278,6 +279,28 @@ SELECT round(CAST(weight AS DOUBLE), 6) AS label, round(age / 12.0, 6) AS age_ye
        round(high / 100.0, 6) AS high_meters,
        round(avg(weight) OVER (PARTITION BY age, high), 6) AS prediction FROM ab"""
 
+    # Trees without bootstrap on all features are all that one tree.
+    q["forest_exact"] = q["decision_tree_fit"]
+
+    q["unit_scale_params"] = _with(ab) + """
+SELECT round(CAST(age AS DOUBLE), 6) AS label, round(high / 12.0, 6) AS x, round(weight / 100.0, 6) AS y,
+       round(high / 12.0, 6) AS feature_1, round(weight / 100.0, 6) AS feature_2 FROM ab"""
+
+    q["model_roundtrip"] = q["assign_clusters_1d"]
+    q["metrics_log"] = q["dispersion_fixed_centres"]
+    q["select_best_centres"] = f"""SELECT * FROM ({q["dispersion_fixed_centres"]})
+ORDER BY dispersion LIMIT 1"""
+    q["kmeans_invariants"] = st + """
+SELECT CAST(k AS INTEGER) AS k, true AS centres_within_k, true AS cost_at_most_k1,
+       CASE WHEN k = 1 THEN (SELECT round(avg(abs(n - (SELECT avg(n) FROM stats))), 6) FROM stats) END AS dispersion_k1
+FROM range(1, 100, 5) t(k)"""
+    q["split_rows"] = _with(*_training_ctes(36, 2)) + """
+SELECT client_id, account_id, CAST(impression AS BIGINT) AS impression,
+       CASE WHEN CAST('0x' || substr(md5('42|' || client_id || '|' || account_id || '|'
+                 || CAST(CAST(impression AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 700000
+            THEN 'train' ELSE 'test' END AS side
+FROM train"""
+
     q["request_urls"] = _with(REQUESTS) + f"""
 SELECT visitor_id,
        '{_url()}' || replace(replace(url_encode(search_text), '%20', '+'), '~', '%7E')
@@ -289,6 +312,13 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
        count(*) AS requests, (count(*) * 1000) // 3600000 AS rate_per_sec
 FROM requests WHERE status <> 'error' GROUP BY 1, 2"""
 
+    q["throughput_1s"] = _with(REQUESTS) + """
+SELECT date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
+       count(*) AS requests, count(*) AS rate_per_sec
+FROM requests WHERE status <> 'error' GROUP BY 1, 2"""
+
+    q["responses_log"] = _with(REQUESTS) + "SELECT visitor_id, content FROM requests"
+
     q["latency_summary"] = _with(REQUESTS) + """
 SELECT count(*) AS requests, round(avg(latency_ms), 6) AS mean_ms, min(latency_ms) AS min_ms,
        max(latency_ms) AS max_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms,
@@ -304,4 +334,10 @@ SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL
        count(*) AS requests, (count(*) * 1000) // 3600000 AS rate_per_sec
 FROM requests WHERE status <> 'error' GROUP BY 1, 2
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT wm FROM closed)"""
+    q["throughput_stream_1s"] = _with(REQUESTS) + """,
+closed AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM requests)
+SELECT date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTERVAL 1 SECOND AS window_end,
+       count(*) AS requests, count(*) AS rate_per_sec
+FROM requests WHERE status <> 'error' GROUP BY 1, 2
+HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT wm FROM closed)"""
     return q

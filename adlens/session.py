@@ -9,7 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from typing import Any
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,55 +78,92 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder must be shared storage named by the cluster in
     ``spark.checkpoint.dir``; only a local master may fall back to a private
-    temporary folder.
+    temporary folder, and only ``local`` and ``local-cluster`` masters (one
+    machine) may name a ``file:`` folder.
     """
     sc = spark.sparkContext
+    one_machine = sc.master.startswith("local")
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; name a shared folder for it")
-        configured = tempfile.mkdtemp(prefix="adlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+    if not current:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not one_machine:
+                raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for it")
+            configured = tempfile.mkdtemp(prefix="adlens-ckpt-")
+        sc.setCheckpointDir(configured)
+        current = sc.getCheckpointDir()
+    if not one_machine and current.startswith("file:"):
+        raise RuntimeError(f"the checkpoint folder {current} is local to each machine; name a shared one")
+    return current
+
+
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/adlens-staging/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/adlens-staging/{name}-{uuid.uuid4().hex}"
+    mine = _staged.get()
+    if mine is not None:
+        mine.append(path)
+    return path
+
 
+@contextmanager
+def staging(spark: SparkSession):
+    """Drop the tables staged inside the block at its end.
 
-def materialize(df: DataFrame, spread: bool = False,
-                rows_per_partition: int = 250_000) -> DataFrame:
+        with staging(spark):
+            flows.campaign_training_rows(...).write.parquet(target)
+
+    Frames made inside read those tables, so write or collect results before
+    the block ends.  Without the block staged tables stay (a returned lazy
+    frame still needs them) and the folder ``adlens-staging`` is the caller's
+    to purge.
+    """
+    mine: list[str] = []
+    token = _staged.set(mine)
+    try:
+        yield mine
+    finally:
+        _staged.reset(token)
+        jvm = spark._jvm
+        for path in mine:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once as a table in the shared folder.
 
-    For inputs of iterative fits that scan the same rows many times: a lost
-    executor costs a re-read of the table, not the whole lineage.  The plan
-    runs once, under AQE (a persisted-then-checkpointed frame would run with
-    the un-coalesced shuffle partitioning of the session, e.g. 200 tiny
-    partitions, and every iteration of a fit would pay for 200 tasks).
+    For inputs that are scanned many times: a lost executor costs a re-read of
+    the table, not the whole lineage.  The plan runs once, under AQE.
+    """
+    return write_table(df, "materialized")
+
+
+#: Rows per partition of a fit input, and the partitions up to which small
+#: inputs are spread; beyond, a partition takes ``FIT_ROWS_LARGE`` rows.
+FIT_ROWS, FIT_SPREAD, FIT_ROWS_LARGE = 4096, 64, 250_000
+
+
+def fit_partitions(rows: int) -> int:
+    """Partitions of a fit input: a function of its row count alone."""
+    return max(1, min(-(-rows // FIT_ROWS), FIT_SPREAD), -(-rows // FIT_ROWS_LARGE))
 
-    Partitions are then sized from the row count (parquet metadata, no scan):
-    many small partitions are coalesced to ``rows_per_partition`` each, and
-    with ``spread=True`` an input with fewer partitions than cores is spread
-    over the cores, so every pass of a fit uses every core.
+
+def fit_layout(df: DataFrame) -> DataFrame:
+    """``df`` written once and laid out for an iterative fit.
+
+    Bagging and k-means|| draw per partition, so a fit's result depends on
+    which rows stand where.  Here that follows from the rows alone: their
+    number gives the partitions, a hash of all columns the partition, and all
+    columns the order, whatever the cores, the session or the input's layout.
     """
-    spark = df.sparkSession
-    out = write_table(df, "materialized")
-    n = out.count()
-    have = out.rdd.getNumPartitions()
-    want = max(1, -(-n // rows_per_partition))
-    if spread:
-        want = max(want, min(spark.sparkContext.defaultParallelism, max(n, 1)))
-    if want < have:
-        out = out.coalesce(want)
-    elif spread and want > have:
-        out = out.repartition(want)
-    return out
+    out = materialize(df)
+    keys = [vector_to_array(f.name) if isinstance(f.dataType, VectorUDT) else F.col(f.name) for f in out.schema.fields]
+    return out.repartition(fit_partitions(out.count()), *keys).sortWithinPartitions(*keys)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -133,21 +177,32 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-# Row bound under which a lookup table is broadcast (each row is a keyword and
-# an id or a double: about 100 bytes, so the bound keeps it near 100 MB).
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a lookup table is broadcast: the sum of its strings and
+#: of 16 bytes for every other value, so long keywords count in full.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES,
                       name: str = "lookup") -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven small.
+    """Broadcast ``df`` only when its bytes are proven few.
 
-    The frame is written once (``write_table``); its row count then comes
-    from parquet metadata, and the join reads exactly the rows counted.
-    Above the bound the join stays a (skew-aware) sort-merge join.  Deciding
-    before the join avoids shuffling the large side only to learn at runtime
-    that the small side could have been broadcast.
+    The frame is written once (``write_table``) and its bytes are summed over
+    the written rows, so the join reads exactly the rows measured.  Above the
+    bound there is no hint and the join stays a (skew-aware) sort-merge join.
+    Deciding before the join avoids shuffling the large side only to learn at
+    runtime that the small side could have been broadcast.
     """
     small = write_table(df, name)
-    return F.broadcast(small) if small.count() <= max_rows else small
-
+    size = F.lit(0).cast("long")
+    for c, kind in small.dtypes:
+        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(16)) + F.lit(16)
+    measured = small.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(small) if measured <= max_bytes else small
+
+
+def in_parallel(fn: Callable[[Any], Any], items: Iterable[Any], parallelism: int) -> list[Any]:
+    """``[fn(x) for x in items]``, ``parallelism`` at a time (each submits Spark jobs)."""
+    if parallelism <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return [f.result() for f in [pool.submit(copy_context().run, fn, x) for x in items]]

@@ -53,8 +53,11 @@ def jvm_field_count(sep: str) -> Column:
     The fields of the one split every record gets, minus the trailing
     separators (each closes one trailing empty field); no second split.
     """
-    trailing = F.length(F.col("value")) - F.length(F.rtrim(F.col("value"), F.lit(sep)))
-    return F.size(_fields(sep)) - trailing
+    value = F.col("value")
+    kept = F.length(F.rtrim(value, F.lit(sep)))
+    # a record of separators only has no field at all; an empty one has one
+    return (F.when((kept == 0) & (F.length(value) > 0), F.lit(0))
+            .otherwise(F.size(_fields(sep)) - (F.length(value) - kept)))
 
 
 def _guard(value: Column, ok: Column, message: str) -> Column:
@@ -71,20 +74,25 @@ def parse_keyword_lines(lines: DataFrame, on_bad: str = "fail") -> DataFrame | Q
     """``;`` records -> ``client_id, account_id, keyword, state, quota_impression``.
 
     All fields stay strings (``quota_impression`` is cast by the operators that
-    need it, after the enabled filter).
+    need it, after the enabled filter).  A row whose state is not the enabled
+    one is never too short for its other fields: they are null where missing,
+    wherever the filter runs.  An enabled row must have all 16 fields, also for
+    consumers that read fewer of them.
     """
     f = _fields(KEYWORD_SEPARATOR)
     n = jvm_field_count(KEYWORD_SEPARATOR)
     pos = KEYWORD_FIELDS
     if on_bad == "fail":
         short = "keyword record has too few fields"
-        return lines.select(
-            *[_guard(f[pos[c]], n >= KEYWORD_ENABLED_MIN_FIELDS, short).alias(c)
-              for c in ("client_id", "account_id", "keyword")],
-            _guard(f[pos["state"]], n >= KEYWORD_MIN_FIELDS, short).alias("state"),
-            _guard(f[pos["quota_impression"]], n >= KEYWORD_ENABLED_MIN_FIELDS, short)
-            .alias("quota_impression"),
-        )
+        other = (n >= KEYWORD_MIN_FIELDS) & (F.get(f, pos["state"]) != F.lit(ENABLED_STATE))
+
+        def field(c: str) -> Column:
+            value = F.get(f, pos[c])
+            if c == "state":
+                return _guard(value, n >= KEYWORD_MIN_FIELDS, short)
+            return F.when(other, value).otherwise(_guard(value, n >= KEYWORD_ENABLED_MIN_FIELDS, short))
+
+        return lines.select(*[field(c).alias(c) for c in KEYWORD_COLUMNS])
     if on_bad != "quarantine":
         raise ValueError(f"on_bad must be 'fail' or 'quarantine', got {on_bad!r}")
     enabled = f[pos["state"]] == F.lit(ENABLED_STATE)

@@ -68,7 +68,7 @@ def main(argv):
     c = C.fixed_centres_2d(36, scale=10.0, offset=0.5)
     dictionary = FT.label_dictionary(K.keyword_stats(rows), c)
     labelled = FT.label_keywords(rows, dictionary, c.default_cluster(), "normalized",
-                                 max_broadcast_rows=0)
+                                 max_broadcast_bytes=0)
     labelled.write.format("noop").mode("overwrite").save()
     spark.stop()
 

@@ -128,7 +128,7 @@ def test_dictionary_join_without_broadcast_equals_broadcast(spark):
     c = C.fixed_centres_2d(36)
     d = FT.label_dictionary(K.keyword_stats(rows), c)
     a = FT.label_keywords(rows, d, c.default_cluster(), "reference")
-    b = FT.label_keywords(rows, d, c.default_cluster(), "reference", max_broadcast_rows=0)
+    b = FT.label_keywords(rows, d, c.default_cluster(), "reference", max_broadcast_bytes=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan  # AQE may still pick either

@@ -92,9 +92,10 @@ def test_forest_grid_and_repeats(spark):
     rows = metrics.collect()
     assert len(rows) == 4 and all(r.mse >= 0 for r in rows)
     assert min(rows, key=lambda r: r.mse).max_depth == 4
-    m2, models = R.repeat_forest(train, test, [3], [2, 4], max_bins=32, seeds=[1, 2])
-    assert m2.count() == 2 and len(models) == 2
-    assert "Tree" in R.describe(models[0])
+    m2, best = R.repeat_forest(train, test, [3], [2, 4], max_bins=32, seeds=[1, 2])
+    assert m2.count() == 2
+    assert R.mse_value(best.transform(test)) == min(r.mse for r in m2.collect())
+    assert "Tree" in R.describe(best)
 
 
 def test_fit_linear_solves_least_squares(spark):
@@ -116,7 +117,7 @@ def test_campaign_regression_flow(spark):
     cols = FT.feature_columns(FT.histogram_columns(36))
     res = flows.campaign_regression(rows, cols, grid=([5], [3, 4]), final=([5, 5], [3]), max_bins=32)
     assert res.linear.iterations_run == 300 and res.linear_training_mse > 0
-    assert res.grid.count() == 2 and res.final.count() == 2 and len(res.final_models) == 2
+    assert res.grid.count() == 2 and res.final.count() == 2 and res.final_model.getNumTrees == 5
     assert res.residuals.count() > 0
     assert flows.FOREST_GRID_21[0][-1] == 470 and len(flows.FOREST_GRID_21[1]) == 6
     assert flows.FOREST_GRID_36 == ((20, 90, 160), (4, 9, 14, 19))
