@@ -7,11 +7,16 @@ A document is the set of its distinct word shingles; two documents link when
 positions into one block more than two linked sets of that size can differ in
 (plus a few), so two linked sets agree on at least one whole non-empty block.
 The index has a list for each block content at each position: a set meets only
-the sets of the blocks it shares and skips all others unread.  Blocks hold
-about five shingles, so a passage that many documents share does not bring
-them together.  Sizes are handled in classes no wider than the threshold
-allows; a set is indexed in its own class and the next.  A set with more empty
-blocks than the few allowed for is also listed under its empty blocks.
+the sets of the blocks it shares and skips all others unread.  Sizes are
+handled in classes no wider than the threshold allows; a set is indexed in its
+own class and the next.
+
+Shingles of very many documents (a passage that is copied everywhere) are left
+out of the blocks: without them two sets differ no more than with them, so the
+count of blocks still holds, and the passage brings nobody together.  A set
+that this leaves with more empty blocks than the few allowed for is also
+indexed whole, and under its empty blocks if even so it has too many.  Which
+shingles are left out changes the work, never the result.
 
 *Answers from a similar set.*  Equal sets are one set.  In every list the set
 that shares most blocks with others leads; each member is compared with its
@@ -96,9 +101,10 @@ def set_keys(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k1, k2
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray, which: np.ndarray, classes: Classes
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """(block signature, set number) of the sets ``which`` in both their classes."""
+def signatures(h: np.ndarray, offsets: np.ndarray, which: np.ndarray, classes: Classes,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(block signature, set number) of the sets ``which`` in both their classes,
+    without the shingles in ``common`` (ascending)."""
     sizes = np.diff(offsets)
     wanted = np.zeros(len(sizes), dtype=bool)
     wanted[which] = True
@@ -106,29 +112,81 @@ def signatures(h: np.ndarray, offsets: np.ndarray, which: np.ndarray, classes: C
     kept = wanted[owner]
     h, owner = h[kept], owner[kept]
     own = np.searchsorted(classes.low, sizes, side="right") - 1
+    if common is None or len(common) == 0:
+        return _blocks(h, owner, wanted, own, classes, 0)[:2]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    rare = common[at] != h
+    s, o, short = _blocks(h[rare], owner[rare], wanted, own, classes, 1)
+    again = short[owner]
+    s2, o2, _ = _blocks(h[again], owner[again], short, own, classes, 0)
+    return np.concatenate([s, s2]), np.concatenate([o, o2])
+
+
+def _blocks(h, owner, wanted, own, classes, kind):
+    """Signatures and sets of the filled blocks, and which sets have too many
+    empty ones; those of kind 0 (whole sets) are listed under the empty ones too."""
+    sizes = own
+    short = np.zeros(len(sizes), dtype=bool)
     sigs, sets = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         cls = own + step
         m = classes.blocks[cls]
         use = m[owner] > 0
         g, o = h[use], owner[use]
-        if len(g) == 0:
-            continue
         place = ((g >> _U(32)) * m[o].astype(_U)) >> _U(32)
         first = np.ones(len(g), dtype=bool)
         first[1:] = (o[1:] != o[:-1]) | (place[1:] != place[:-1])
         at = np.flatnonzero(first)
-        content = np.add.reduceat(mix(g + _U(2)), at)
+        content = np.add.reduceat(mix(g + _U(2)), at) if len(at) else np.zeros(0, _U)
         o, place = o[at], place[at]
         filled = np.bincount(o, minlength=len(sizes))
-        odd = np.flatnonzero(wanted & (m > 0) & (m - filled > classes.spare[cls]))
-        for i in odd:  # too many empty blocks: listed under them too
+        odd = wanted & (m > 0) & (m - filled > classes.spare[cls])
+        short |= odd
+        for i in np.flatnonzero(odd) if kind == 0 else ():
             gaps = np.setdiff1d(np.arange(m[i], dtype=_U), place[o == i])
             content = np.append(content, np.zeros(len(gaps), _U))
             place, o = np.append(place, gaps), np.append(o, np.full(len(gaps), i))
-        sigs.append(mix(content ^ mix(place * _U(0x9E3779B97F4A7C15) + cls[o].astype(_U) + _U(1))))
+        name = place * _U(0x9E3779B97F4A7C15) + (cls[o] * 2 + kind).astype(_U) + _U(1)
+        sigs.append(mix(content ^ mix(name)))
         sets.append(o)
-    return np.concatenate(sigs), np.concatenate(sets)
+    return np.concatenate(sigs), np.concatenate(sets), short
+
+
+#: A shingle is left out of the blocks if windows of about ``WINDOW`` shingles
+#: that hold it ``IN_WINDOW`` times or more hold it in ``COMMON_SHARE`` of all
+#: documents together (``COMMON_LEAST`` at least).  At most (shingles per
+#: document) / ``COMMON_SHARE`` shingles can be; of more than ``COMMON_MOST``
+#: the most frequent are taken.
+WINDOW, IN_WINDOW, COMMON_LEAST, COMMON_SHARE, COMMON_MOST = 1 << 19, 4, 16, 1e-3, 1 << 19
+
+
+def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """The shingles that are left out of the blocks, ascending."""
+    def count(batches):
+        held, n = [], 0
+
+        def flush():
+            names, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= IN_WINDOW
+            return pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(counts[often])],
+                                              ["shingle", "n"])
+
+        for b in batches:
+            for c in chunks(b.column(0)):
+                h = shingles(c, width)[0]
+                held.append(h)
+                n += len(h)
+                if n >= WINDOW:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    least = max(COMMON_LEAST, int(docs.count() * COMMON_SHARE))
+    rows = (map_batches(docs.select("text"), count, "shingle long, n long").groupBy("shingle")
+            .agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            .orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toArrow())
+    return np.sort(rows.column("shingle").to_numpy().view(np.uint64))
 
 
 _INDEX = "kind int, row long, list long, doc_id long, n long, k1 long, k2 long"
@@ -140,6 +198,7 @@ def _index(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common = spark.sparkContext.broadcast(_common_shingles(docs, width))
     # about 0.8 bytes of entries for each byte of text
     buckets = max(4 * parts, -(-int(0.8 * size) // BUCKET_BYTES))
 
@@ -179,7 +238,7 @@ def _index(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
                     if n[i] and key not in seen:
                         seen.add(key)
                         new.append(i)
-                s, o = signatures(h, offsets, np.array(new, dtype=np.int64), classes)
+                s, o = signatures(h, offsets, np.array(new, dtype=np.int64), classes, common.value)
                 if len(s):
                     sigs.append(s)
                     rows.append(own[o])
