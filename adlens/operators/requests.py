@@ -49,40 +49,40 @@ def throughput(df: DataFrame, width_seconds: int = 3600, ts: str = "ts") -> Data
                     F.expr(f"(requests * 1000) div {width_ms}").alias("rate_per_sec")))
 
 
-#: Relative rank error of the first scan, and the most values of one bracket
-#: that are sorted out at a time; a larger bracket is narrowed again.
-BRACKET_ERROR, BRACKET_ROWS = 1e-4, 1_000_000
+#: Rank error of a sketch, as a share of the rows it sees, and the most rows
+#: of a bracket whose values are picked on the driver.
+BRACKET_ERROR, BRACKET_ROWS = 1e-4, 50_000
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[float, float | None]:
     """Exact continuous quantiles (linear interpolation between the two
     nearest ranks, as ``percentile`` / ``quantile_cont``) of a numeric column.
 
-    Two scans, and no shuffle of the values:
+    Scans of one column instead of a sort, and no shuffle of its values:
 
-    1. one ``percentile_approx`` sketch (bounded size) gives for every wanted
-       rank a bracket of two values around it, and the row count;
-    2. one aggregate counts for every bracket the rows below it and, by value,
-       the rows inside it.  Only the distinct values of the brackets (about
-       ``BRACKET_ERROR`` of the rows each) are grouped, partly on the map side.
-
-    A bracket that misses its rank is widened, and one that holds more than
-    ``BRACKET_ROWS`` distinct values is cut by a sketch of its own, until every
-    rank is found; a value with very many rows is one group.
+    1. a ``percentile_approx`` sketch of bounded size gives two values around
+       every wanted rank;
+    2. one aggregate counts the rows below, at, between and above them, which
+       either finds the rank at one of the two values (ties of any number) or
+       says in which open interval it lies;
+    3. the values of intervals of at most ``BRACKET_ROWS`` rows are fetched in
+       one job; larger ones go through 1 and 2 again, about ``BRACKET_ERROR``
+       as large.  Every round takes two values out, so it ends.
     """
-    v = F.col(col)
-    rows = df.filter(v.isNotNull()).select(v.cast("double").alias("v"))
+    rows = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     n = rows.count()
     if n == 0:
         return {p: None for p in probs}
-    wanted = {r for p in probs for r in (math.floor((n - 1) * float(p)), math.ceil((n - 1) * float(p)))}
+    ranks = {r for p in probs for r in (math.floor((n - 1) * float(p)), math.ceil((n - 1) * float(p)))}
     found: dict[int, float] = {}
-    bounds = {r: (-math.inf, math.inf, 0, n) for r in wanted}  # low, high, rows below low, rows inside
-    widen = 2.0
-    while bounds:
-        bounds = _narrow(rows, bounds, widen)
-        bounds, found = _pick(rows, bounds, found)
-        widen *= 4
+    # rank -> values it lies strictly between, rows up to the lower one, rows in between
+    open_ = {r: (None, None, 0, n) for r in ranks}
+    while open_:
+        few = {r: x for r, x in open_.items() if x[3] <= BRACKET_ROWS}
+        found.update(_values_at(rows, few))
+        open_ = {r: x for r, x in open_.items() if r not in few}
+        if open_:
+            open_ = _narrowed(rows, open_, found)
     out = {}
     for p in probs:
         h = (n - 1) * float(p)
@@ -91,69 +91,67 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> dict[flo
     return out
 
 
-def _inside(low: float, high: float):
-    """Rows of a bracket, NaN (the largest double) included in an open end."""
+def _between(low: float | None, high: float | None):
+    """Rows strictly between two values (``None``: unbounded)."""
     c = F.lit(True)
-    if low != -math.inf:
-        c = c & (F.col("v") >= F.lit(low))
-    if high != math.inf:
-        c = c & (F.col("v") <= F.lit(high))
+    if low is not None:
+        c = c & (F.col("v") > F.lit(low))
+    if high is not None:
+        c = c & (F.col("v") < F.lit(high))
     return c
 
 
-def _narrow(rows: DataFrame, bounds: dict, widen: float) -> dict:
-    """Tighter brackets from one sketch of the rows inside each bracket."""
-    accuracy = int(1 / BRACKET_ERROR)
-    aggs = []
-    for r, (low, high, below, inside) in bounds.items():
-        share = (r - below + 0.5) / inside
-        step = widen * BRACKET_ERROR
-        points = [max(0.0, share - step), min(1.0, share + step)]
-        aggs.append(F.percentile_approx(F.when(_inside(low, high), F.col("v")), F.array(*map(F.lit, points)), accuracy).alias(f"b{r}"))
-    row = rows.agg(*aggs).first()
+def _values_at(rows: DataFrame, few: dict) -> dict[int, float]:
+    """The values at the ranks of small intervals, in one job."""
+    if not few:
+        return {}
+    in_ranks = F.array_compact(F.array(*[F.when(_between(x[0], x[1]), F.lit(r)) for r, x in few.items()]))
+    values: dict[int, list] = {r: [] for r in few}
+    for x in rows.select("v", F.explode(in_ranks).alias("r")).groupBy("r", "v").count().collect():
+        values[x["r"]].append((x["v"], x["count"]))
     out = {}
-    for r, (low, high, below, inside) in bounds.items():
-        a, b = (float(x) for x in row[f"b{r}"])
-        step = widen * BRACKET_ERROR
-        share = (r - below + 0.5) / inside
-        out[r] = (low if share <= step else a, high if share + step >= 1 else b, low, high)
-    return out
-
-
-def _pick(rows: DataFrame, bounds: dict, found: dict) -> tuple[dict, dict]:
-    """The values at the ranks whose bracket holds them; the other brackets."""
-    aggs = []
-    for r, (low, high, *_) in bounds.items():
-        inside = _inside(low, high)
-        under = F.lit(False) if low == -math.inf else F.col("v") < F.lit(low)
-        aggs += [F.count_if(under).alias(f"under{r}"), F.count_if(inside).alias(f"in{r}")]
-    counts = rows.agg(*aggs).first()
-    left, ready = {}, []
-    for r, (low, high, old_low, old_high) in bounds.items():
-        under, inside = counts[f"under{r}"], counts[f"in{r}"]
-        if low == high and under <= r < under + inside:
-            found[r] = low
-        elif under <= r < under + inside:
-            left[r] = (low, high, under, inside)
-            if inside <= BRACKET_ROWS or _one_value(rows, low, high):
-                ready.append(r)
-        else:  # the sketch was off: back to the bracket before, from its own start
-            below = 0 if old_low == -math.inf else rows.filter(F.col("v") < F.lit(old_low)).count()
-            left[r] = (old_low, old_high, below, rows.filter(_inside(old_low, old_high)).count())
-    for r in ready:
-        low, high, under, _ = left.pop(r)
-        at = under
-        for x in rows.filter(_inside(low, high)).groupBy("v").count().orderBy("v").toLocalIterator():
-            at += x["count"]
+    for r, (_, _, below, _) in few.items():
+        at = below
+        for v, c in sorted(values[r], key=lambda x: (math.isnan(x[0]), x[0])):
+            at += c
             if r < at:
-                found[r] = float(x["v"])
+                out[r] = v
                 break
-    return left, found
+    return out
 
 
-def _one_value(rows: DataFrame, low: float, high: float) -> bool:
-    """Few distinct values among very many rows (ties)."""
-    return rows.filter(_inside(low, high)).groupBy("v").count().limit(BRACKET_ROWS + 1).count() <= BRACKET_ROWS
+def _narrowed(rows: DataFrame, open_: dict, found: dict[int, float]) -> dict:
+    """Smaller intervals around the ranks; ranks that are met go to ``found``."""
+    sketches = []
+    for r, (low, high, below, inside) in open_.items():
+        share = (r - below + 0.5) / inside
+        ends = [max(0.0, share - 2 * BRACKET_ERROR), min(1.0, share + 2 * BRACKET_ERROR)]
+        sketches.append(F.percentile_approx(F.when(_between(low, high), F.col("v")), F.array(*map(F.lit, ends)),
+                                            int(1 / BRACKET_ERROR)).alias(f"s{r}"))
+    ends = rows.agg(*sketches).first()
+    v, counts = F.col("v"), []
+    for r, (low, high, _, _) in open_.items():
+        a, b = ends[f"s{r}"]
+        counts += [F.count_if(_between(low, a)).alias(f"below{r}"), F.count_if(v == F.lit(a)).alias(f"a{r}"),
+                   F.count_if(_between(a, b)).alias(f"mid{r}"), F.count_if(v == F.lit(b)).alias(f"b{r}")]
+    c = rows.agg(*counts).first()
+    left = {}
+    for r, (low, high, below, inside) in open_.items():
+        a, b = ends[f"s{r}"]
+        steps = [(c[f"below{r}"], None, low, a), (c[f"a{r}"], a, None, None)]
+        if a != b:
+            steps += [(c[f"mid{r}"], None, a, b), (c[f"b{r}"], b, None, None)]
+        steps.append((inside - sum(n for n, *_ in steps), None, b, high))
+        at = below
+        for n, value, lo, hi in steps:
+            if r < at + n:
+                if value is not None:
+                    found[r] = value
+                else:
+                    left[r] = (lo, hi, at, n)
+                break
+            at += n
+    return left
 
 
 def percentile_name(p: float) -> str:

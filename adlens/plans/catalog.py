@@ -341,12 +341,16 @@ def _restarts(spark, sf):
         K.keyword_counts(_kw(spark, sf)), 21, flows.KMEANS_RESTARTS, C.ONE_D, parallelism=FIT_PARALLELISM))
 
 
+def _sweep(spark, sf):
+    return _once(spark, sf, "sweep", lambda: C.sweep_k(
+        _stats(spark, sf), C.K_SWEEP, C.TWO_D, max_iter=flows.KMEANS_ITERATIONS, seed=SEED,
+        parallelism=FIT_PARALLELISM))
+
+
 @query
 def kmeans_sweep(spark, sf):
     """M1 M2 M4: K-means for K = 1, 6, ..., 96 on (count, mean); dispersion per K."""
-    metrics, _ = C.sweep_k(_stats(spark, sf), C.K_SWEEP, C.TWO_D, max_iter=50, seed=SEED,
-                           parallelism=FIT_PARALLELISM)
-    return metrics.drop("fit_seconds")
+    return _sweep(spark, sf)[0].drop("fit_seconds")
 
 
 @query
@@ -356,17 +360,12 @@ def kmeans_invariants(spark, sf):
     Invariants, weaker than values: at most K centres, and a within-cluster sum
     of squares not above that of K = 1; for K = 1 also the exact dispersion.
     """
-    stats = materialize(_stats(spark, sf))
-    metrics, fits = C.sweep_k(stats, C.K_SWEEP, C.TWO_D, max_iter=50, seed=SEED, parallelism=FIT_PARALLELISM)
-
-    def squares(c):
-        cid = c.assign(C.TWO_D)
-        return F.sum(sum((F.col(x) - c.coordinate(cid, i)) ** 2 for i, x in enumerate(C.TWO_D)))
-
-    cost = stats.agg(*[squares(c).alias(f"c{k}") for k, c in fits.items()]).first()
+    metrics, fits = _sweep(spark, sf)
+    mean = [F.sum((F.col(x) - F.lit(m)) ** 2) for x, m in zip(C.TWO_D, fits[1].centres[0])]
+    most = _stats(spark, sf).agg(sum(mean[1:], mean[0]).alias("cost")).first()["cost"] * (1 + 1e-9)
     disp = {r["k"]: r["dispersion"] for r in metrics.collect()}  # one row per K
     return spark.createDataFrame(
-        [(k, c.k <= k, cost[f"c{k}"] <= cost["c1"] * (1 + 1e-9), round(disp[k], 6) if k == 1 else None)
+        [(k, c.k <= k, c.model is None or c.model.summary.trainingCost <= most, round(disp[k], 6) if k == 1 else None)
          for k, c in fits.items()],
         "k int, centres_within_k boolean, cost_at_most_k1 boolean, dispersion_k1 double")
 

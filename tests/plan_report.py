@@ -2,9 +2,12 @@
 
     python tests/plan_report.py [sf_dir] [name ...]
 
-Per query: shuffles (Exchange), broadcasts, join strategies, reused
-exchanges, scans with their read schema and pushed filters, and whether
-any Python evaluation (BatchEvalPython / ArrowEvalPython) appears.
+Per query: the jobs and stages that run while the frame is built (written
+tables, measured dictionaries, fits), then of the final plan its shuffles
+(Exchange), broadcasts, join strategies, reused exchanges, scans with their
+read schema and pushed filters, and whether any Python evaluation
+(BatchEvalPython / ArrowEvalPython) appears.  The eager jobs' own shuffles
+are the stages between their scans and results, counted here, not drawn.
 """
 
 from __future__ import annotations
@@ -43,6 +46,10 @@ def summarise(plan: str) -> dict:
     return out
 
 
+class _NoJob:
+    stageIds = ()
+
+
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     names = argv[2:]
@@ -53,9 +60,14 @@ def main(argv):
     for name, fn in E.queries().items():
         if names and name not in names:
             continue
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
         df = fn(spark, sf_dir)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = tracker.getJobIdsForGroup(f"build-{name}")
+        stages = {i for j in jobs for i in (tracker.getJobInfo(j) or _NoJob).stageIds}
+        spark.sparkContext.setJobGroup(f"run-{name}", name)
         s = summarise(final_plan(df))
-        print(f"{name}: exchanges={s['exchanges']} broadcasts={s['broadcasts']} reused={s['reused']} "
+        print(f"{name}: eager_jobs={len(jobs)} eager_stages={len(stages)} exchanges={s['exchanges']} broadcasts={s['broadcasts']} reused={s['reused']} "
               f"python={s['python']} joins={s['joins']}")
         for sc in s["scans"]:
             print("    scan", sc)
