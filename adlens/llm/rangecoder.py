@@ -86,33 +86,34 @@ class _Model:
         cum = np.zeros((self.n, 257), dtype=np.int32)
         cum[:, 1:] = total * (_ONE - 256) // total[:, -1:] + np.arange(1, 257, dtype=np.int32)
         self.cum, self.cum_flat, self.cum_row = cum, cum.reshape(-1), np.arange(self.n, dtype=np.int64) * 257
-        self.coarse = np.ascontiguousarray(cum[:, 16:256:16]).astype(np.int16)
+        self.coarse = np.ascontiguousarray(cum[:, 16::16]).astype(np.int16)
         self.fine = np.ascontiguousarray(cum[:, :256]).astype(np.int16).reshape(self.n * 16, 16)
 
     def predict(self) -> None:
         """The candidate of each lane and the odds, out of 4096, that it is right."""
         self.i2 = self.at2 + ((self.c1 * 0x9E5 + self.c2 * 0x3D4D51 + (self.c2 >> 5)) & (SLOTS2 - 1))
         self.i1 = self.at1 + ((self.c1 ^ (self.c1 >> 8)) & (SLOTS1 - 1))
-        self.e2, self.e1 = self.t2[self.i2], self.t1[self.i1]
+        self.e2, self.e1 = self.t2.take(self.i2, mode="clip"), self.t1.take(self.i1, mode="clip")
         k2, k1 = self.e2 & 3, self.e1 & 3
         p2, p1 = self.e2 >> 2, self.e1 >> 2
         self.candidate = np.where(k2 > 0, p2, p1)
         self.j2 = self.four + k2
         self.j1 = self.eight + (k1 + 4 * (self.candidate == p1))
-        self.a2, self.a1 = self.q2[self.j2], self.q1[self.j1]
-        self.s2, self.s1, self.s0 = _STRETCH[self.a2], _STRETCH[self.a1], _STRETCH[self.q0]
+        self.a2, self.a1 = self.q2.take(self.j2, mode="clip"), self.q1.take(self.j1, mode="clip")
+        self.s2, self.s1, self.s0 = (_STRETCH.take(x, mode="clip") for x in (self.a2, self.a1, self.q0))
         dot = (self.w2 * self.s2 >> 16) + (self.w1 * self.s1 >> 16) + (self.w0 * self.s0 >> 16)
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        self.p = _SQUASH.take(np.maximum(dot, -2047) + 2048, mode="clip").astype(np.int64)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         """Move every estimate towards what was coded."""
         goal = hit.astype(np.int32) << 12
-        err = goal - self.p
+        err = goal - self.p.astype(np.int32)
         self.w2 += (self.s2 * err + (1 << 9)) >> 10
         self.w1 += (self.s1 * err + (1 << 9)) >> 10
         self.w0 += (self.s0 * err + (1 << 9)) >> 10
         for w in (self.w2, self.w1, self.w0):
-            np.clip(w, -200_000, 200_000, out=w)
+            np.minimum(w, 200_000, out=w)
+            np.maximum(w, -200_000, out=w)
         goal -= hit
         self.q2[self.j2] = self.a2 + ((goal - self.a2) >> 4)
         self.q1[self.j1] = self.a1 + ((goal - self.a1) >> 4)
@@ -122,11 +123,30 @@ class _Model:
             right = (e >> 2) == ids
             # a right prediction gains confidence; a wrong one loses it, then its place
             t[i] = np.where(right, e + (k < 3), np.where(k > 1, e - 2, ids << 2 | 1))
-        self.flat[self.row + (ids >> 8)] += 24
+        cell = self.row + (ids >> 8)
+        self.flat[cell] = self.flat.take(cell, mode="clip") + 24
         self.c2 = self.c1
         self.c1 = ids.astype(np.int64)
 
 
+def _count(hits: np.ndarray) -> np.ndarray:
+    """True values in each row of 16, added up as the bytes of two words."""
+    words = hits.view(np.uint64)
+    return ((words[:, 0] + words[:, 1]) * _U(0x0101010101010101) >> _U(56)).astype(np.int64)
+
+
+def _settle(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which lanes have 16 settled bits to pass on, and how many.  An interval
+    that is short and still spans a boundary is cut at it (in ``size``)."""
+    same = (low ^ (low + (size - _U(1)))) <= _LOW
+    short = size < _SHORT
+    cut = np.flatnonzero(short & ~same)
+    if len(cut):
+        size[cut] = (~low[cut] + _U(1)) & _LOW
+    go = same | short
+    return go, int(np.count_nonzero(go))
+
+
 def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Code the first ``lengths[i]`` ids of each row (uint16) of ``blocks``."""
     if len(blocks) == 0:
@@ -146,11 +166,11 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         ids = ids_by_step[t]
         hit = ids == m.candidate
         group = m.cum_row + (ids >> 8)
-        begin = m.cum_flat[group].astype(np.int64)
-        odds = m.cum_flat[group + 1] - begin
-        rest = _ONE - m.p.astype(np.int64)
-        start = np.where(hit, 0, (m.p.astype(np.int64) << 20) + rest * ((begin << 8) + (ids & 255) * odds)).astype(_U)
-        width = np.where(hit, m.p.astype(np.int64) << 20, rest * odds).astype(_U)
+        begin = m.cum_flat.take(group, mode="clip").astype(np.int64)
+        odds = m.cum_flat.take(group + 1, mode="clip") - begin
+        rest, first = _ONE - m.p, m.p << 20
+        start = np.where(hit, 0, first + rest * ((begin << 8) + (ids & 255) * odds)).astype(_U)
+        width = np.where(hit, first, rest * odds).astype(_U)
         unit = size >> _U(32)
         if t < shortest:
             low += unit * start
@@ -159,19 +179,26 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             live = t < lengths
             low = np.where(live, low + unit * start, low)
             size = np.where(live, unit * width, size)
-        while True:
-            same = (low ^ (low + (size - _U(1)))) <= _LOW
-            short = size < _SHORT
-            go = same | short
-            if not go.any():
-                break
-            cut = short & ~same
-            if cut.any():
-                size = np.where(cut, (~low + _U(1)) & _LOW, size)
-            flat[base + at] = (low >> _TOP).astype(np.uint16)
-            at += go
-            low = np.where(go, low << _U(16), low)
-            size = np.where(go, size << _U(16), size)
+        go, some = _settle(low, size)
+        while some:
+            if some < lanes // 4:
+                lane = np.flatnonzero(go)
+                part = low[lane]
+                flat[base[lane] + at[lane]] = (part >> _TOP).astype(np.uint16)
+                at[lane] += 1
+                part <<= _U(16)
+                width = size[lane] << _U(16)
+                more, some = _settle(part, width)
+                low[lane], size[lane] = part, width
+                go = np.zeros(lanes, dtype=bool)
+                go[lane] = more
+            else:
+                flat[base + at] = (low >> _TOP).astype(np.uint16)
+                at += go
+                shift = go * _U(16)
+                low <<= shift
+                size <<= shift
+                go, some = _settle(low, size)
         m.learn(ids, hit)
     for _ in range(4):
         flat[base + at] = (low >> _TOP).astype(np.uint16)
@@ -206,7 +233,7 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
         m.predict()
         unit = size >> _U(32)
         value = ((code - low) // unit).astype(np.int64)
-        p = m.p.astype(np.int64)
+        p = m.p
         hit = value < p << 20
         ids = m.candidate.copy()
         start = np.zeros(lanes, dtype=np.int64)
@@ -216,11 +243,11 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             rest = _ONE - p[lost]
             v = np.minimum((value[lost] - (p[lost] << 20)) // rest, (1 << 20) - 1)
             g = (v >> 8).astype(np.int16)[:, None]
-            top = (m.coarse[lost] <= g).sum(axis=1)
-            group = (top << 4) + (m.fine[lost * 16 + top] <= g).sum(axis=1) - 1
-            cell = m.cum_row[lost] + group
-            begin = m.cum_flat[cell].astype(np.int64)
-            odds = m.cum_flat[cell + 1] - begin
+            top = _count(m.coarse.take(lost, axis=0, mode="clip") <= g)
+            group = (top << 4) + _count(m.fine.take(lost * 16 + top, axis=0, mode="clip") <= g) - 1
+            cell = m.cum_row.take(lost, mode="clip") + group
+            begin = m.cum_flat.take(cell, mode="clip").astype(np.int64)
+            odds = m.cum_flat.take(cell + 1, mode="clip") - begin
             inner = np.minimum((v - (begin << 8)) // odds, 255)
             ids[lost] = (group << 8) + inner
             start[lost] = (p[lost] << 20) + rest * ((begin << 8) + inner * odds)
@@ -232,19 +259,24 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             live = t < lengths
             low = np.where(live, low + unit * start.astype(_U), low)
             size = np.where(live, unit * width.astype(_U), size)
-        while True:
-            same = (low ^ (low + (size - _U(1)))) <= _LOW
-            short = size < _SHORT
-            go = same | short
-            if not go.any():
-                break
-            cut = short & ~same
-            if cut.any():
-                size = np.where(cut, (~low + _U(1)) & _LOW, size)
-            code = np.where(go, code << _U(16) | flat[base + np.minimum(at, last)].astype(_U), code)
-            at += go
-            low = np.where(go, low << _U(16), low)
-            size = np.where(go, size << _U(16), size)
+        go, some = _settle(low, size)
+        while some:
+            if some < lanes // 4:
+                lane = np.flatnonzero(go)
+                part, width = low[lane] << _U(16), size[lane] << _U(16)
+                code[lane] = code[lane] << _U(16) | flat[base[lane] + np.minimum(at[lane], last)].astype(_U)
+                at[lane] += 1
+                more, some = _settle(part, width)
+                low[lane], size[lane] = part, width
+                go = np.zeros(lanes, dtype=bool)
+                go[lane] = more
+            else:
+                code = np.where(go, code << _U(16) | flat.take(base + np.minimum(at, last), mode="clip").astype(_U), code)
+                at += go
+                shift = go * _U(16)
+                low <<= shift
+                size <<= shift
+                go, some = _settle(low, size)
         out[t] = ids
         # the encoder learned from the same ids, and from zeros behind its end
         if t >= shortest:
