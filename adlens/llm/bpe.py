@@ -33,7 +33,7 @@ from .textkit import Chunk, chunks, map_batches, mix, ragged, segment_hashes
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Entries of the table of merged misses; it is emptied when full.
-MISS_ENTRIES = 150_000
+MISS_ENTRIES = 300_000
 
 
 class PerfectHash:
