@@ -125,8 +125,8 @@ def signatures(h: np.ndarray, offsets: np.ndarray, which: np.ndarray, classes: C
 def _blocks(h, owner, wanted, own, classes, kind):
     """Signatures and sets of the filled blocks, and which sets have too many
     empty ones; those of kind 0 (whole sets) are listed under the empty ones too."""
-    sizes = own
-    short = np.zeros(len(sizes), dtype=bool)
+    n = len(own)
+    short = np.zeros(n, dtype=bool)
     sigs, sets = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         cls = own + step
@@ -139,7 +139,7 @@ def _blocks(h, owner, wanted, own, classes, kind):
         at = np.flatnonzero(first)
         content = np.add.reduceat(mix(g + _U(2)), at) if len(at) else np.zeros(0, _U)
         o, place = o[at], place[at]
-        filled = np.bincount(o, minlength=len(sizes))
+        filled = np.bincount(o, minlength=n)
         odd = wanted & (m > 0) & (m - filled > classes.spare[cls])
         short |= odd
         for i in np.flatnonzero(odd) if kind == 0 else ():
