@@ -48,3 +48,40 @@ def test_no_python_in_the_plan(spark):
     df = L.drop_lines(docs(spark, odd_rows()), report=True)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapIn"))
+
+
+PASSAGE = " ".join(f"passage{i}" for i in range(60))
+
+
+def test_ratio_by_length(spark):
+    # a site of 400 pages: nothing below reaches 8 % (33 pages)
+    rows = [[i, f"own{i} a\nown{i} b c d e f g h i j k l m\nown{i} z", "a"] for i in range(400)]
+    plant = {"and so on": range(0, 20), "seven words that no chance brings together": range(30, 36),
+             PASSAGE: range(40, 45), "four pages have all these seven words": range(50, 54),
+             "six words on few pages only": range(60, 66)}
+    for line, pages in plant.items():
+        for i in pages:
+            rows[i][1] += "\n" + line
+    for i in range(40, 45):  # more of its own than of the passage
+        rows[i][1] += "\n" + " ".join(f"mine{i}word{k}" for k in range(90))
+    copies = [f"copy of a longer text with many words {k} a b c" for k in range(12)]
+    rows += [[500 + i, "\n".join([*copies, f"edited {i}"]), "a"] for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in L.drop_lines(docs(spark, rows), by_length=True).collect()}
+    left = {line: sum(line in t.split("\n") for t in got.values()) for line in plant}
+    assert left == dict(zip(plant, (20, 0, 0, 4, 6)))
+    # near copies keep their content, all else is as it was
+    assert all(got[i] == t for i, t, _ in rows if i >= 500)
+    gone = {"seven words that no chance brings together", PASSAGE}
+    assert all(got[i] == "\n".join(x for x in t.split("\n") if x not in gone) for i, t, _ in rows)
+    plain_kept = {r["doc_id"]: r["text"] for r in L.drop_lines(docs(spark, rows)).collect()}
+    assert plain_kept == {i: t for i, t, _ in rows}
+
+
+def test_pipeline_goes_by_length(spark):
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    import corpus_pipeline as C
+    rows = [(i, f"own{i} text" + ("\nseven words that no chance brings together" if i < 6 else ""), "a")
+            for i in range(400)]
+    rows = [(i, t + "\n" + " ".join(f"w{i}x{k}" for k in range(20)), s) for i, t, s in rows]
+    got = C.cut_lines(spark, docs(spark, rows), "").collect()
+    assert not any("no chance" in r["text"] for r in got) and all(r["n_chars"] == len(r["text"]) for r in got)
