@@ -20,8 +20,9 @@ There the last four bits of a line's hash are its class of length, so lines
 are told apart by 60 bits.
 
 Null texts stay null and count as pages without lines; a null site is a site
-of its own; every row is a page, repeated rows too; rows of equal id in one
-site share that site's verdict on each line.  Empty tables give empty results.
+of its own; every row is a page, repeated rows too, but with ``copies_once``
+the rows of one site with equal text (told by a 64-bit hash) are one page in
+the counts; rows of equal id in one site share that site's verdict on each line.  Empty tables give empty results.
 All columns of the input are kept, ``text`` replaced; a page whose lines are
 all dropped has an empty text.
 """
@@ -50,11 +51,18 @@ def _key(line, by_length: bool):
 
 
 def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES, by_length: bool = False) -> DataFrame:
+                min_pages: int = MIN_PAGES, by_length: bool = False, copies_once: bool = False) -> DataFrame:
     """(site, line, pages, site_pages) of the lines above the ratio; ``line`` is the hash."""
     pages = df.select(F.col(site_col).alias("site"), F.col(text_col).alias("text"))
-    counts = (_page_lines(pages, "site", by_length=by_length).groupBy("site", "line").agg(F.count("*").alias("pages"))
-              .where(F.col("pages") >= min_pages))
+    if copies_once:
+        copy = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("copy")
+        lines = (pages.select("site", copy, _line_set(by_length).alias("lines"))
+                 .groupBy("site", "copy").agg(F.first("lines").alias("lines"))
+                 .select("site", F.explode("lines").alias("line")))
+        pages = pages.select("site", copy).distinct()
+    else:
+        lines = _page_lines(pages, "site", by_length=by_length)
+    counts = lines.groupBy("site", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = pages.groupBy(F.col("site").alias("its_site")).agg(F.count("*").alias("site_pages"))
     least = F.lit(float(ratio))
     if by_length:
@@ -64,19 +72,23 @@ def boilerplate(df: DataFrame, site_col: str = "source", text_col: str = "text",
             .select("site", "line", "pages", "site_pages"))
 
 
+def _line_set(by_length: bool):
+    """The distinct line hashes of a text."""
+    lines = F.filter(_lines(F.col("text")), lambda x: x.rlike("\\S"))
+    return F.array_distinct(F.transform(lines, lambda x: _key(x, by_length)))
+
+
 def _page_lines(pages: DataFrame, *keep: str, by_length: bool = False) -> DataFrame:
     """Each page's distinct line hashes, with the named columns."""
-    lines = F.filter(_lines(F.col("text")), lambda x: x.rlike("\\S"))
-    return pages.select(*keep, F.explode(F.array_distinct(F.transform(lines, lambda x: _key(x, by_length))))
-                        .alias("line"))
+    return pages.select(*keep, F.explode(_line_set(by_length)).alias("line"))
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text",
                ratio: float = RATIO, min_pages: int = MIN_PAGES, report: bool = False,
-               by_length: bool = False) -> DataFrame:
+               by_length: bool = False, copies_once: bool = False) -> DataFrame:
     """``df`` without its sites' boilerplate lines; with ``report`` also
     ``n_lines`` and ``n_dropped`` (replacing columns of those names)."""
-    common = boilerplate(df, site_col, text_col, ratio, min_pages, by_length).select(
+    common = boilerplate(df, site_col, text_col, ratio, min_pages, by_length, copies_once).select(
         F.col("site").alias("its_site"), F.col("line").alias("its_line"),
         (F.col("pages") > F.lit(float(ratio)) * F.col("site_pages")).alias("often"))
     pages = df.select(F.col(id_col).alias("page"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))

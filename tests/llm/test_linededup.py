@@ -85,3 +85,17 @@ def test_pipeline_goes_by_length(spark):
     rows = [(i, t + "\n" + " ".join(f"w{i}x{k}" for k in range(20)), s) for i, t, s in rows]
     got = C.cut_lines(spark, docs(spark, rows), "").collect()
     assert not any("no chance" in r["text"] for r in got) and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_copies_are_one_page(spark):
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    import corpus_pipeline as C
+    copy = "\n".join(f"line {k} of a text that was copied" for k in range(8))
+    rows = [(i, f"header\nown {i} and more words", "a") for i in range(40)]
+    rows += [(100 + i, copy, "a") for i in range(20)]  # a third of the site
+    rows += [(200 + i, "all pages\nof the site", "b") for i in range(6)] + [(300 + i, None, "c") for i in range(6)]
+    want = {i: None if t is None else t.removeprefix("header\n") for i, t, _ in rows}
+    cut = C.cut_lines(spark, docs(spark, rows).repartition(5), "").cache()
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
+    firsts = {r["doc_id"]: r["text"] for r in C.keep_firsts(spark, cut, "").where("text is not null").collect()}
+    assert firsts[100] == copy and firsts[200] == rows[60][1] and not {*range(101, 120), *range(201, 206)} & set(firsts)
