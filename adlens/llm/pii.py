@@ -12,8 +12,13 @@ permutation can be undone (:func:`restore`).
 Kinds: e-mail addresses (every label but the last, letters and digits within
 their classes), IBANs (check digits renewed), IPv4 addresses, dates, US social
 security numbers, telephone numbers (country code kept), card and account
-numbers of 13 to 19 digits (valid check digits stay valid, wrong ones wrong),
-and hexadecimal secrets of 32 digits and more.
+numbers of 13 to 19 digits with a right check digit (it stays right; numbers
+with a wrong one are no values and stay as they are), and hexadecimal secrets
+of 32 digits and more.
+
+An IBAN ends where its country says, whatever upper-case words or numbers
+follow; what only looks like one is scanned again for the other kinds and from
+the next word on.
 
 Texts are scanned whole and one by one in the task that reads them; there is
 no shuffle.  Null texts stay null, empty ones empty; repeated rows are treated
@@ -54,6 +59,13 @@ PATTERNS = {
     "number": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
     "secret": r"(?<!\w)[0-9a-fA-F]{32,}(?!\w)",
 }
+#: Characters of an IBAN by country; with other countries' codes all lengths are tried.
+IBAN_LENGTHS = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for code in codes.split()}
+_AFTER_IBAN = {k: re.compile(PATTERNS[k]) for k in KINDS[KINDS.index("iban") + 1:]}
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _WORTH = re.compile(r"[@\d]|[0-9a-fA-F]{32}")
 
@@ -108,6 +120,16 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _iban_ends(shape: str) -> list[int]:
+    """Where an IBAN that begins the matched shape can end: after as many characters
+    as its country has, or at the end; without a known country after any group, the last first."""
+    ends = [i for i in range(len(shape), 0, -1) if i == len(shape) or shape[i] == " "]
+    length = IBAN_LENGTHS.get(shape[:2])
+    if length is None:
+        return ends
+    return [i for i in ends if i - shape.count(" ", 0, i) == length] + ends[:1]
+
+
 @lru_cache(maxsize=1)
 def _alphabets() -> dict[str, str]:
     """Class of each character that a label may change within."""
@@ -228,25 +250,45 @@ class Pseudonyms:
         return self._mixed(s, b"mixed-hex", {c: "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF"
                                              for c in "0123456789abcdefABCDEF"})
 
+    def _new(self, kind: str, value: str) -> str:
+        """The pseudonym; empty for the shape without the rules, which is no value."""
+        got = self.known.get((kind, value))
+        if got is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            got = self.known[kind, value] = getattr(self, kind)(value) or ""
+        return got
+
+    def _value(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the value that begins with the match."""
+        if m.lastgroup != "iban":
+            new = self._new(m.lastgroup, m.group())
+            return (m.lastgroup, m.end(), new) if new else None
+        for end in _iban_ends(m.group()):
+            if new := self._new("iban", m.group()[:end]):
+                return "iban", m.start() + end, new
+        for kind, pattern in _AFTER_IBAN.items():
+            if (other := pattern.match(text, m.start())) and (new := self._new(kind, other.group())):
+                return kind, other.end(), new
+        return None
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many of each kind."""
         found: dict[str, int] = {}
         if not _WORTH.search(text):
             return text, found
 
-        def one(m: re.Match) -> str:
-            kind, value = m.lastgroup, m.group()
-            got = self.known.get((kind, value))
-            if got is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                got = self.known[kind, value] = getattr(self, kind)(value) or ""
-            if not got:  # the shape without the rules: not a value
-                return value
+        parts, done, at = [], 0, 0
+        while m := _ANY.search(text, at):
+            value = self._value(text, m)
+            if value is None:
+                at = m.start() + 1 if m.lastgroup == "iban" else m.end()
+                continue
+            kind, at, new = value
             found[kind] = found.get(kind, 0) + 1
-            return got
-
-        return _ANY.sub(one, text), found
+            parts += text[done:m.start()], new
+            done = at
+        return "".join([*parts, text[done:]]), found
 
 
 def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", counts: bool = False,

@@ -91,3 +91,30 @@ def test_table(spark):
     back = pii.restore(out.select("doc_id", "text"), KEY).collect()
     assert sorted(str(tuple(r)) for r in back) == sorted(str(r[:2]) for r in rows)
     assert pii.pseudonymise(df.limit(0), KEY).collect() == []
+
+
+def test_iban_before_other_words():
+    for iban in ("BE68 5390 0754 7034", "BE68539007547034", "AT611904300234573201", "AT61 1904 3002 3457 3201",
+                 "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00"):
+        one = NEW.replace(iban)[0]
+        for after in (" BIC", " EUR", " 2024", " KREDBEBB", " EUR 4111 1111 1111 1111", " AND THEN MORE", ", 12"):
+            new, found = NEW.replace(f"IBAN {iban}{after}")
+            assert found["iban"] == 1 and new.startswith(f"IBAN {one}") and iban not in new
+            assert pii._mod97(one.replace(" ", "")) == 1
+            assert ("4111 1111 1111 1111" in new) is False
+    text = "to AT611904300234573201 EUR, BE68 5390 0754 7034 BIC"
+    assert OLD.replace(NEW.replace(text)[0])[0] == text
+    # codes that are not in the list of countries: the longest that the check confirms
+    body = "12345678901234"
+    code = f"ZZ{98 - pii._mod97('ZZ00' + body):02d}{body}"
+    assert NEW.replace(f"{code} EUR")[1] == {"iban": 1}
+
+
+def test_what_looks_like_an_iban_hides_no_value():
+    new, found = NEW.replace("AB12 DE89 3704 0044 0532 0130 00")
+    assert found == {"iban": 1} and new.startswith("AB12 DE") and "3704 0044" not in new
+    new, found = NEW.replace("REF AB12 4111 1111 1111 1111 end")
+    assert found == {"number": 1} and "4111 1111" not in new
+    secret = "AB12CDEF" * 4
+    new, found = NEW.replace(f"key {secret}.")
+    assert found == {"secret": 1} and secret not in new
