@@ -13,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, linededup, mixing, ngramjoin, pii, quality, tokenfiles, toxicity
+from . import (ann, bpe, divergence, fingerprints, linededup, merkle, mixing, ngramjoin, pii, quality, substrings,
+               tokenfiles, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,30 @@ def op7_token_files(spark, sf_dir):
     """Token ids of every document, written to range-coded files and read back."""
     files = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfiles.summary(files)
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    """Merkle proofs of every document, folded again after some texts were tampered with."""
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    """Distances of the sources of a language, and the terms that mark each of them."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.SQL
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    """Every document without the passages of 50 words or more that an earlier one has."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_substring_dedup"] = substrings.SQL

@@ -1,0 +1,109 @@
+import os
+import random
+import re
+import sys
+from collections import Counter, defaultdict
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+import numpy as np
+import pytest
+from helpers import LOWER, SCHEMA, docs, odd_rows
+
+from adlens.llm import divergence as D
+
+TERMS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain(rows, least, top=50):
+    """rows: (lang, source, text)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    found = [TERMS.findall(r[2].translate(LOWER)) for r in rows]
+    in_docs, of_lang, of_group = Counter(), Counter(), defaultdict(Counter)
+    for (lang, source, _), terms in zip(rows, found):
+        in_docs.update((lang, t) for t in set(terms))
+        of_group[lang, source].update(terms)
+        of_lang.update((lang, t) for t in terms)
+    out = []
+    for lang in {r[0] for r in rows}:
+        kept = [t for (l, t), n in in_docs.items() if l == lang and n >= least]
+        v, total = len(kept), sum(of_lang[lang, t] for t in kept)
+        share = lambda n, all_: 1 + 1_000_000_000 * (n + 5) // (all_ + 5 * v)
+        p = {}
+        for (l, s), counts in of_group.items():
+            if l == lang:
+                n = sum(counts[t] for t in kept)
+                p[s] = {t: share(counts[t], n) for t in kept}
+        for s in p:
+            pairs = sorted((-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in p if o != s)
+            out += [(lang, s, "pair", o.decode(), -x, i + 1) for i, (x, o) in enumerate(pairs)]
+            q = {t: share(of_lang[lang, t], total) for t in kept}
+            more = sorted((q[t] - p[s][t], t.encode()) for t in kept if of_group[lang, s][t] and p[s][t] > q[t])
+            out += [(lang, s, "term", t.decode(), -x, i + 1) for i, (x, t) in enumerate(more[:top])]
+    return sorted(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, r[2], r[0], r[1], 0) for i, r in enumerate(rows)], SCHEMA)
+
+
+def run(df, **how):
+    return sorted(tuple(r) for r in D.divergence(df, **how).collect())
+
+
+def corpus(n, words, sources, seed=3):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{'é' * (i % 3)}{chr(97 + i // 260)}" for i in range(words)]
+    rows = []
+    for _ in range(n):
+        s = min(int(rnd.expovariate(0.5)), sources - 1)
+        terms = [vocabulary[min(int(rnd.expovariate(4 / words)) + 7 * s, words - 1)] for _ in range(rnd.randrange(60))]
+        rows.append((rnd.choice(["en", "de", None]), f"s{s:02d}", " ".join(t.upper() if rnd.random() < .2 else t for t in terms) + " 12,x-y"))
+    return rows
+
+
+@pytest.fixture()
+def small_parts(monkeypatch):
+    for name, value in (("PART_TERMS", 16), ("MERGE", 2), ("SOURCES", 3), ("TILE_TERMS", 20)):
+        monkeypatch.setattr(D, name, value)
+
+
+def test_against_plain(spark, small_parts):
+    rows = corpus(400, 300, 11) + [("en", "empty", None), ("en", None, ""), ("xx", "alone", "few terms"), ("xx", "other", "few"), (None, None, None)]
+    assert run(frame(spark, rows).repartition(4), min_docs=4, top=6) == plain(rows, 4, 6)
+
+
+def test_production_parts(spark):
+    rows = corpus(300, 200, 8, seed=5)
+    assert run(frame(spark, rows)) == plain(rows, 30)
+
+
+def test_hot_source_and_ties(spark, small_parts):
+    # one source has most rows; many terms with equal counts are ranked by their bytes
+    rows = [("en", "hot" if i % 3 else f"s{i % 5}", " ".join(f"t{chr(97 + k)}{chr(97 + i % 7)}" for k in range(20))) for i in range(210)]
+    assert run(frame(spark, rows), min_docs=3, top=4) == plain(rows, 3, 4)
+
+
+def test_odd_rows(spark):
+    df = docs(spark, odd_rows(), term="clash", n="clash", part=1, p=2, q=3, v=4)
+    rows = [(r["lang"], r["source"], r["text"]) for r in df.collect()]
+    assert run(df, min_docs=1) == plain(rows, 1)
+    assert run(df) == plain(rows, 30)  # no kept terms: pairs of value 0
+    assert run(df.limit(0)) == []
+
+
+def test_skyband_keeps_the_top_of_any_weighting():
+    rng = np.random.default_rng(1)
+    n, l = rng.integers(0, 12, 300), rng.integers(0, 12, 300)
+    terms = [f"t{i:03d}" for i in rng.permutation(300)]
+    keep = D.skyband(n, l, terms, 10)
+    beaten = [sum(n[j] >= n[i] and l[j] <= l[i] and terms[j] < terms[i] for j in range(300)) for i in range(300)]
+    assert keep.tolist() == [b < 10 for b in beaten]
+    for a, b in ((1, 1), (5, 1), (1, 9)):
+        best = sorted(range(300), key=lambda i: (-(a * n[i] - b * l[i]), terms[i]))[:10]
+        assert keep[best].all()
+
+
+def test_shares_are_whole_numbers_of_any_size(spark):
+    df = spark.range(1).selectExpr("30000000000000L AS n", "900000000000000L AS total", "7000000L AS v")
+    assert df.select(D._share("n", "total", "v")).first()[0] == 1 + 1_000_000_000 * 30000000000005 // (900000000000000 + 35000000)
