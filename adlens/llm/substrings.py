@@ -44,8 +44,8 @@ from ..session import checked_broadcast, write_table
 from .textkit import SegmentHasher, chunks, map_batches, mix, ragged
 
 WINDOW = 50
-#: Bytes of text for each part of the index, and the most parts.
-PART_BYTES, MOST_PARTS = 16 << 20, 1 << 14
+#: Bytes of text for each part of the index (64 MB: 400,000 blocks), and the least and most parts.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 64 << 20, 32, 1 << 14
 #: Bytes of text that are hashed together.
 HASH_BYTES = 2 << 20
 
@@ -298,7 +298,7 @@ def _spans(batches: Iterator[pa.RecordBatch], parts: int, window: int) -> Iterat
 
 
 def _routed(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
 
 
 def _answered(rows: DataFrame, parts: int, dtype) -> DataFrame:
@@ -317,8 +317,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """(key, spans): the words of a row that stand in a document of smaller id; rows without any are left out."""
     docs = _hashed(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(max(-(-size // PART_BYTES), least), MOST_PARTS)
+    parts = min(max(-(-size // PART_BYTES), LEAST_PARTS), MOST_PARTS)
     hits = write_table(_answered(map_batches(docs, partial(_probes, parts=parts, window=window), _ROUTED), parts, np.uint32), "substring-hits")
     near = docs.join(checked_broadcast(hits.select("key"), name="substring-keys"), "key", "left_semi").dropDuplicates(["key"])
     texts = write_table(near.join(hits, "key"), "substring-texts")
