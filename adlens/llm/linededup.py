@@ -119,21 +119,28 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", site_col: str = "source",
     return out.select(*columns)
 
 
-#: The same in DuckDB, for the columns of ``op10_line_dedup``.
+#: The same in DuckDB, for the columns of ``op10_line_dedup`` (``by_length`` and ``copies_once``).
 SQL = f"""
-WITH pages AS (
-  SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents),
-totals AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+WITH once AS (SELECT DISTINCT source, text FROM documents),
+pages AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM once),
+totals AS (SELECT source, count(*) AS n FROM once GROUP BY source),
+counted AS (
+  SELECT p.source, p.line, t.n AS total, count(*) AS n,
+    least(greatest(len(regexp_extract_all(p.line, '[^\\x20\\x09-\\x0D]+')) - {SHORT}, 0), 15) AS longer
+  FROM pages p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source
+  WHERE regexp_matches(p.line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
 common AS (
-  SELECT p.source, list(p.line) AS lines FROM (
-    SELECT p.source, p.line FROM pages p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source
-    WHERE regexp_matches(p.line, '\\S')
-    GROUP BY p.source, p.line, t.n HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO}::DOUBLE * t.n) p
-  GROUP BY p.source),
+  SELECT source, coalesce(list(line) FILTER (n > {RATIO}::DOUBLE * total), []) AS often,
+    coalesce(list(line) FILTER (NOT n > {RATIO}::DOUBLE * total), []) AS long_lines
+  FROM counted WHERE n >= {MIN_PAGES} AND n > {RATIO}::DOUBLE * pow(0.25, longer) * total GROUP BY source),
+kept AS (
+  SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS lines, coalesce(c.long_lines, []) AS long_lines,
+    list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(c.often, []), x)) AS kept
+  FROM documents d LEFT JOIN common c ON d.source IS NOT DISTINCT FROM c.source),
+own AS (SELECT *, list_filter(kept, lambda x: NOT list_contains(long_lines, x)) AS own FROM kept),
 cut AS (
-  SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS lines,
-    list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(c.lines, []), x)) AS kept
-  FROM documents d LEFT JOIN common c ON d.source IS NOT DISTINCT FROM c.source)
+  SELECT doc_id, source, lines, CASE WHEN 2 * coalesce(length(array_to_string(own, chr(10))), 0) < coalesce(length(array_to_string(kept, chr(10))), 0)
+    THEN kept ELSE own END AS kept FROM own)
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
   coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_dropped FROM cut
 """

@@ -43,8 +43,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import write_table
+from ..session import checked_broadcast, write_table
 from .components import components
 from .textkit import chunks, map_batches, mix, shingles
 
@@ -519,10 +520,8 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
     return first.where("kind = 0").select("a", "b").unionByName(more)
 
 
-def near_groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, n, k1, k2) and their sets (n, k1, k2, least, component), ``least`` the smallest id of the set's rows."""
     index = _index(docs, width, Classes.of(percent))
     rows = index.where("kind = 0").select("row", "doc_id", "n", "k1", "k2")
     # equal sets are one: named by a row with an id where there is one
@@ -536,7 +535,14 @@ def near_groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     joined = components(_links(docs, info, stars, width, percent))
     whole = reps.join(joined, reps["rep"] == joined["node"], "left").select(
         "n", "k1", "k2", "least", F.coalesce("component", "rep").alias("component"))
-    whole = write_table(whole, "ngram-components")
+    return rows, write_table(whole, "ngram-components")
+
+
+def near_groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, whole = _grouped(docs, width, percent)
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     named = whole.join(ids, "component").select("n", "k1", "k2", "component_id")
     linked = rows.where("n > 0").join(named, ["n", "k1", "k2"]).select(
@@ -547,17 +553,50 @@ def near_groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group: the smallest id.  Of several
-    rows with that id the one of lowest text hash stays; null ids all stay."""
-    groups = near_groups(df, width, percent, id_col, text_col)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    named = df.where(df[id_col].isNotNull())
-    kept = named.join(firsts, named[id_col].cast("long") == firsts["first"], "left_semi")
-    # names of columns are the caller's: the texts' hashes travel in a struct of their own
-    packed = kept.select(F.struct(*(kept[c] for c in df.columns)).alias("doc"), kept[id_col].alias("id"),
-                         F.xxhash64(kept[text_col]).alias("hash"))
-    least = packed.groupBy(F.col("id").alias("its_id")).agg(F.min("hash").alias("least"), F.count("*").alias("rows"))
-    one = packed.join(least, (F.col("id") == F.col("its_id")) & (F.col("hash") == F.col("least")))
-    single = one.where("rows = 1").select("doc.*")
-    several = one.where("rows > 1").groupBy("id").agg(F.first("doc").alias("doc")).select("doc.*")
-    return single.unionByName(several).unionByName(df.where(df[id_col].isNull()))
+    """``df`` with one row of each group of near copies, and all rows without words.
+
+    The row of smallest id stays (rows without id come last), of these the one of smallest
+    set key, of rows of equal id and set the one of lowest text hash, then of lowest hash of all columns.  A
+    row is named by its id where no other row has that id; rows of repeated or null ids are named by id
+    and set, so unlike texts of one id each stay for their own group.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, whole = _grouped(docs, width, percent)
+    firsts = whole.groupBy("component").agg(
+        F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k1", "k2", "n")).alias("first")).select(
+        F.col("first.least").alias("first_id"), F.col("first.k1").alias("first_k1"), F.col("first.k2").alias("first_k2"),
+        F.col("first.n").alias("first_n"))
+    often = write_table(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("its_id")),
+                        "ngram-repeated-ids")
+    stay = firsts.select(F.col("first_id").alias("its_id")).unionByName(rows.where("n = 0").select(F.col("doc_id").alias("its_id")))
+    stay = stay.where("its_id IS NOT NULL").distinct().join(often, "its_id", "left_anti")
+    own_id = df[id_col].cast("long")
+    out = df.join(stay, own_id == stay["its_id"], "left_semi")
+    nameless = df.where(df[id_col].isNull())
+    unnamed = nameless
+    if not often.isEmpty():
+        few = checked_broadcast(often, name="ngram-repeated")
+        unnamed = nameless.unionByName(df.join(few, own_id == few["its_id"], "left_semi"))
+    elif rows.where("doc_id IS NULL").isEmpty():
+        return out
+    packed = unnamed.select(F.struct(*(F.col(c) for c in df.columns)).alias("doc"), F.col(id_col).cast("long").alias("id"),
+                            F.col(text_col).cast("string").alias("text"), F.xxhash64(*df.columns).alias("hash"))
+
+    def sets(batches):
+        for b in batches:
+            n, k1, k2 = [], [], []
+            for c in chunks(b.column(2)):
+                h, offsets, _ = shingles(c, width)
+                one, two = set_keys(h, offsets)
+                n.append(np.diff(offsets))
+                k1.append(one.view(np.int64))
+                k2.append(two.view(np.int64))
+            keys = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (n, k1, k2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *keys], ["doc", "id", "hash", "n", "k1", "k2"])
+
+    schema = StructType([packed.schema["doc"], *(StructField(c, LongType()) for c in ("id", "hash", "n", "k1", "k2"))])
+    keyed = map_batches(packed, sets, schema).withColumn("text_hash", F.xxhash64(F.col("doc")[text_col]))
+    chosen = (keyed.where("n > 0").join(firsts, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("k1") == F.col("first_k1"))
+                                        & (F.col("k2") == F.col("first_k2")) & (F.col("n") == F.col("first_n")))
+              .groupBy("id", "k1", "k2", "n").agg(F.min_by("doc", F.struct("text_hash", "hash")).alias("doc")))
+    return out.unionByName(chosen.select("doc.*")).unionByName(keyed.where("n = 0").select("doc.*"))

@@ -7,10 +7,16 @@ the value's number is split into halves that are mixed in turn, and the walk
 goes on until it is back in the set.  The result is again a valid value of the
 same format, with the same punctuation and letter case; equal values get equal
 pseudonyms in every document, other values others; with the key the
-permutation can be undone (:func:`restore`).
+permutation can be undone (:func:`restore`).  The network's image is moved on by one before it is
+mapped back, which leaves no value in place: what is counted has changed.
+
+Digits of any script are digits: a number in one script is mapped as its value and written in that script
+again; one that mixes scripts is no value.  Letters of an address stay in their
+script and case (``ALPHABET`` neighbouring code points of one category).
 
 Kinds: e-mail addresses (every label but the last, letters and digits within
-their classes), IBANs (check digits renewed), IPv4 addresses, dates, US social
+their classes), IBANs (check digits renewed, 02 to 98 as the standard has them), IPv4 and IPv6 addresses (of the latter
+the hexadecimal digits that are written, at least one of them decimal), dates, US social
 security numbers, telephone numbers (country code kept), card and account
 numbers of 13 to 19 digits with a right check digit (it stays right; numbers
 with a wrong one are no values and stay as they are), and hexadecimal secrets
@@ -31,7 +37,9 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,13 +58,13 @@ _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 # The shapes of the kinds, tried in this order.
 PATTERNS = {
     "email": r"[^\W_][\w.%+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "number": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
+    "number": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "secret": r"(?<!\w)[0-9a-fA-F]{32,}(?!\w)",
 }
 #: Characters of an IBAN by country; with other countries' codes all lengths are tried.
@@ -84,12 +92,25 @@ class Feistel:
 
     def permute(self, x: int, n: int, tweak: bytes, member=None, back: bool = False) -> int:
         """Image of ``x`` (with ``back``: what it is the image of).  ``member``
-        narrows the set to the numbers it accepts, ``x`` among them."""
+        narrows the set to the numbers it accepts, ``x`` among them.
+
+        The image is the number whose place in the network's order is one behind that of ``x``: all
+        numbers are one cycle, so only a set of one has a number that stays.
+        """
         if n < 2:
             return x
+        tweak = tweak + b"/" + str(n).encode()
+        place = self._walk(x, n, tweak, False)
+        while True:
+            place = (place + (-1 if back else 1)) % n
+            x = self._walk(place, n, tweak, True)
+            if member is None or member(x):
+                return x
+
+    def _walk(self, x: int, n: int, tweak: bytes, back: bool) -> int:
+        """The network on numbers of as many bits as ``n`` needs, until it is below ``n`` again."""
         bits = max(1, ((n - 1).bit_length() + 1) // 2)
         mask = (1 << bits) - 1
-        tweak = tweak + b"/" + str(n).encode()
         while True:
             left, right = x >> bits, x & mask
             if back:
@@ -99,7 +120,7 @@ class Feistel:
                 for r in range(ROUNDS):
                     left, right = right, left ^ self._round(tweak, r, right, bits)
             x = left << bits | right
-            if x < n and (member is None or member(x)):
+            if x < n:
                 return x
 
 
@@ -139,6 +160,28 @@ def _alphabets() -> dict[str, str]:
     return {c: s for s in sets for c in s}
 
 
+#: Code points among which a letter outside Latin-1 is exchanged.
+ALPHABET = 64
+
+
+@lru_cache(maxsize=100_000)
+def _alphabet(c: str) -> str | None:
+    """The characters that ``c`` may become: digits of its script, letters of its category next to it."""
+    if c in _alphabets():
+        return _alphabets()[c]
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    kind = unicodedata.category(c)
+    if kind[0] != "L":
+        return None
+    first = ord(c) - ord(c) % ALPHABET
+    return "".join(x for x in map(chr, range(first, first + ALPHABET))
+                   if unicodedata.category(x) == kind and x not in _alphabets())
+
+
+_HEX = {c: "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF" for c in "0123456789abcdefABCDEF"}
+
 class Pseudonyms:
     """Replaces the values of all kinds in texts, under one key."""
 
@@ -148,11 +191,11 @@ class Pseudonyms:
     def _mixed(self, text: str, tweak: bytes, classes: dict[str, str] | None = None, fixed: int = 0,
                member=None) -> str:
         """Permute the characters that have a class, each within its class."""
-        classes = classes or _alphabets()
+        class_of = classes.get if classes else _alphabet
         n, x = 1, 0
         shape = []
         for c in text[fixed:]:
-            s = classes.get(c)
+            s = class_of(c)
             shape.append(s)
             if s:
                 x, n = x * len(s) + s.index(c), n * len(s)
@@ -183,7 +226,7 @@ class Pseudonyms:
 
     def iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
+        if not 15 <= len(plain) <= 34 or not "02" <= plain[2:4] <= "98" or _mod97(plain) != 1:
             return None
         new = self._mixed(plain, b"iban", fixed=4)
         new = new[:2] + f"{98 - _mod97(new[:2] + '00' + new[4:]):02d}" + new[4:]
@@ -191,6 +234,12 @@ class Pseudonyms:
         return "".join(c if c == " " else next(chars) for c in s)
 
     def ip(self, s: str) -> str | None:
+        if ":" in s:
+            try:
+                ipaddress.IPv6Address(s)
+            except ValueError:
+                return None
+            return self._mixed(s, b"ipv6", _HEX) if any(c.isdigit() for c in s) else None
         parts = [int(p) for p in s.split(".")]
         if max(parts) > 255:
             return None
@@ -247,8 +296,7 @@ class Pseudonyms:
         case = "0123456789abcdef" if s == s.lower() else "0123456789ABCDEF" if s == s.upper() else None
         if case:
             return self._mixed(s, b"hex", dict.fromkeys(case, case))
-        return self._mixed(s, b"mixed-hex", {c: "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF"
-                                             for c in "0123456789abcdefABCDEF"})
+        return self._mixed(s, b"mixed-hex", _HEX)
 
     def _new(self, kind: str, value: str) -> str:
         """The pseudonym; empty for the shape without the rules, which is no value."""
@@ -256,9 +304,21 @@ class Pseudonyms:
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            got = self.known[kind, value] = getattr(self, kind)(value) or ""
+            got = self._made(kind, value)
+            # where nothing can change there is nothing to count
+            got = self.known[kind, value] = got if got and got != value else ""
         return got
 
+    def _made(self, kind: str, value: str) -> str | None:
+        if value.isascii() or kind == "email":
+            return getattr(self, kind)(value)
+        zeros = {ord(c) - unicodedata.decimal(c) for c in value if c.isdecimal()}
+        if len(zeros) != 1:
+            return None
+        zero = zeros.pop()
+        new = getattr(self, kind)("".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value))
+        return new and "".join(chr(zero + int(c)) if c in "0123456789" else c for c in new)
+
     def _value(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
         """Kind, end and pseudonym of the value that begins with the match."""
         if m.lastgroup != "iban":

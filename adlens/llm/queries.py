@@ -69,7 +69,7 @@ ORACLES["op6_mixing"] = mixing.SQL
 def op10_line_dedup(spark, sf_dir):
     """Every document without the boilerplate lines of its source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return linededup.drop_lines(docs, report=True)
+    return linededup.drop_lines(docs, report=True, by_length=True, copies_once=True)
 
 
 ORACLES["op10_line_dedup"] = linededup.SQL

@@ -9,8 +9,10 @@ before a piece follows from one row per piece.
 
 Ids are those of the tokenizers library: it encodes every distinct pre-token
 of a chunk of texts once, and the ids are laid out again for every occurrence
-(byte-level BPE never merges across pre-tokens).  Its file is read on the
-driver and shipped as a broadcast of bounded size.
+(byte-level BPE never merges across pre-tokens).  Strings of the tokenizer's added tokens
+are cut out of the texts first, as the library does; each is its one id.  Its file is read on the
+driver and shipped as a broadcast of bounded size.  Ids of 65536 and more raise an error, as does an added
+token that takes blanks around it or only whole words.
 
 Null texts count as empty: their ids are the end id alone.  Null document ids
 come first, rows of equal id by text; an empty table gives empty files; other
@@ -19,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -45,7 +49,12 @@ class LibraryCodec:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = json.loads(spec).get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens must be plain strings")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        # of strings that begin at one place the longest
+        self.find = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -55,6 +64,23 @@ class LibraryCodec:
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the chunk, and the offset of each text's ids."""
+        raw = chunk.data.tobytes()
+        if not (self.find and self.find.search(raw)):
+            return self._ordinary(chunk)
+        # added tokens and the texts between them, each a text of its own
+        own: dict[int, int] = {}
+        cuts = set(chunk.offsets.tolist())
+        for lo, hi in zip(chunk.offsets.tolist(), chunk.offsets[1:].tolist()):
+            for m in self.find.finditer(raw, lo, hi):
+                own[m.start()] = self.added[m.group()]
+                cuts |= {m.start(), m.end()}
+        cuts = np.array(sorted(cuts), dtype=np.int64)
+        ids, offsets = self._ordinary(Chunk(chunk.first, chunk.data, cuts))
+        parts = [np.array([own[c]], np.uint32) if c in own else ids[offsets[i]:offsets[i + 1]] for i, c in enumerate(cuts[:-1].tolist())]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        return np.concatenate(parts), ends[np.searchsorted(cuts, chunk.offsets)]
+
+    def _ordinary(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         at, first = boundaries(chunk)
         if len(at) < 2:
             return np.zeros(0, np.uint32), np.zeros(chunk.n + 1, np.int64)

@@ -99,3 +99,37 @@ def test_copies_are_one_page(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
     firsts = {r["doc_id"]: r["text"] for r in C.keep_firsts(spark, cut, "").where("text is not null").collect()}
     assert firsts[100] == copy and firsts[200] == rows[60][1] and not {*range(101, 120), *range(201, 206)} & set(firsts)
+
+
+def query(spark, rows, folder):
+    """The registered query over rows written as a table."""
+    from adlens.llm.queries import QUERIES
+    docs(spark, rows).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return QUERIES["op10_line_dedup"](spark, folder)
+
+
+def test_query_loses_no_copied_text(spark, tmp_path):
+    """A group of copies that is a third of its site keeps its text; the boilerplate of all its pages goes."""
+    copy = "\n".join(f"line {k} of a text that was copied" for k in range(8))
+    rows = [(i, f"header\nown {i} and more words", "a") for i in range(40)] + [(100 + i, "header\n" + copy, "a") for i in range(20)]
+    rows += [(200 + i, "six copies\nand nothing else", "b") for i in range(6)] + [(300, None, "a"), (301, "", None)]
+    out = query(spark, rows, str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {i: t and t.removeprefix("header\n") for i, t, _ in rows}
+
+
+def test_query_and_its_sql_on_planted_lines(spark, tmp_path):
+    import duckdb
+    rows = [[i, f"own{i} a\nown{i} b c d e f g h i j k l m\nown{i} z", "a"] for i in range(400)]
+    for line, pages in {"and so on": range(40), "seven words that no chance brings together": range(30, 36), PASSAGE: range(40, 45),
+                        "four pages have all these seven words": range(50, 54), "top": range(100, 300)}.items():
+        for i in pages:
+            rows[i][1] += "\n" + line
+    rows += [[500 + i, "\n".join(["top", PASSAGE, f"edited {i}"]), "a"] for i in range(8)] + [[600, None, "a"], [601, " \n\n", None]]
+    out = query(spark, rows, str(tmp_path))
+    got = sorted(map(str, map(tuple, out.select("doc_id", "source", "text", "n_lines", "n_dropped").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, source, text, n_lines, n_dropped FROM ({L.SQL})").fetchall()
+    assert got == sorted(map(str, want))
+    assert sum(r[4] for r in want) > 200

@@ -81,15 +81,36 @@ def test_odd_rows(spark):
     assert got(df.limit(0), 4, 85) == []
 
 
+def kept(df):
+    return sorted(str((r["doc_id"], r["text"])) for r in ngramjoin.keep_one(df).collect())
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (9, "quite another text of its own"), (9, "one more of equal id"),
             (None, "no id"), (None, "no id"), (4, None), (6, "")]
-    kept = ngramjoin.keep_one(docs(spark, rows, rows=1, first=2, hash=3, doc="d", id=7))
-    out = sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "rows", "first", "hash", "doc", "id"]
-    assert [x for x in out if x.startswith("(9")] in (["(9, 'quite another text of its own')"], ["(9, 'one more of equal id')"])
-    assert [x for x in out if not x.startswith("(9")] == sorted(
-        str(x) for x in [(3, "a b c d e f g"), (None, "no id"), (None, "no id"), (4, None), (6, "")])
+    df = docs(spark, rows, rows=1, first=2, hash=3, doc="d", id=7, n=8, k1=9, its_id=10)
+    assert ngramjoin.keep_one(df).columns == ["doc_id", "text", "lang", "source", "n_chars", "rows", "first", "hash", "doc", "id", "n", "k1", "its_id"]
+    # unlike texts of one id both stay; of equal rows one
+    assert kept(df) == sorted(map(str, [(3, "a b c d e f g"), (9, "quite another text of its own"), (9, "one more of equal id"),
+                                        (None, "no id"), (4, None), (6, "")]))
+
+
+def test_keep_one_names_rows_not_ids(spark):
+    same, other = "one two three four five six seven", "a text unlike the first one in every word"
+    for rows, want in (
+            ([(9, same), (9, other)], [(9, same), (9, other)]), ([(9, same), (9, same)], [(9, same)]),
+            ([(9, same), (9, other), (2, other)], [(9, same), (2, other)]), ([(None, same), (None, other)], [(None, same), (None, other)]),
+            ([(None, same), (None, same)], [(None, same)]), ([(None, same), (8, same)], [(8, same)]),
+            ([(9, ""), (9, None), (9, same), (None, "")], [(9, ""), (9, None), (9, same), (None, "")]),
+            ([(9, same.upper()), (9, same)], None)):
+        got = kept(docs(spark, rows).repartition(2))
+        assert got == (sorted(map(str, want)) if want else got) and len(got) == len(want or [1])
+
+
+def test_keep_one_of_many_without_ids(spark):
+    rows = [(None, " ".join(f"t{i // 4}w{k}" for k in range(30)) + (f" end{i % 4}" if i % 2 else "")) for i in range(80)]
+    got = kept(docs(spark, rows).repartition(3))
+    assert len(got) == 20 and len({x.split("w0")[0] for x in got}) == 20
 
 
 def test_size_classes_cover_every_pair():

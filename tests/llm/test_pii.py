@@ -1,6 +1,8 @@
 import datetime as dt
+import ipaddress
 import os
 import sys
+import unicodedata
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -118,3 +120,50 @@ def test_what_looks_like_an_iban_hides_no_value():
     secret = "AB12CDEF" * 4
     new, found = NEW.replace(f"key {secret}.")
     assert found == {"secret": 1} and secret not in new
+
+
+def test_other_scripts():
+    for v, kind in (("\u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.\u0440\u0444", "email"),
+                    ("+\u0664\u0664 \u0662\u0660 \u0661\u0662\u0663\u0664 \u0665\u0666\u0667\u0668", "phone"),
+                    ("\u0662\u0660\u0662\u0664-\u0660\u0662-\u0662\u0669", "date"), ("\u7530\u4e2d@\u4f8b\u3048.jp", "email")):
+        new, found = NEW.replace(f"a {v}, b")
+        assert found == {kind: 1} and v not in new and OLD.replace(new)[0] == f"a {v}, b", v
+        assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in f"a {v}, b"]
+    mixed = "\u0662\u0660\u0662\u0664-02-29"  # two scripts in one number
+    assert NEW.replace(mixed) == (mixed, {})
+
+
+def test_grouped_cards_and_ipv6():
+    new, found = NEW.replace("card 3782 822463 10005.")
+    assert found == {"number": 1} and pii.luhn("".join(c for c in new if c.isdigit())) and OLD.replace(new)[0] == "card 3782 822463 10005."
+    for v in ("2001:db8::ff00:42:8329", "fe80::1", "2001:0DB8:0:0:0:0:1428:57AB"):
+        new, found = NEW.replace(f"from {v} to")
+        one = new.split()[1]
+        assert found == {"ip": 1} and one != v and ipaddress.IPv6Address(one) and OLD.replace(new)[0] == f"from {v} to"
+    for v in ("12:30:45", "std::vector", "a::b", "::", "1:2:3:4:5:6:7:8:9", "00:1A:2B:3C:4D:5E"):
+        assert NEW.replace(v) == (v, {}), v
+
+
+def test_check_digits_of_ibans_are_unique():
+    # 97 and 00 pass the division too, but only 02 to 98 are check digits
+    assert NEW.replace("BE00000000000002") == ("BE00000000000002", {})
+    found = NEW.replace("BE97000000000002")
+    assert found[1] == {"iban": 1}
+
+
+WHOLE = st.one_of(
+    st.from_regex(r"[a-z][a-z0-9]{0,3}@[a-z]{1,3}\.(com|de)", fullmatch=True), st.from_regex(r"[\u0430-\u044f]{1,4}@[a-z\u0430-\u044f]{1,3}\.com", fullmatch=True),
+    st.dates(dt.date(1900, 1, 1), dt.date(2099, 12, 31)).map(str), st.ip_addresses(v=4).map(str),
+    st.from_regex(r"[1-8][0-9]{2}-[1-9][0-9]-[1-9][0-9]{3}", fullmatch=True).filter(lambda x: x[:3] != "666"),
+    st.from_regex(r"\+[0-9]{2} [0-9]{3} [0-9]{4}", fullmatch=True), st.integers(10 ** 11, 10 ** 15).map(lambda x: f"{x}{pii._check_digit(str(x))}"))
+
+
+@given(st.lists(WHOLE, min_size=1, max_size=6, unique=True))
+@settings(max_examples=150, deadline=None)
+def test_counted_values_change_apart_and_come_back(values):
+    text = " ; ".join(values)
+    new, found = NEW.replace(text)
+    assert sum(found.values()) == len(values)
+    parts = new.split(" ; ")
+    assert all(a != b for a, b in zip(values, parts)) and len(set(parts)) == len(values)
+    assert OLD.replace(new)[0] == text

@@ -20,9 +20,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def there_and_back(ids):
@@ -98,3 +96,18 @@ def test_odd_rows(spark, library):
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(
         [i for i, _ in rows], key=lambda i: (i is not None, i or 0))
+
+
+def test_added_tokens(spark, library):
+    import json
+    with open(PATH, encoding="utf-8") as f:
+        names = [t["content"] for t in json.load(f)["added_tokens"]]
+    assert names
+    texts = []
+    for x in names:
+        texts += [x, x + x, f"a{x}b", f" {x} ", f"{x}'s", f"don't{x}", f"{x[:-1]}", f"<{x}>", f"\n{x}\n\n{x} 12{x}34", f"é{x}字", f"{x} " * 40, "", "plain"]
+    rows = list(enumerate(texts))
+    want = [library.encode(t, add_special_tokens=False).ids + [T.END_ID] for t in texts]
+    assert library.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    got = {r["doc_id"]: r["ids"] for r in T.read(T.write(docs(spark, rows).repartition(3), PATH)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
