@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clustering as C
@@ -22,9 +22,11 @@ from ..operators import reported as RP
 from ..operators import requests as RQ
 from ..operators import tree_model as TM
 from ..sources import tables as TB
+from ..sources import incremental as IN
 from ..sources import text as TX
 from ..sources.runlog import RunLog
 from ..session import in_staging, materialize, modified, staging_path
+from ..streaming import responses as SR
 from ..streaming import throughput as ST
 from . import flows
 
@@ -112,6 +114,18 @@ def field_count_profile(spark, sf):
             .unionByName(hi.select(F.lit("history").alias("source"), "n_fields", "n_lines")))
 
 
+@query
+def scan_quality(spark, sf):
+    """Record counters observed in the pass that parses the keyword records and reduces them."""
+    path, seen = staging_path(spark, "observed-lines"), Observation("records")
+    TX.write_lines(TX.format_keyword_lines(_kw(spark, sf)), path)
+    lines = TX.observe_records(TX.read_lines(spark, path), seen)
+    keywords = materialize(K.keyword_counts(TX.parse_keyword_lines(lines))).count()
+    m = seen.get
+    return spark.createDataFrame([(m["records"], m["short"], m["fewest_fields"], m["most_fields"], keywords)],
+                                 "records long, short long, fewest_fields int, most_fields int, keywords long")
+
+
 # ---- keyword statistics ------------------------------------------------------------
 
 @query
@@ -132,6 +146,20 @@ def keyword_stats(spark, sf):
     return _stats(spark, sf).select("keyword", "n", r6("avg_qi").alias("avg_qi"))
 
 
+@query
+def keyword_stats_incremental(spark, sf):
+    """The statistics of a folder that grows in three steps, files offered again counting once."""
+    path = staging_path(spark, "growing")
+    for part in range(3):
+        mine = _kw(spark, sf).where(F.pmod(F.xxhash64("client_id", "keyword"), F.lit(3)) == part)
+        TX.write_lines(TX.format_keyword_lines(mine), f"{path}/step{part}")
+    kept = IN.IncrementalKeywordStats(spark, f"{path}/kept")
+    steps = [IN.list_files(spark, f"{path}/step{part}") for part in range(3)]
+    for offered in (steps[0], steps[0] + steps[1], steps[2] + steps[0]):
+        kept.update(offered)
+    return kept.stats().select("keyword", "n", r6("avg_qi").alias("avg_qi"))
+
+
 @query
 def top_keywords(spark, sf):
     """O2: the most frequent keywords (top-k report, ties by keyword)."""
@@ -631,6 +659,17 @@ def responses_log(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def responses_stream(spark, sf):
+    """Response contents from a stream, one log entry for a batch; the last batch run again adds nothing."""
+    events = TB.table(spark, sf, "events")
+    stream = TB.request_log_of(ST.read_stream(ST.stream_session(spark), sf, events.schema, glob="events.parquet"))
+    log = RunLog(spark, staging_path(spark, "responses-log"), "visitor_id long, content string")
+    SR.run_responses(stream, log)
+    SR.response_sink(log)(TB.request_log(spark, sf), 0)  # what a restart does to a batch that was not acknowledged
+    return log.table().select("visitor_id", "content")
+
+
 @query
 def latency_summary(spark, sf):
     """Count, mean, min, max and exact percentiles of successful latency."""

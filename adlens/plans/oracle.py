@@ -332,6 +332,11 @@ SELECT since AS window_start, ts AS window_end, CAST(before + 1 - counted AS BIG
 FROM chain WHERE report"""
 
     q["id_join_bucketed"] = q["id_join"]
+    q["keyword_stats_incremental"] = q["keyword_stats"]
+    q["responses_stream"] = _with(REQUESTS) + "SELECT visitor_id, content FROM requests"
+    q["scan_quality"] = _with(KEYWORD_ROWS, ENABLED, STATS) + """
+SELECT count(*) AS records, 0 AS short, CAST(16 AS INTEGER) AS fewest_fields, CAST(16 AS INTEGER) AS most_fields,
+       (SELECT count(*) FROM stats) AS keywords FROM keyword_rows"""
     # 3 tree counts x 4 depths, each logged once, whatever stopped in between
     q["grid_log"] = """
 SELECT CAST(d AS INTEGER) AS progress, 'depth-' || CAST(4 + 5 * d AS VARCHAR) AS entry, CAST(4 + 5 * d AS INTEGER) AS max_depth,

@@ -37,10 +37,13 @@ class RunLog:
         found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/entry=*/_SUCCESS"))
         return {s.getPath().getParent().getName().removeprefix("entry=") for s in found or []}
 
-    def append(self, key: str, rows: DataFrame, progress: int = 0) -> None:
-        """Commit the rows of ``key``; rows of an earlier commit are replaced, so a retry adds nothing."""
+    def append(self, key: str, rows: DataFrame, progress: int = 0, files: int | None = 1) -> None:
+        """Commit the rows of ``key``; rows of an earlier commit are replaced, so a retry adds nothing.
+
+        Few rows go to one file; ``files=None`` leaves large ones in as many as they have partitions."""
         wanted = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        (rows.select(F.lit(progress).cast("int").alias("progress"), *wanted).coalesce(1)
+        out = rows.select(F.lit(progress).cast("int").alias("progress"), *wanted)
+        ((out.coalesce(files) if files else out)
          .write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._entry(key)))
 
     def table(self) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ENABLED_STATE, HISTORY_SEPARATOR, KEYWORD_SEPARATOR
@@ -165,6 +165,15 @@ def field_count_profile(lines: DataFrame, sep: str = KEYWORD_SEPARATOR) -> DataF
             .agg(F.count(F.lit(1)).alias("n_lines")))
 
 
+def observe_records(lines: DataFrame, observation: Observation, sep: str = KEYWORD_SEPARATOR,
+                    least: int = KEYWORD_ENABLED_MIN_FIELDS) -> DataFrame:
+    """P16 in the pass that reads the records: ``lines`` unchanged; once an action has read them, ``observation.get``
+    has ``records``, ``short`` (fewer than ``least`` fields), ``fewest_fields`` and ``most_fields``."""
+    n = jvm_field_count(sep)
+    return lines.observe(observation, F.count(F.lit(1)).alias("records"), F.count_if(n < least).alias("short"),
+                         F.min(n).alias("fewest_fields"), F.max(n).alias("most_fields"))
+
+
 def _line(cols: dict[int, Column], width: int, sep: str) -> Column:
     parts = [cols.get(i, F.lit("")) for i in range(width)]
     return F.concat_ws(sep, *[p.cast("string") for p in parts])
