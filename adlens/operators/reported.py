@@ -92,6 +92,22 @@ def follow(ts: np.ndarray, n: np.ndarray, width: int, at: int, since: int, pendi
         i = int(np.searchsorted(ts, since + width))
 
 
+#: (report due, previous report, requests since) in microseconds.
+State = tuple[int, int, int]
+
+
+def request_times(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """(t, n): successful requests by microsecond."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return successful(df).where(F.col(ts).isNotNull()).groupBy(micros.alias("t")).agg(F.count("*").alias("n"))
+
+
+def windows(found: DataFrame, zone: str) -> DataFrame:
+    """Reports in microseconds as ``window_start, window_end, requests, rate_per_sec``."""
+    return found.select(F.timestamp_micros("start").cast(zone).alias("window_start"), F.timestamp_micros("end").cast(zone).alias("window_end"),
+                        "requests", F.expr("(requests * 1000000) div nullif(end - start, 0)").alias("rate_per_sec"))
+
+
 def throughput_reported(df: DataFrame, width_seconds: float = 1, ts: str = "ts",
                         piece_events: int = PIECE_EVENTS) -> DataFrame:
     """``window_start, window_end, requests, rate_per_sec`` of every report.
@@ -102,11 +118,19 @@ def throughput_reported(df: DataFrame, width_seconds: float = 1, ts: str = "ts",
     one time the first reports and the others belong to the next window.  An empty log
     and one without a report give no rows.
     """
-    width = int(round(width_seconds * 1_000_000))
-    kind = df.schema[ts].dataType
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = write_table(successful(df).where(F.col(ts).isNotNull()).groupBy(micros.alias("t")).agg(F.count("*").alias("n")), "request-times")
+    zone = "timestamp_ntz" if isinstance(df.schema[ts].dataType, T.TimestampNTZType) else "timestamp"
+    times = write_table(request_times(df, ts), "request-times")
+    return windows(reports(times, int(round(width_seconds * 1_000_000)), None, piece_events)[0], zone)
+
+
+def reports(times: DataFrame, width: int, state: State | None = None,
+            piece_events: int = PIECE_EVENTS) -> tuple[DataFrame, State | None]:
+    """(start, end, requests) of every report of the ``times``, a written table of (t, n), and the state behind them.
+
+    ``state`` is that behind all requests before these; without one the first of these starts the clock.
+    """
     first, last, many = times.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    empty = first is None
     first, last, many = first or 0, last or 0, many or 1
     length = max(width, -(-(last - first + 1) * piece_events // many))
     placed = times.withColumn("id", F.floor((F.col("t") - first) / F.lit(length)).cast("long"))
@@ -125,12 +149,13 @@ def throughput_reported(df: DataFrame, width_seconds: float = 1, ts: str = "ts",
         count = -(-count // FANOUT)
 
     # the first request starts the clock
-    states = df.sparkSession.createDataFrame([(0, first + width, first, 0)], _STATE)
+    start = state or (first + width, first, 0)
+    states = times.sparkSession.createDataFrame([(0, *start)], _STATE)
     for maps in levels[-2::-1]:
         states = write_table(maps.withColumn("up", F.floor(F.col("id") / FANOUT).cast("long")).groupBy("up")
                              .cogroup(states.groupBy("id")).applyInPandas(_handed(width), _STATE), "report-states")
 
-    def reports(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def followed(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         out = []
         if len(state) and len(rows):
@@ -138,10 +163,15 @@ def throughput_reported(df: DataFrame, width_seconds: float = 1, ts: str = "ts",
             out = list(follow(rows["t"].to_numpy(), rows["n"].to_numpy(), width, int(s["at"]), int(s["since"]), int(s["pending"])))
         return pd.DataFrame(out, columns=["end", "start", "requests"], dtype="int64")
 
-    found = placed.groupBy("id").cogroup(states.groupBy("id")).applyInPandas(reports, "end long, start long, requests long")
-    zone = "timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp"
-    return found.select(F.timestamp_micros("start").cast(zone).alias("window_start"), F.timestamp_micros("end").cast(zone).alias("window_end"),
-                        "requests", F.expr("(requests * 1000000) div (end - start)").alias("rate_per_sec"))
+    found = placed.groupBy("id").cogroup(states.groupBy("id")).applyInPandas(followed, "end long, start long, requests long")
+    return found, state if empty else _behind(levels[-1], start, width)
+
+
+def _behind(whole: DataFrame, start: State, width: int) -> State:
+    """The state behind the one map of all pieces."""
+    entry = F.expr(f"size(filter(entries, e -> e < {start[0]}))")
+    due, tail, total = whole.select(F.get("due", entry), F.get("tail", entry), "total").first()
+    return (start[0], start[1], start[2] + total) if due is None else (due, due - width, tail)
 
 
 def _composed(width: int, first: int, span: int):

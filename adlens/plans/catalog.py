@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clustering as C
 from ..operators import features as FT
@@ -26,6 +27,7 @@ from ..sources import incremental as IN
 from ..sources import text as TX
 from ..sources.runlog import RunLog
 from ..session import in_staging, materialize, modified, staging_path
+from ..streaming import reported as SW
 from ..streaming import responses as SR
 from ..streaming import throughput as ST
 from . import flows
@@ -670,6 +672,17 @@ def responses_stream(spark, sf):
     return log.table().select("visitor_id", "content")
 
 
+@query
+def throughput_reported_stream(spark, sf):
+    """Windows from the previous report, live: what the stream reports, then the flush of what it held back."""
+    events, session = TB.table(spark, sf, "events"), ST.stream_session(spark)
+    stream = TB.request_log_of(ST.read_stream(session, sf, events.schema, glob="events.parquet"))
+    zone = "timestamp_ntz" if isinstance(events.schema["ts"].dataType, T.TimestampNTZType) else "timestamp"
+    log = SW.ReportedLog(session, staging_path(session, "reported-log"), 1, WINDOW_SECONDS, zone)
+    SW.run_reported(stream, log)
+    return log.read().withColumn("closed", F.lit(True)).unionByName(log.flush())
+
+
 @query
 def latency_summary(spark, sf):
     """Count, mean, min, max and exact percentiles of successful latency."""

@@ -331,6 +331,15 @@ SELECT since AS window_start, ts AS window_end, CAST(before + 1 - counted AS BIG
        CAST((before + 1 - counted) * 1000000 // date_diff('microsecond', since, ts) AS BIGINT) AS rate_per_sec
 FROM chain WHERE report"""
 
+    # the same reports, and what no request has reported yet
+    q["throughput_reported_stream"] = f"""
+WITH reports AS ({q["throughput_reported"]}),
+every AS (SELECT min(ts) AS first, max(ts) AS last, count(*) AS n FROM events WHERE event_type <> 'error' AND ts IS NOT NULL),
+rest AS (SELECT coalesce((SELECT max(window_end) FROM reports), first) AS since, last,
+                CAST(n - (SELECT coalesce(sum(requests), 0) FROM reports) AS BIGINT) AS n FROM every)
+SELECT *, true AS closed FROM reports
+UNION ALL
+SELECT since, last, n, CAST(n * 1000000 // date_diff('microsecond', since, last) AS BIGINT), false FROM rest WHERE n > 0"""
     q["id_join_bucketed"] = q["id_join"]
     q["keyword_stats_incremental"] = q["keyword_stats"]
     q["responses_stream"] = _with(REQUESTS) + "SELECT visitor_id, content FROM requests"

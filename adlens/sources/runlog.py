@@ -46,9 +46,21 @@ class RunLog:
         ((out.coalesce(files) if files else out)
          .write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._entry(key)))
 
-    def table(self) -> DataFrame:
-        """``entry, progress`` and the logged columns of all committed keys."""
-        done = sorted(self.keys())
+    def entry(self, key: str) -> DataFrame:
+        """The rows of one key; none if it is not committed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._entry(key)}/_SUCCESS")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._entry(key))
+
+    def drop(self, key: str) -> None:
+        """Remove the rows of one key."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._entry(key))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def table(self, among: set[str] | None = None) -> DataFrame:
+        """``entry, progress`` and the logged columns of all committed keys, or of those ``among`` the given ones."""
+        done = sorted(self.keys() if among is None else self.keys() & among)
         if not done:
             return self.spark.createDataFrame([], self._full)
         names = self._full.names

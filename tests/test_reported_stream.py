@@ -1,0 +1,111 @@
+"""Live windows from the previous report against the sequential rule over the whole log."""
+
+import datetime as dt
+import os
+import random
+
+import pytest
+from test_reported import START, plain
+
+from adlens.streaming import reported as SW
+from adlens.streaming import throughput as ST
+
+SECOND = 1_000_000
+
+
+def us(x):
+    return round((x - START) / dt.timedelta(microseconds=1))
+
+
+def write_file(spark, folder, i, micros, failed=()):
+    """One file of the log; the file source takes files by their time of change."""
+    rows = [(START + dt.timedelta(microseconds=t), s) for ts, s in ((micros, "ok"), (failed, "error")) for t in ts]
+    spark.createDataFrame(rows, "ts timestamp_ntz, status string").coalesce(1).write.parquet(f"{folder}/part{i}")
+    local = f"{folder}/part{i}".removeprefix("file:")
+    for name in os.listdir(local):
+        os.utime(f"{local}/{name}", (1_700_000_000 + 10 * i,) * 2)
+
+
+def run(spark, folder, log, checkpoint):
+    stream = (ST.stream_session(spark).readStream.schema("ts timestamp_ntz, status string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(folder))
+    SW.run_reported(stream, log, checkpoint, timeout_seconds=300)
+
+
+def rows(df):
+    return sorted((us(r[0]), us(r[1]), r[2], r[3]) for r in df.collect())
+
+
+def tail(micros, done):
+    """The open window behind the reports."""
+    n = len(micros) - sum(r[2] for r in done)
+    since = max([r[1] for r in done], default=min(micros))
+    span = max(micros) - since
+    return [(since, max(micros), n, n * SECOND // span if span else None)] if n else []
+
+
+def test_batches_restart_and_flush(spark, tmp_table_dir):
+    rnd = random.Random(5)
+    t, micros = 0, []
+    for _ in range(240):
+        t += rnd.choice([0, 1, 1000, 30_000, 400_000, 999_999, SECOND, 9 * SECOND])
+        micros.append(t)
+    # disorder within the delay: places move by up to 8, at most 72 seconds
+    order = [x for _, x in sorted((i + rnd.uniform(0, 8), x) for i, x in enumerate(micros))]
+    folder, checkpoint = f"{tmp_table_dir}/in", f"{tmp_table_dir}/checkpoint"
+    log = SW.ReportedLog(spark, f"{tmp_table_dir}/log", 1, 80, piece_events=16)
+    for i in range(2):
+        write_file(spark, folder, i, order[60 * i:60 * i + 60], failed=[t // 2])
+    run(spark, folder, log, checkpoint)
+    seen = sorted(order[:120])
+    horizon = seen[-1] - 80 * SECOND
+    assert rows(log.read()) == [r for r in plain(seen, SECOND) if r[1] < horizon]
+    for i in range(2, 4):
+        write_file(spark, folder, i, order[60 * i:60 * i + 60])
+    again = SW.ReportedLog(spark, f"{tmp_table_dir}/log", 1, 80, piece_events=16)  # another run goes on
+    run(spark, folder, again, checkpoint)
+    want = plain(micros, SECOND)
+    closed = rows(again.read())
+    assert closed == [r for r in want if r[1] < micros[-1] - 80 * SECOND] and again.late() == 0
+    flushed = again.flush()
+    rest = rows(flushed.where("closed").drop("closed"))
+    assert closed + rest == want
+    assert rows(flushed.where("not closed").drop("closed")) == tail(micros, want)
+    assert rows(again.read()) == closed  # a flush writes nothing
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_table_dir):
+    log = SW.ReportedLog(spark, f"{tmp_table_dir}/log", 1, 2)
+    batches = [[0, 400_000, 1_500_000, 4 * SECOND], [3 * SECOND, 5 * SECOND, 9 * SECOND], [9 * SECOND, 20 * SECOND]]
+    frames = [spark.createDataFrame([(START + dt.timedelta(microseconds=t), "ok") for t in b], "ts timestamp_ntz, status string")
+              for b in batches]
+    write = log.sink()
+    for i, f in enumerate(frames):
+        write(f, i)
+        first = rows(log.read()), rows(log.flush().drop("closed"))
+        write(f, i)
+        assert (rows(log.read()), rows(log.flush().drop("closed"))) == first
+    every = [t for b in batches for t in b]
+    want = plain(every, SECOND)
+    assert sorted(rows(log.read()) + rows(log.flush().where("closed").drop("closed"))) == want
+    with pytest.raises(RuntimeError):
+        write(frames[0], 7)  # a checkpoint that runs ahead of the log
+
+
+def test_late_requests_are_counted(spark, tmp_table_dir):
+    log = SW.ReportedLog(spark, f"{tmp_table_dir}/log", 1, 2)
+    frame = lambda *ts: spark.createDataFrame([(START + dt.timedelta(microseconds=t), "ok") for t in ts],
+                                              "ts timestamp_ntz, status string")
+    write = log.sink()
+    write(frame(), 0)  # an empty batch
+    assert rows(log.read()) == [] and log.flush().count() == 0 and log.late() == 0
+    write(frame(0, SECOND, 10 * SECOND), 1)
+    write(frame(5 * SECOND, 9 * SECOND, 13 * SECOND), 2)  # the first is behind the horizon of 8 s
+    assert log.late() == 1
+    assert sorted(rows(log.read()) + rows(log.flush().where("closed").drop("closed"))) == plain(
+        [0, SECOND, 9 * SECOND, 10 * SECOND, 13 * SECOND], SECOND)
+
+
+def test_nothing_yet(spark, tmp_table_dir):
+    log = SW.ReportedLog(spark, f"{tmp_table_dir}/log")
+    assert log.read().count() == 0 and log.flush().count() == 0 and log.late() == 0
