@@ -11,7 +11,9 @@ query's best.
 
 Equal vectors are one point of the index (with the few smallest ids that can
 matter), so copies never crowd a leaf; a leaf of more than ``BLOCK`` points is
-dealt out as several blocks.  The forest is bounded by ``TREES * 2 * SAMPLE /
+dealt out as several blocks, and so are the queries that visit a leaf beyond
+``ASKED``: a task holds one block of each and scores ``SLICE`` queries at a
+time, however many vectors and queries meet in a dense region.  The forest is bounded by ``TREES * 2 * SAMPLE /
 LEAF`` nodes, and so is its broadcast; the leaf counts that reach the driver
 likewise.
 
@@ -38,6 +40,8 @@ from ..session import write_table
 # case, and what the synthetic table holds) that finds over nine tenths of the
 # true neighbours at every table size, as the number of leaves is bounded.
 TREES, LEAF, LEAVES, SAMPLE, BLOCK = 16, 128, 288, 50_000, 4096
+#: Queries of a leaf that one task holds, and those it scores at a time.
+ASKED, SLICE = 16_384, 256
 SEED = 11
 
 
@@ -233,33 +237,43 @@ def nearest(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embe
     wanted = write_table(asked_points.select("query", "packed").repartition(F.col("query"))
                          .mapInArrow(visit, "tree long, leaf long, point long").withColumnRenamed("point", "query"), "ann-visits")
 
-    # one row per leaf that holds more than a block: bounded like the forest
-    blocks = (placed.groupBy("tree", "leaf").count().where(F.col("count") > BLOCK)
-              .select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    blocks = F.broadcast(blocks)
-    one = F.coalesce("blocks", F.lit(1))
-    left = (placed.join(wanted.select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
-            .join(blocks, ["tree", "leaf"], "left")
-            .withColumn("block", F.pmod(F.xxhash64("point"), one)).drop("blocks")
-            .join(pts.select("point", "packed"), "point"))
-    right = (wanted.join(blocks, ["tree", "leaf"], "left")
-             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (one - 1).cast("long")))).drop("blocks")
-             .join(asked_points, "query"))
+    # one row per leaf that holds more than a block, of points or of queries: bounded like the forest
+    def dealt(rows, most, name):
+        return F.broadcast(rows.groupBy("tree", "leaf").count().where(F.col("count") > most)
+                           .select("tree", "leaf", F.ceil(F.col("count") / most).cast("int").alias(name)))
+
+    def spread(rows, key):
+        """Every row in one block of its own side (``own``) and with each block of the other side."""
+        own, other = ("blocks", "parts") if key == "point" else ("parts", "blocks")
+        return (rows.join(blocks, ["tree", "leaf"], "left").join(parts, ["tree", "leaf"], "left")
+                .withColumn(own[:-1], F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("long"))
+                .withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(other, F.lit(1)) - 1).cast("long"))))
+                .drop("blocks", "parts"))
+
+    blocks, parts = dealt(placed, BLOCK, "blocks"), dealt(wanted, ASKED, "parts")
+    left = spread(placed.join(wanted.select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi"), "point").join(
+        pts.select("point", "packed"), "point")
+    right = spread(wanted, "query").join(asked_points, "query")
 
     def rerank(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         """Each query's best k + 1 points of the block, ties all."""
+        none = pd.DataFrame({"query": [], "point": [], "score": []}).astype(
+            {"query": "int64", "point": "int64", "score": "float64"})
         if len(here) == 0 or len(there) == 0:
-            return pd.DataFrame({"query": [], "point": [], "score": []}).astype(
-                {"query": "int64", "point": "int64", "score": "float64"})
+            return none
         x, y = _rows(here["packed"]), _rows(there["packed"])
-        rough = _unit(y) @ _unit(x).T
-        n = min(k + 1, len(x))
-        floor = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 1e-9
-        q, p = np.nonzero(rough >= floor[:, None])
-        return pd.DataFrame({"query": there["query"].to_numpy()[q], "point": here["point"].to_numpy()[p],
-                             "score": cosine(y[q], x[p])})
-
-    keys = ["tree", "leaf", "block"]
+        points_, queries_ = here["point"].to_numpy(), there["query"].to_numpy()
+        unit, n = _unit(x).T, min(k + 1, len(x))
+        out = []
+        for at in range(0, len(y), SLICE):
+            some = y[at:at + SLICE]
+            rough = _unit(some) @ unit
+            floor = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - 1e-9
+            q, p = np.nonzero(rough >= floor[:, None])
+            out.append(pd.DataFrame({"query": queries_[at + q], "point": points_[p], "score": cosine(some[q], x[p])}))
+        return pd.concat(out)
+
+    keys = ["tree", "leaf", "block", "part"]
     scored = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
               .applyInPandas(rerank, "query long, point long, score double"))
     best = scored.groupBy("query", "point").agg(F.max("score").alias("score"))

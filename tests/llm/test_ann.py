@@ -45,6 +45,18 @@ def test_every_leaf_gives_exact_answers(spark):
     assert rows == exact(vectors, lambda q: q % 10 == 0, 5)
 
 
+def test_a_crowded_leaf_is_many_tasks(spark, monkeypatch):
+    """Points and queries of one leaf beyond a block: every pair of blocks meets once."""
+    monkeypatch.setattr(A, "BLOCK", 16)
+    monkeypatch.setattr(A, "ASKED", 8)
+    monkeypatch.setattr(A, "SLICE", 3)
+    rng = np.random.default_rng(4)
+    vectors = [(i, v) for i, v in enumerate(np.round(rng.standard_normal((120, 6)), 3).tolist())]
+    got = A.nearest(table(spark, vectors), F.col("vec_id") % 2 == 0, leaf=1000)  # one leaf a tree
+    rows = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got.collect())
+    assert rows == exact(vectors, lambda q: q % 2 == 0, 5)
+
+
 def test_few_rows(spark):
     for n in (0, 1, 3):
         vectors = [(i * 10, [1.0 + i, 2.0]) for i in range(n)]
