@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 from ..operators import clustering as C
 from ..operators import features as FT
 from ..operators import forest_table as FO
+from ..operators import group_lists as GL
 from ..operators import keywords as K
 from ..operators import regression as R
 from ..operators import reported as RP
 from ..operators import requests as RQ
+from ..operators import sketches as SK
 from ..operators import tree_model as TM
 from ..sources import tables as TB
 from ..sources import incremental as IN
@@ -41,6 +43,7 @@ FIXED_WEIGHT_IMPRESSION = 0.001
 FIXED_WEIGHT_MAX_CPC = 10.0
 BASE_URL = RQ.DEFAULT_BASE_URL
 WINDOW_SECONDS = 3600
+DAY_SECONDS = 24 * 3600
 WATERMARK = "1 hour"
 TOP_N = 20
 SEED = 42
@@ -190,6 +193,17 @@ def campaign_keyword_groups(spark, sf):
 
 # ---- clustering with fixed centres ----------------------------------------------------
 
+#: Records per segment in the checks, where campaigns are small.
+LIST_SEGMENT = 16
+
+
+@query
+def keyword_lists(spark, sf):
+    """A3: each campaign's keywords in record order, in segments."""
+    lists = GL.keyword_lists(TB.keyword_rows_in_order(spark, sf), ["order_key"], LIST_SEGMENT)
+    return lists.select("client_id", "account_id", "segment", "n", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query
 def assign_clusters_1d(spark, sf):
     """M5: nearest fixed 1-D centre (K=21) per keyword count."""
@@ -692,6 +706,23 @@ def latency_summary(spark, sf):
                     r6("p99_ms").alias("p99_ms"))
 
 
+@query
+def latency_merged(spark, sf):
+    """Hourly sketch states of three batches, one of them given twice, merged to days and to the whole
+    log; whether each percentile's exact rank is within the bound."""
+    log = TB.request_log(spark, sf)
+    zone = "timestamp_ntz" if isinstance(log.schema["ts"].dataType, T.TimestampNTZType) else "timestamp"
+    kept = SK.LatencyLog(spark, staging_path(spark, "latency-states"), WINDOW_SECONDS, zone=zone)
+    for batch in (0, 1, 1, 2):
+        kept.add(f"batch-{batch}", log.where(F.pmod(F.xxhash64("visitor_id", "ts"), F.lit(3)) == batch))
+    spans = []
+    for name, width in (("day", DAY_SECONDS), ("all", None)):
+        spans.append(SK.within_rank_error(log, materialize(kept.report(width)), width).select(
+            F.lit(name).alias("span"), "window_start", "window_end", "requests", r6("mean_ms").alias("mean_ms"), "min_ms", "max_ms",
+            "p50_ms_within", "p95_ms_within", "p99_ms_within"))
+    return spans[0].unionByName(spans[1])
+
+
 def _stream(spark, sf, width):
     events = TB.table(spark, sf, "events")
     stream = ST.read_stream(ST.stream_session(spark), sf, events.schema, glob="events.parquet")

@@ -286,6 +286,16 @@ SELECT round(CAST(weight AS DOUBLE), 6) AS label, round(age / 12.0, 6) AS age_ye
 SELECT round(CAST(age AS DOUBLE), 6) AS label, round(high / 12.0, 6) AS x, round(weight / 100.0, 6) AS y,
        round(high / 12.0, 6) AS feature_1, round(weight / 100.0, 6) AS feature_2 FROM ab"""
 
+    # every record has one place in its campaign's list
+    q["keyword_lists"] = """WITH placed AS (
+  SELECT '0' || CAST(l_suppkey AS VARCHAR) AS client_id, 'naccount' || CAST(l_linenumber AS VARCHAR) AS account_id,
+         CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_type END AS keyword,
+         row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey,
+           CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_type END) - 1 AS place
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R')
+SELECT client_id, account_id, place // 16 AS segment, count(*) AS n, string_agg(keyword, '|' ORDER BY place) AS keywords
+FROM placed GROUP BY client_id, account_id, place // 16"""
+
     q["model_roundtrip"] = q["assign_clusters_1d"]
     q["metrics_log"] = q["dispersion_fixed_centres"]
     q["select_best_centres"] = f"""SELECT * FROM ({q["dispersion_fixed_centres"]})
@@ -362,6 +372,16 @@ SELECT count(*) AS requests, round(avg(latency_ms), 6) AS mean_ms, min(latency_m
        round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms
 FROM requests WHERE status <> 'error'"""
 
+    # the sketches are random; what must hold of them is the bound on their ranks
+    days = """SELECT 'day' AS span, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+       latency_ms FROM requests WHERE status <> 'error' AND ts IS NOT NULL"""
+    every = """SELECT 'all', date_trunc('hour', min(ts) OVER ()), date_trunc('hour', max(ts) OVER ()) + INTERVAL 1 HOUR,
+       latency_ms FROM requests WHERE status <> 'error' AND ts IS NOT NULL"""
+    q["latency_merged"] = _with(REQUESTS) + f""", spans AS ({days} UNION ALL {every})
+SELECT span, window_start, window_end, count(*) AS requests, round(avg(latency_ms), 6) AS mean_ms, min(latency_ms) AS min_ms,
+       max(latency_ms) AS max_ms, true AS p50_ms_within, true AS p95_ms_within, true AS p99_ms_within
+FROM spans GROUP BY span, window_start, window_end"""
+
     # Closed windows only: append mode emits a window once the watermark
     # (latest event time - 1 hour) has passed its end.
     q["throughput_stream"] = _with(REQUESTS) + """,

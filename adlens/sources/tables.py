@@ -32,14 +32,25 @@ def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    return joined.select(
+    return joined.select(*_keyword_record(), F.col("l_quantity").alias("quota_impression"))
+
+
+def _keyword_record() -> list:
+    """Campaign, keyword and state of a line item and its part."""
+    return [
         F.concat(F.lit("0"), F.col("l_suppkey").cast("string")).alias("client_id"),
         F.concat(F.lit("naccount"), F.col("l_linenumber").cast("string")).alias("account_id"),
         F.when(F.col("p_size") % 2 == 0, F.col("p_name"))
         .otherwise(F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type"))).alias("keyword"),
         F.when(F.col("l_returnflag") == "R", F.lit("paused")).otherwise(F.lit("enabled")).alias("state"),
-        F.col("l_quantity").alias("quota_impression"),
-    )
+    ]
+
+
+def keyword_rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword records with ``order_key``: line items in the order of their orders."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return li.join(part, li.l_partkey == part.p_partkey, "inner").select(*_keyword_record(), F.col("l_orderkey").alias("order_key"))
 
 
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
