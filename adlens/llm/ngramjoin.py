@@ -56,8 +56,8 @@ BUCKET_BYTES = 16 << 20
 HELD = 400_000
 #: Members of a leader that one task holds, times the leader's shingles.
 MEMBER_CELLS, MEMBERS = 8 << 20, 1024
-#: 64-bit words of the filter in front of the second reading of the texts.
-FILTER_WORDS = 1 << 18
+#: Most 64-bit words of the filter in front of the second reading of the texts.
+FILTER_WORDS = 1 << 20
 
 
 @dataclass
@@ -298,15 +298,44 @@ def _stars(entries: DataFrame, row_rep: DataFrame) -> DataFrame:
 
 
 def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose id is not in ``ids``: a bit table of
-    fixed size (``FILTER_WORDS`` long words) is broadcast; the exact join follows."""
-    word = F.expr(f"pmod(shiftright(xxhash64(doc_id), 6), {FILTER_WORDS})")
+    """``docs`` without most rows whose id is not in ``ids``: a bit table of about 16 bits
+    for each id, ``FILTER_WORDS`` long words at most, is broadcast; the exact join follows."""
+    words = max(1 << 12, min(FILTER_WORDS, ids.count() // 4))
+    word = F.expr(f"pmod(shiftright(xxhash64(doc_id), 6), {words})")
     bit = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")
     table = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     return (docs.join(F.broadcast(table), word == F.col("_word"))
             .where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits"))
 
 
+def _texts_of(docs: DataFrame, goals: DataFrame, width: int) -> DataFrame:
+    """(text, node, goals): the texts of the sets in ``goals``.
+
+    The set's key is part of the join, so rows without ids, or of one id, meet only the goals of
+    their own set; rows that repeat within a batch go on once.
+    """
+    def key(batches):
+        for b in batches:
+            seen, ids = set(), b.column(0)
+            for c in chunks(b.column(1)):
+                h, offsets, _ = shingles(c, width)
+                k1, k2 = (k.view(np.int64) for k in set_keys(h, offsets))
+                id_ = ids.slice(c.first, c.n).to_pylist()
+                keep = []
+                for i, name in enumerate(zip(id_, k1.tolist(), k2.tolist())):
+                    if offsets[i] < offsets[i + 1] and name not in seen:
+                        seen.add(name)
+                        keep.append(i)
+                at = np.array(keep, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + c.first)), b.column(1).take(pa.array(at + c.first)),
+                                                  pa.array(k1[at]), pa.array(k2[at])], ["_id", "text", "_k1", "_k2"])
+
+    read = _filtered(docs, goals.select("doc_id"))
+    keyed = map_batches(read.select("doc_id", "text"), key, "_id long, text string, _k1 long, _k2 long")
+    return (keyed.join(goals, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+            .select("text", "node", "goals"))
+
+
 class _Members:
     """A leader's members: their sizes, what they kept of it and added to it."""
 
@@ -428,23 +457,18 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
              .agg(F.collect_list(F.struct("leader", "block", "blocks")).alias("goals")))
     goals = write_table(goals.join(info.withColumnRenamed("row", "node"), "node")
                         .select("node", "doc_id", "k1", "k2", "goals"), "ngram-goals")
-    needed = goals.select(F.col("doc_id").alias("_id"), "node", "k1", "k2", "goals")
-    read = _filtered(docs, goals.select("doc_id"))
-    read = read.join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "k1", "k2", "goals")
+    read = _texts_of(docs, goals, width)
 
     def deal(batches):
         for b in batches:
-            nodes, k1, k2, goals_ = (b.column(i).to_pylist() for i in range(1, 5))
+            nodes, goals_ = b.column(1).to_pylist(), b.column(2).to_pylist()
             for c in chunks(b.column(0)):
                 h, offsets, _ = shingles(c, width)
-                own1, own2 = set_keys(h, offsets)
                 out = []
                 for i in range(c.n):
                     j = c.first + i
-                    # another text may have the same id: only the set itself goes on
-                    if own1[i].astype(np.int64) == k1[j] and own2[i].astype(np.int64) == k2[j]:
-                        raw = h[offsets[i]:offsets[i + 1]].astype("<u8").tobytes()
-                        out += [(g["leader"], g["block"], g["blocks"], nodes[j], raw) for g in goals_[j]]
+                    raw = h[offsets[i]:offsets[i + 1]].astype("<u8").tobytes()
+                    out += [(g["leader"], g["block"], g["blocks"], nodes[j], raw) for g in goals_[j]]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
@@ -478,9 +502,19 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
     sorted_ = dealt.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("node") != F.col("leader"), "node")
     first = write_table(map_batches(sorted_, resolve, _RESOLVED), "ngram-links")
 
-    # members of one leader in several blocks: block against block
-    across = (first.where("kind = 1")
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    # members of one leader in several blocks: only unlinked members have anything left to
+    # answer, so they go to every other block and linked ones to the blocks that have unlinked ones
+    left = (first.where("kind = 1 AND NOT linked").groupBy("a")
+            .agg(F.collect_set("block").alias("open"), F.max("blocks").alias("_blocks")))
+    left = write_table(left, "ngram-open")
+    found = first.where("kind = 0").select("a", "b")
+    if left.isEmpty():
+        return found
+    # by block as well, so that the members of a large leader are not one key
+    left = left.select("a", "open", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    others = F.when(F.col("linked"), F.col("open")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    across = (first.where("kind = 1").join(left, ["a", "block"])
+              .withColumn("other", F.explode(others)).where("other <> block")
               .select("a", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                       "block", "b", "n", "linked", "kept", "added"))
 
@@ -517,7 +551,7 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
 
     more = map_batches(across.repartition("a", "lo", "hi").sortWithinPartitions("a", "lo", "hi", "block", "b"),
                        cross, "a long, b long")
-    return first.where("kind = 0").select("a", "b").unionByName(more)
+    return found.unionByName(more)
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

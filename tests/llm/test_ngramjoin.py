@@ -113,6 +113,37 @@ def test_keep_one_of_many_without_ids(spark):
     assert len(got) == 20 and len({x.split("w0")[0] for x in got}) == 20
 
 
+def test_rows_without_ids_meet_their_own_goals_only(spark, monkeypatch):
+    """Pairs of near copies, none with an id: as many rows come out of the join of texts and goals as there are goals."""
+    rows = [(None, " ".join(f"t{i // 2}w{k}" for k in range(30)) + (" end" if i % 2 else "")) for i in range(3000)]
+    seen, texts_of = [], ngramjoin._texts_of
+
+    def spy(df, goals, width):
+        out = texts_of(df, goals, width).cache()
+        seen.append((goals.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_texts_of", spy)
+    assert len(kept(docs(spark, rows).repartition(4))) == 1500
+    assert seen == [(3000, 3000)]
+
+
+@pytest.mark.parametrize("far", [0, 1, 25])
+def test_blocks_meet_where_members_are_unlinked(spark, monkeypatch, far):
+    """One large family in many blocks, of which ``far`` members are too far from each other's leader."""
+    rng = random.Random(far)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(150)]
+    for i in range(far):
+        w = list(base)
+        for k in rng.sample(range(120), 4):
+            w[k] = f"far{i}x{k}"
+        rows.append((500 + i, " ".join(w)))
+        rows.append((600 + i, " ".join(w + ["more"])))
+    monkeypatch.setattr(ngramjoin, "MEMBERS", 9)
+    assert got(docs(spark, rows).repartition(3), 4, 85) == plain_groups(rows, 4, 85)
+
+
 def test_size_classes_cover_every_pair():
     for percent in (50, 80, 85, 95):
         c = ngramjoin.Classes.of(percent, 10_000)
