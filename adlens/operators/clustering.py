@@ -147,6 +147,27 @@ def dispersion(stats: DataFrame, centres: ClusterCentres | KMeansModel,
     return stats.agg(F.avg(F.abs(x - c.coordinate(cid, dim))).alias("dispersion"))
 
 
+def members_report(stats: DataFrame, centres: ClusterCentres | KMeansModel,
+                   features: Sequence[str] = ONE_D, dim: int = 0) -> DataFrame:
+    """What the members say of a fit, without its model: one row ``members, clusters, drift, cost, dispersion``.
+
+    ``drift`` is the largest distance of a centre's coordinate from the mean of its members, as a
+    share of the coordinate (or of 1, if less); ``cost`` the sum of squared distances to the assigned
+    centres, ``dispersion`` the mean absolute distance to them along ``dim``.
+    """
+    c = centres_of(centres)
+    rows = stats.select(*features, c.assign(features).alias("cluster_id"))
+    off = [F.col(f) - c.coordinate("cluster_id", i) for i, f in enumerate(features)]
+    groups = rows.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("members"), F.sum(sum((x * x for x in off[1:]), off[0] * off[0])).alias("cost"),
+        F.sum(F.abs(off[dim])).alias("away"), *[F.avg(f).alias(f"mean_{i}") for i, f in enumerate(features)])
+    drifts = [F.abs(F.col(f"mean_{i}") - c.coordinate("cluster_id", i)) / F.greatest(F.lit(1.0), F.abs(c.coordinate("cluster_id", i)))
+              for i in range(len(features))]
+    return groups.agg(F.sum("members").alias("members"), F.count(F.lit(1)).alias("clusters"),
+                      F.max(F.greatest(*drifts) if len(drifts) > 1 else drifts[0]).alias("drift"),
+                      F.sum("cost").alias("cost"), (F.sum("away") / F.sum("members")).alias("dispersion"))
+
+
 def _fit_and_score(stats: DataFrame, k: int, features: Sequence[str], max_iter: int,
                    seed: int, dim: int) -> tuple[ClusterCentres, float, float]:
     t0 = time.perf_counter()

@@ -28,7 +28,7 @@ from ..sources import tables as TB
 from ..sources import incremental as IN
 from ..sources import text as TX
 from ..sources.runlog import RunLog
-from ..session import in_staging, materialize, modified, staging_path
+from ..session import in_parallel, in_staging, materialize, modified, staging_path
 from ..streaming import reported as SW
 from ..streaming import responses as SR
 from ..streaming import throughput as ST
@@ -425,6 +425,30 @@ def kmeans_restarts(spark, sf):
     return _restarts(spark, sf)[0].drop("fit_seconds")
 
 
+@query
+def kmeans_members(spark, sf):
+    """M1 M2 M3: every fit of the sweep and of the restarts, held against its members.
+
+    Each centre must be the mean of the keywords nearest to it, the model's cost and the logged
+    dispersion what these keywords give.
+    """
+    stats = materialize(_stats(spark, sf).select("n", F.col("avg_qi").cast("double").alias("avg_qi")))
+    (sweep, by_k), (restarts, runs) = _sweep(spark, sf), _restarts(spark, sf)
+    # one row per fit
+    fits = [("sweep", r["k"], 0, r["dispersion"], by_k[r["k"]], C.TWO_D) for r in sweep.collect()]
+    fits += [("restart", r["k"], r["run"], r["dispersion"], runs[r["run"]], C.ONE_D) for r in restarts.collect()]
+    found = in_parallel(lambda f: C.members_report(stats, f[4], f[5]).first(), fits, FIT_PARALLELISM)
+
+    def near(x, y):
+        return abs(x - y) <= 1e-6 * max(1.0, abs(y))
+
+    rows = [(kind, k, run, m["members"], m["clusters"] <= k, m["drift"] <= 1e-6,
+             fit.model is None or near(fit.model.summary.trainingCost, m["cost"]), near(logged, m["dispersion"]))
+            for (kind, k, run, logged, fit, _), m in zip(fits, found)]
+    return spark.createDataFrame(rows, "fit string, k int, run int, members long, clusters_within_k boolean, "
+                                       "centres_are_means boolean, cost_follows boolean, dispersion_follows boolean")
+
+
 @query
 def select_best(spark, sf):
     """O3: the restart with the lowest dispersion."""

@@ -304,6 +304,11 @@ ORDER BY dispersion LIMIT 1"""
 SELECT CAST(k AS INTEGER) AS k, true AS centres_within_k, true AS cost_at_most_k1,
        CASE WHEN k = 1 THEN (SELECT round(avg(abs(n - (SELECT avg(n) FROM stats))), 6) FROM stats) END AS dispersion_k1
 FROM range(1, 100, 5) t(k)"""
+    # a converged fit is a fixed point of its own members
+    q["kmeans_members"] = st + """
+SELECT fit, CAST(k AS INTEGER) AS k, CAST(run AS INTEGER) AS run, (SELECT count(*) FROM stats) AS members, true AS clusters_within_k,
+       true AS centres_are_means, true AS cost_follows, true AS dispersion_follows
+FROM (SELECT 'sweep' AS fit, k, 0 AS run FROM range(1, 100, 5) a(k) UNION ALL SELECT 'restart', 21, run FROM range(7) b(run))"""
     q["split_rows"] = _with(*_training_ctes(36, 2)) + """
 SELECT client_id, account_id, CAST(impression AS BIGINT) AS impression,
        CASE WHEN CAST('0x' || substr(md5('42|' || client_id || '|' || account_id || '|'

@@ -84,3 +84,15 @@ def test_keyword_clustering_flow(spark):
     rows = {r.k: r for r in metrics.collect()}
     assert set(rows) == {1, 6} and fits[6].k <= 6 and fits[1].k == 1
     assert rows[1].dispersion == pytest.approx(15.143333, abs=1e-5)   # FIXTURES: K=1 at sf0.001
+
+
+def test_members_report_finds_out_wrong_centres(spark):
+    stats = spark.createDataFrame([(float(n), float(q)) for n, q in [(1, 1), (3, 1), (100, 5), (104, 7), (108, 9)]], "n double, avg_qi double")
+    good = C.ClusterCentres([(2.0, 1.0), (104.0, 7.0)])
+    r = C.members_report(stats, good, C.TWO_D).first()
+    assert (r.members, r.clusters, r.drift, r.cost, r.dispersion) == (5, 2, 0.0, 2.0 + 32 + 8, 2.0)
+    moved = C.members_report(stats, C.ClusterCentres([(2.0, 1.0), (104.0, 7.7)]), C.TWO_D).first()
+    assert moved.drift > 0.05 and moved.cost > r.cost
+    fit = C.fit_kmeans(stats, 2, C.TWO_D)
+    m = C.members_report(stats, fit, C.TWO_D).first()
+    assert m.drift < 1e-9 and abs(m.cost - fit.model.summary.trainingCost) < 1e-6
