@@ -76,27 +76,56 @@ def scale_conf(input_bytes: float, total_cores: int, shuffle_ratio: float = 0.1,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only where it is unset.
 
-    On a cluster the folder must be shared storage named by the cluster in
-    ``spark.checkpoint.dir``; only a local master may fall back to a private
-    temporary folder, and only ``local`` and ``local-cluster`` masters (one
-    machine) may name a ``file:`` folder.
+    On a cluster the folder must be shared storage, named by the cluster in
+    ``spark.checkpoint.dir``; where that is unset it lies in the warehouse, and
+    only a ``local`` master falls back to a private temporary folder.  A
+    ``file:`` folder may be a mount that all machines have, so on a cluster it
+    is tried out (``_holds_all``) and refused where it does not hold what the
+    executors write.  ``local-cluster`` masters are one machine.
     """
     sc = spark.sparkContext
     one_machine = sc.master.startswith("local")
     current = sc.getCheckpointDir()
     if not current:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if not one_machine:
-                raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for it")
-            configured = tempfile.mkdtemp(prefix="adlens-ckpt-")
-        sc.setCheckpointDir(configured)
+        if not configured and sc.master.partition("[")[0] != "local":
+            configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/adlens-checkpoints"
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="adlens-ckpt-"))
         current = sc.getCheckpointDir()
     if not one_machine and current.startswith("file:"):
-        raise RuntimeError(f"the checkpoint folder {current} is local to each machine; name a shared one")
+        refused = f"the checkpoint folder {current} is local to each machine; name a shared one"
+        try:
+            held = _holds_all(spark, current)
+        except Exception as e:  # noqa: BLE001 - whatever keeps the folder from being used
+            raise RuntimeError(refused) from e
+        if not held:
+            raise RuntimeError(refused)
     return current
 
 
+#: Tasks that try a folder out, at most.
+TRIED_BY = 256
+_held: dict[tuple[str, str], bool] = {}
+
+
+def _holds_all(spark: SparkSession, folder: str) -> bool:
+    """Whether all rows that executors write below ``folder`` are found there (tried once an application)."""
+    sc = spark.sparkContext
+    tasks = max(2, min(sc.defaultParallelism, TRIED_BY))
+    key = (sc.applicationId, folder)
+    if key not in _held:
+        path = f"{folder.rstrip('/')}/adlens-staging/tried-{uuid.uuid4().hex}"
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        _held[key] = spark.read.parquet(path).count() == tasks
+        _drop(spark, path)
+    return _held[key]
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
@@ -143,10 +172,8 @@ def staging(spark: SparkSession):
         yield mine
     finally:
         _staged.reset(token)
-        jvm = spark._jvm
         for path in mine:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _drop(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -141,6 +141,34 @@ def test_a_local_folder_is_refused_on_a_cluster():
         S.ensure_checkpoint_dir(Session())
 
 
+def test_a_shared_file_folder_is_used_on_a_cluster(spark, monkeypatch):
+    """A ``file:`` folder that all machines mount holds what executors write; another one is still refused."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    kw = spark.createDataFrame([("01", "a1", "red shoes", "enabled", 4.0), ("01", "a1", "Red Shoes", "enabled", 2.0)],
+                               "client_id string, account_id string, keyword string, state string, quota_impression double")
+    assert [tuple(r) for r in FT.campaign_avg_of_avg(kw).collect()] == [("01", "a1", 1.5)]
+    assert S._held[spark.sparkContext.applicationId, S.ensure_checkpoint_dir(spark)]
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: "file:/proc/no-such-folder")
+    with pytest.raises(RuntimeError):
+        S.staging_path(spark, "lost")
+
+
+def test_an_unset_folder_lies_in_the_warehouse_on_a_cluster():
+    class Context:
+        master, folder = "spark://somewhere:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.sql.warehouse.dir": "hdfs://somewhere/tables"}
+
+    assert S.ensure_checkpoint_dir(Session()) == "hdfs://somewhere/tables/adlens-checkpoints"
+
+
 def test_gram_statistics(spark):
     rng = np.random.default_rng(4)
     x, y = rng.standard_normal((200, 5)), rng.standard_normal(200)
