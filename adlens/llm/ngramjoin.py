@@ -56,6 +56,8 @@ BUCKET_BYTES = 16 << 20
 HELD = 400_000
 #: Members of a leader that one task holds, times the leader's shingles.
 MEMBER_CELLS, MEMBERS = 8 << 20, 1024
+#: Bytes of shingles that are dealt out at once, about: a set goes to each of its goals.
+DEALT_BYTES = 4 << 20
 #: Most 64-bit words of the filter in front of the second reading of the texts.
 FILTER_WORDS = 1 << 20
 
@@ -459,20 +461,28 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
                         .select("node", "doc_id", "k1", "k2", "goals"), "ngram-goals")
     read = _texts_of(docs, goals, width)
 
+    def dealt_rows(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+            ["leader", "block", "blocks", "node", "data"])
+
     def deal(batches):
         for b in batches:
             nodes, goals_ = b.column(1).to_pylist(), b.column(2).to_pylist()
             for c in chunks(b.column(0)):
                 h, offsets, _ = shingles(c, width)
-                out = []
+                out, held = [], 0
                 for i in range(c.n):
                     j = c.first + i
                     raw = h[offsets[i]:offsets[i + 1]].astype("<u8").tobytes()
-                    out += [(g["leader"], g["block"], g["blocks"], nodes[j], raw) for g in goals_[j]]
+                    for g in goals_[j]:
+                        out.append((g["leader"], g["block"], g["blocks"], nodes[j], raw))
+                        held += len(raw)
+                        if held >= DEALT_BYTES:
+                            yield dealt_rows(out)
+                            out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-                        ["leader", "block", "blocks", "node", "data"])
+                    yield dealt_rows(out)
 
     def resolve(batches):
         now, base, blocks_, nodes, sets = None, None, 1, [], []

@@ -15,8 +15,6 @@ from contextlib import contextmanager
 from contextvars import ContextVar, copy_context
 from typing import Any
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,6 +201,9 @@ def fit_layout(df: DataFrame) -> DataFrame:
     number gives the partitions, a hash of all columns the partition, and all
     columns the order, whatever the cores, the session or the input's layout.
     """
+    # not above: they bring pandas, and Python workers that import this module would hold it
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import VectorUDT
     out = materialize(df)
     keys = [vector_to_array(f.name) if isinstance(f.dataType, VectorUDT) else F.col(f.name) for f in out.schema.fields]
     return out.repartition(fit_partitions(out.count()), *keys).sortWithinPartitions(*keys)

@@ -1,5 +1,6 @@
 import os
 import random
+import subprocess
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -162,3 +163,29 @@ def test_components(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     want = {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10} | {100 + i: 100 for i in range(50)} | {i: 500 for i in range(500, 561)}
     assert got == want
+
+
+def test_python_workers_do_not_hold_pandas():
+    """What a worker of the join imports; pandas takes about 50 MB of each worker's memory."""
+    found = subprocess.run([sys.executable, "-c", "import sys, adlens.llm.ngramjoin; print('pandas' in sys.modules)"],
+                           cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True)
+    assert found.stdout.strip().endswith("False"), found.stderr
+
+
+def test_sets_are_dealt_out_in_bounded_batches(spark, monkeypatch):
+    rows = family(random.Random(8), 60, 80, 0.2, 0)
+    want = plain_groups(rows, 3, 80)
+    monkeypatch.setattr(ngramjoin, "DEALT_BYTES", 700)
+    sizes = []
+    map_batches = ngramjoin.map_batches
+
+    def watched(df, function, schema):
+        if function.__name__ != "deal":
+            return map_batches(df, function, schema)
+        batches = df.toArrow().combine_chunks().to_batches()
+        sizes.extend(sum(map(len, b.column(4).to_pylist())) for b in function(iter(batches)))
+        return map_batches(df, function, schema)
+
+    monkeypatch.setattr(ngramjoin, "map_batches", watched)
+    assert got(docs(spark, rows), 3, 80) == want
+    assert len(sizes) > 5 and max(sizes) < 700 + 80 * 8
