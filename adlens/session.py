@@ -79,19 +79,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     only a ``local`` master falls back to a private temporary folder.  A
     ``file:`` folder may be a mount that all machines have, so on a cluster it
     is tried out (``_holds_all``) and refused where it does not hold what the
-    executors write.  ``local-cluster`` masters are one machine.
+    executors write.  Executors of a ``local-cluster`` master are processes of
+    their own: a path may mean another folder to each of them.
     """
     sc = spark.sparkContext
-    one_machine = sc.master.startswith("local")
+    one_process = sc.master.partition("[")[0] == "local"
     current = sc.getCheckpointDir()
     if not current:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and sc.master.partition("[")[0] != "local":
+        if not configured and not one_process:
             configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/adlens-checkpoints"
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="adlens-ckpt-"))
         current = sc.getCheckpointDir()
-    if not one_machine and current.startswith("file:"):
-        refused = f"the checkpoint folder {current} is local to each machine; name a shared one"
+    if not one_process and current.startswith("file:"):
+        refused = f"the checkpoint folder {current} is local to each executor; name a shared one"
         try:
             held = _holds_all(spark, current)
         except Exception as e:  # noqa: BLE001 - whatever keeps the folder from being used

@@ -153,6 +153,32 @@ def test_a_shared_file_folder_is_used_on_a_cluster(spark, monkeypatch):
         S.staging_path(spark, "lost")
 
 
+def test_a_folder_that_executors_do_not_share_is_refused_on_a_local_cluster(spark, monkeypatch):
+    """Rows written there would be missing from later reads."""
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    assert S.ensure_checkpoint_dir(spark).startswith("file:")
+    monkeypatch.setattr(S, "_holds_all", lambda spark, folder: False)
+    with pytest.raises(RuntimeError):
+        S.staging_path(spark, "lost")
+
+
+@pytest.mark.parametrize("kind", ["spark://somewhere:7077", "local-cluster[3,2,3000]"])
+def test_an_unset_folder_lies_in_the_warehouse_on_any_cluster(kind):
+    class Context:
+        master, folder = kind, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.sql.warehouse.dir": "hdfs://somewhere/tables"}
+
+    assert S.ensure_checkpoint_dir(Session()) == "hdfs://somewhere/tables/adlens-checkpoints"
+
+
 def test_an_unset_folder_lies_in_the_warehouse_on_a_cluster():
     class Context:
         master, folder = "spark://somewhere:7077", None
