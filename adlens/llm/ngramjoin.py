@@ -36,6 +36,7 @@ An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import checked_broadcast, write_table
 from .components import components
-from .textkit import chunks, map_batches, mix, shingles
+from .textkit import CHUNK_BYTES, Chunk, chunks, map_batches, mix, shingles
 
 _U = np.uint64
 #: Bytes of index entries that one task sorts, about.
@@ -56,7 +57,7 @@ BUCKET_BYTES = 16 << 20
 HELD = 400_000
 #: Members of a leader that one task holds, times the leader's shingles.
 MEMBER_CELLS, MEMBERS = 8 << 20, 1024
-#: Bytes of shingles that are dealt out at once, about: a set goes to each of its goals.
+#: Bytes of sets that are dealt out at once, about: a set goes to each of its goals.
 DEALT_BYTES = 4 << 20
 #: Most 64-bit words of the filter in front of the second reading of the texts.
 FILTER_WORDS = 1 << 20
@@ -338,6 +339,66 @@ def _texts_of(docs: DataFrame, goals: DataFrame, width: int) -> DataFrame:
             .select("text", "node", "goals"))
 
 
+def _dealt(read: DataFrame, width: int) -> DataFrame:
+    """(leader, block, blocks, node, data, packed): the set of each row once for each of its goals,
+    as its compressed text (``packed``) or as its shingles, whichever takes fewer bytes."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+
+    def dealt_rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)],
+                                          ["leader", "block", "blocks", "node", "data", "packed"])
+
+    def deal(batches):
+        for b in batches:
+            nodes, goals_ = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for c in chunks(b.column(0)):
+                h, offsets, _ = shingles(c, width)
+                out, held = [], 0
+                for i in range(c.n):
+                    j = c.first + i
+                    data = zlib.compress(c.data[c.offsets[i]:c.offsets[i + 1]].tobytes(), 1)
+                    packed = len(data) < 8 * int(offsets[i + 1] - offsets[i])
+                    if not packed:
+                        data = h[offsets[i]:offsets[i + 1]].astype("<u8").tobytes()
+                    for g in goals_[j]:
+                        out.append((g["leader"], g["block"], g["blocks"], nodes[j], data, packed))
+                        held += len(data)
+                        if held >= DEALT_BYTES:
+                            yield dealt_rows(out)
+                            out, held = [], 0
+                if out:
+                    yield dealt_rows(out)
+
+    return map_batches(read, deal, "leader long, block int, blocks int, node long, data binary, packed boolean")
+
+
+def _sets(packed: pa.Array, data: pa.Array, width: int):
+    """The sets of dealt rows, in order; texts are cut into shingles about ``CHUNK_BYTES`` at a time."""
+    held, size = [], 0
+
+    def cut():
+        texts = [raw for is_text, raw in held if is_text]
+        if texts:
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            h, offsets, _ = shingles(Chunk(0, np.frombuffer(b"".join(texts), np.uint8), ends), width)
+        at = 0
+        for is_text, raw in held:
+            if is_text:
+                yield h[offsets[at]:offsets[at + 1]]
+                at += 1
+            else:
+                yield np.frombuffer(raw, "<u8")
+
+    for is_text, value in zip(packed, data):
+        is_text, raw = is_text.as_py(), value.as_py()
+        held.append((is_text, zlib.decompress(raw) if is_text else raw))
+        size += len(held[-1][1])
+        if size >= CHUNK_BYTES:
+            yield from cut()
+            held, size = [], 0
+    yield from cut()
+
+
 class _Members:
     """A leader's members: their sizes, what they kept of it and added to it."""
 
@@ -461,29 +522,6 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
                         .select("node", "doc_id", "k1", "k2", "goals"), "ngram-goals")
     read = _texts_of(docs, goals, width)
 
-    def dealt_rows(out):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-            ["leader", "block", "blocks", "node", "data"])
-
-    def deal(batches):
-        for b in batches:
-            nodes, goals_ = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for c in chunks(b.column(0)):
-                h, offsets, _ = shingles(c, width)
-                out, held = [], 0
-                for i in range(c.n):
-                    j = c.first + i
-                    raw = h[offsets[i]:offsets[i + 1]].astype("<u8").tobytes()
-                    for g in goals_[j]:
-                        out.append((g["leader"], g["block"], g["blocks"], nodes[j], raw))
-                        held += len(raw)
-                        if held >= DEALT_BYTES:
-                            yield dealt_rows(out)
-                            out, held = [], 0
-                if out:
-                    yield dealt_rows(out)
-
     def resolve(batches):
         now, base, blocks_, nodes, sets = None, None, 1, [], []
 
@@ -494,12 +532,12 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
             return _resolved(links, now[0], now[1], blocks_, m if blocks_ > 1 else None)
 
         for b in batches:
-            for leader, block, count, node, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
+            names = zip(*(b.column(i).to_pylist() for i in range(4)))
+            for (leader, block, count, node), s in zip(names, _sets(b.column(5), b.column(4), width)):
                 if (leader, block) != now:
                     if nodes:
                         yield done()
                     now, base, blocks_, nodes, sets = (leader, block), None, count, [], []
-                s = np.frombuffer(raw, "<u8")
                 if node == leader:  # comes first; a repeated row of it comes again
                     base = s
                 elif base is not None and (not nodes or nodes[-1] != node):
@@ -508,8 +546,7 @@ def _links(docs: DataFrame, info: DataFrame, stars: DataFrame, width: int, perce
         if nodes:
             yield done()
 
-    dealt = map_batches(read, deal, "leader long, block int, blocks int, node long, data binary")
-    sorted_ = dealt.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("node") != F.col("leader"), "node")
+    sorted_ = _dealt(read, width).repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("node") != F.col("leader"), "node")
     first = write_table(map_batches(sorted_, resolve, _RESOLVED), "ngram-links")
 
     # members of one leader in several blocks: only unlinked members have anything left to

@@ -145,6 +145,42 @@ def test_blocks_meet_where_members_are_unlinked(spark, monkeypatch, far):
     assert got(docs(spark, rows).repartition(3), 4, 85) == plain_groups(rows, 4, 85)
 
 
+def test_sets_are_dealt_in_few_bytes(spark, monkeypatch):
+    """Families of prose go to their goals in fewer bytes than their shingles take, texts of long
+    words as their shingles, and texts that come from compressed bytes give the sets of the texts."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for k in range(12):
+        base = [rng.choice(vocab) for _ in range(500)]
+        for i in range(10):
+            w = list(base)
+            w[rng.randrange(500)] = f"Own{i}\u00e9"
+            rows.append((100 * k + i, " ".join(w)))
+    passage = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(40))
+    rows += [(5000 + i, f"{passage} end{i % 5}") for i in range(10)]
+    links, dealt, seen = ngramjoin._links, ngramjoin._dealt, []
+
+    def spy(read, width):
+        out = dealt(read, width).cache()
+        for r in out.collect():
+            seen.append((r["packed"], len(r["data"]), r["node"]))
+        return out
+
+    def spy_links(docs_, info, *rest):
+        sizes.update((r["row"], r["n"]) for r in info.collect())
+        return links(docs_, info, *rest)
+
+    sizes = {}
+    monkeypatch.setattr(ngramjoin, "_dealt", spy)
+    monkeypatch.setattr(ngramjoin, "_links", spy_links)
+    monkeypatch.setattr(ngramjoin, "CHUNK_BYTES", 9000)
+    assert got(docs(spark, rows).repartition(3), 4, 85) == plain_groups(rows, 4, 85)
+    assert {packed for packed, *_ in seen} == {True, False}
+    assert all(size <= 8 * sizes[node] for _, size, node in seen)
+    assert sum(size for _, size, _ in seen) < 0.6 * sum(8 * sizes[node] for *_, node in seen)
+
+
 def test_size_classes_cover_every_pair():
     for percent in (50, 80, 85, 95):
         c = ngramjoin.Classes.of(percent, 10_000)
