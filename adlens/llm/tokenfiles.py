@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 
@@ -39,7 +40,9 @@ from .textkit import Chunk, SegmentHasher, chunks, map_batches, ragged
 
 UNIT = 1 << 16
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: New pre-tokens that are joined for the library.
+JOINED = 200
 END_ID = 2
 
 
@@ -47,6 +50,8 @@ class LibraryCodec:
     """Ids of whole chunks by the tokenizers library, one call for the new pre-tokens."""
 
     def __init__(self, spec: str):
+        # Spark's tasks share the cores; threads of the library's own would only cost time
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         added = json.loads(spec).get("added_tokens") or []
@@ -55,12 +60,81 @@ class LibraryCodec:
         self.added = {t["content"].encode(): t["id"] for t in added}
         # of strings that begin at one place the longest
         self.find = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)  # ascending
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        # open addressing by hash; 0 is a free slot
+        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of every hash, -1 if it is not remembered."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (hashes & mask).view(np.int64)
+        there = self.keys.take(slot, mode="clip")
+        out = np.where(there == hashes, self.entry.take(slot, mode="clip"), -1)
+        left = np.flatnonzero((there != hashes) & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & int(mask)
+            there = self.keys[slot]
+            hit = there == hashes[left]
+            out[left[hit]] = self.entry[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New entries, for different hashes that are not remembered."""
+        n, used = self.n + len(hashes), self.used + len(ids)
+        if n > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.starts, self.sizes))
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
+        self.starts[self.n:n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n:n] = sizes
+        self.flat[self.used:used] = ids
+        number = np.arange(self.n, n)
+        self.n, self.used = n, used
+        if 2 * n > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            hashes, number = np.concatenate([self.keys[old], hashes]), np.concatenate([self.entry[old], number])
+            self.keys, self.entry = (np.zeros(1 << (2 * n).bit_length(), x.dtype) for x in (self.keys, self.entry))
+        mask = len(self.keys) - 1
+        slot = (hashes & np.uint64(mask)).view(np.int64)
+        while len(hashes):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]  # one of several
+            left = self.keys[slot] != hashes
+            self.entry[slot[~left]] = number[~left]
+            hashes, number, slot = hashes[left], number[left], (slot[left] + 1) & mask
+
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the pre-tokens, their ids in it, end to end, and the number of each one's ids.
+
+        Between two that do not end in white space a line break is a pre-token
+        of its own, so many are joined by line breaks for one call.
+        """
+        plain = [i for i, x in enumerate(pieces) if not x[-1].isspace()] if self.newline is not None else []
+        order, ids, sizes = [], [], []
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.batch(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, dtype=np.uint32)
+            cut = np.flatnonzero(got == self.newline)
+            if len(cut) == len(group) - 1:
+                order += group
+                ids.append(np.delete(got, cut))
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+        alone = sorted(set(range(len(pieces))) - set(order))
+        for i, e in zip(alone, self.batch([pieces[i] for i in alone], add_special_tokens=False)):
+            order.append(i)
+            ids.append(np.array(e.ids, dtype=np.uint32))
+            sizes.append([len(e.ids)])
+        return np.array(order), np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the chunk, and the offset of each text's ids."""
@@ -84,31 +158,22 @@ class LibraryCodec:
         at, first = boundaries(chunk)
         if len(at) < 2:
             return np.zeros(0, np.uint32), np.zeros(chunk.n + 1, np.int64)
-        keys, one, which = np.unique(SegmentHasher(chunk.data)(at[:-1], at[1:]), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self._forget()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
+        hashes = SegmentHasher(chunk.data)(at[:-1], at[1:])
+        hashes[hashes == 0] = 1
+        entry = self._find(hashes)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, one = np.unique(hashes[missing], return_index=True)
+            if self.n + len(new) > REMEMBERED and self.n:
+                self._forget()
+                return self._ordinary(chunk)
             raw = chunk.data.tobytes()
-            pieces = [raw[at[i]:at[i + 1]].decode() for i in one[new].tolist()]
-            got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in got], dtype=np.int64)
-            starts = len(self.flat) + np.cumsum(sizes) - sizes
-            self.flat = np.concatenate([self.flat, np.array([i for x in got for i in x], dtype=np.uint32)])
-            self.keys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(self.keys, kind="stable")
-            self.keys = self.keys[order]
-            self.starts = np.concatenate([self.starts, starts])[order]
-            self.sizes = np.concatenate([self.sizes, sizes])[order]
-            place = np.searchsorted(self.keys, keys)
-        entry = place[which]
-        counts = self.sizes[entry]
+            order, ids, sizes = self._library([raw[at[i]:at[i + 1]].decode() for i in missing[one].tolist()])
+            self._remember(new[order], ids, sizes)
+            entry[missing] = self._find(hashes[missing])
+        counts = self.sizes.take(entry)
         offsets = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[ragged(self.starts[entry], counts)], offsets[first]
+        return self.flat.take(ragged(self.starts.take(entry), counts)), offsets[first]
 
 
 _UNITS = ("piece int, unit int, first long, n long, doc_ids array<long>, doc_sizes array<long>, "
