@@ -6,8 +6,9 @@ Within a block the coder predicts each id from the ids before it:
 
 * order 2 and order 1: tables of the id last seen after the last two ids, and
   after the last id, each with a confidence;
-* order 0: how often each group of ids has occurred in the block.  Groups are
-  finer for small ids, which are the frequent ones: eight for each power of two.
+* order 0: how often each group of ids has occurred in the block where the
+  candidate was wrong.  Groups are finer for small ids, which are the frequent
+  ones: eight for each power of two.
 
 The order-2 prediction (order 1 where there is none) is the candidate.  Three
 adaptive estimates that it is right -- by the order-2 confidence, by the
@@ -35,7 +36,7 @@ LANES = 2048
 #: Slots of the order-2 and order-1 tables of a block (powers of two).
 SLOTS2, SLOTS1 = 2048, 1024
 #: Ids of a block after which estimates, weights and odds are renewed.
-RENEWALS = [16, 48, 96, 192, *range(384, 1024, 192), *range(1024, BLOCK, 384)]
+RENEWALS = [16, 64, 160, 320, 640, *range(1024, BLOCK, 512)]
 
 #: Ids of each block that the encoder models at once.
 STEPS = 16
@@ -151,10 +152,11 @@ class _Model:
         self.hit = _SQUASH.take(dot.clip(-2047, 2047) + 2048).clip(16, _ONE - 16)
         self.miss = (_ONE - self.hit).astype(np.float32)
 
-    def renew(self, groups: np.ndarray, states: np.ndarray) -> None:
-        """Take in the ids since the last renewal: their groups, and states (with hits behind misses)."""
+    def renew(self, cells: np.ndarray, states: np.ndarray) -> None:
+        """Take in the ids since the last renewal: groups and states by lane (``states`` is used up)."""
         n = self.n
-        self.counts += np.bincount((groups * n + self.lane).reshape(-1), minlength=_N * n).reshape(_N, n) * 24.0
+        np.add(states, _STATES * n, out=states, where=cells >= _N * n)  # those of hits behind those of misses
+        self.counts += np.bincount(cells.reshape(-1), minlength=(_N + 1) * n)[:_N * n].reshape(_N, n) * 24.0
         new = np.bincount(states.reshape(-1), minlength=2 * _STATES * n).reshape(2, 4, 8, n)
         err = new[1] * _ONE - (new[0] + new[1]) * self.hit
         by2 = err.sum(1)
@@ -215,7 +217,7 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     at = m.lane * width
     every = np.zeros((longest + 2, lanes), dtype=np.uint16)
     every[2:] = blocks[:, :longest].T
-    states = np.empty((_LONGEST, lanes), dtype=np.int64)
+    states, cells = np.empty((2, _LONGEST, lanes), dtype=np.int64)
     for begin, end, since, renewal in _spans(longest, STEPS):
         ids = every[begin:end + 2].astype(np.uint32)
         slot2, slot1 = _slots(ids[1:-1], ids[:-2])
@@ -230,12 +232,14 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             _store(m.t1, slot1[t], e1[t], coded[t])
         state, candidate = _look(e2, e1)
         hit = candidate == now
-        state = state * lanes + m.lane
-        np.add(state, hit * (_STATES * lanes), out=states[begin - since:end - since])
+        state = np.multiply(state, lanes, out=states[begin - since:end - since])
+        state += m.lane
         miss = m.miss.take(state, mode="clip").astype(np.float64)
         group = _GROUP.take(now, mode="clip")
         np.copyto(group, _N, where=hit)
-        cell = group * lanes + m.lane
+        cell = cells[begin - since:end - since]
+        np.multiply(group, lanes, out=cell)
+        cell += m.lane
         pair = m.pairs.take(cell, mode="clip")
         below, part = miss * pair.real, np.abs(miss - hit * float(_ONE))
         part *= pair.imag
@@ -271,7 +275,7 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
                 size[lane] *= _WORD
                 lane = lane[size[lane] < _SHORT]
         if renewal:
-            m.renew(_GROUP.take(every[since + 2:end + 2], mode="clip"), states[:end - since])
+            m.renew(cells[:end - since], states[:end - since])
     out[at] = np.ceil(low * 2.0 ** -32)  # all words behind it are zero
     at += 1
     used = at - m.lane * width
@@ -289,7 +293,8 @@ def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """The blocks again: rows of uint16, zero behind each length.
 
-    A damaged block gives ids of no meaning, and so does, inside, a lane behind its length.
+    A damaged block gives ids of no meaning, and so does, inside, a lane behind its length
+    (of any size: tables are read at clipped places).
     """
     lanes = len(payloads)
     longest = int(lengths.max()) if lanes else 0
@@ -304,7 +309,7 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     data, at = data.reshape(-1), m.lane * words + 3
     size = np.full(lanes, 2.0 ** 48)
     out = np.zeros((longest, lanes), dtype=np.uint16)
-    states = np.empty((_LONGEST, lanes), dtype=np.int64)
+    states, cells = np.empty((2, _LONGEST, lanes), dtype=np.int64)
     c1 = c2 = np.zeros(lanes, dtype=np.uint32)
     with np.errstate(all="ignore"):
         for begin, end, since, renewal in _spans(longest, longest):
@@ -313,7 +318,8 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
                 slot2, slot1 = slot2 + m.at2, slot1 + m.at1
                 e2, e1 = m.t2.take(slot2, mode="clip"), m.t1.take(slot1, mode="clip")
                 state, candidate = _look(e2, e1)
-                state = state * lanes + m.lane
+                state = np.multiply(state, lanes, out=states[t - begin])
+                state += m.lane
                 size *= 2.0 ** -24
                 np.floor(size, out=size)
                 miss = size * m.miss.take(state, mode="clip")
@@ -321,7 +327,7 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
                 np.minimum(value, _ONE, out=value)
                 group = m.group(value)
                 hit = value == _ONE
-                cell = group * lanes
+                cell = np.multiply(group, lanes, out=cells[t - begin])
                 cell += m.lane
                 pair = m.pairs.take(cell, mode="clip")
                 code -= miss * pair.real
@@ -336,7 +342,6 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
                 inner += _FIRST.take(group, mode="clip")
                 ids = inner.astype(np.int32)
                 np.copyto(ids, candidate, where=hit)
-                ids &= 0xFFFF
                 go = size < _SHORT
                 shift = _SHIFT.take(go.view(np.int8), mode="clip")
                 code *= shift
@@ -350,13 +355,12 @@ def decode(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
                     size[lane] *= _WORD
                     lane = lane[size[lane] < _SHORT]
                 out[t] = ids
-                np.add(state, hit * (_STATES * lanes), out=states[t - begin])
                 c2, c1 = c1, ids.view(np.uint32)
                 ids = ids << 2
                 _store(m.t2, slot2, e2, ids)
                 _store(m.t1, slot1, e1, ids)
             if renewal:
-                m.renew(_GROUP.take(out[begin:end], mode="clip"), states[:end - begin])
+                m.renew(cells[:end - begin], states[:end - begin])
     out = np.ascontiguousarray(out.T)
     out[np.arange(longest) >= lengths[:, None]] = 0
     return out

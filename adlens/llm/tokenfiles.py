@@ -40,7 +40,7 @@ from .textkit import Chunk, SegmentHasher, chunks, map_batches, ragged
 
 UNIT = 1 << 16
 #: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 #: New pre-tokens that are joined for the library.
 JOINED = 200
 END_ID = 2
@@ -61,13 +61,17 @@ class LibraryCodec:
         # of strings that begin at one place the longest
         self.find = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        blank, newline = ([e.tokens[0] for e in self.tokenizer.encode_batch([x], add_special_tokens=False) if len(e) == 1] for x in " \n")
+        # ids that begin with a blank, and the one of a line break
+        self.led, self.newline = np.zeros(1 << 16, dtype=bool), np.zeros(1 << 16, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if i < 1 << 16 and blank and newline:
+                self.led[i], self.newline[i] = token.startswith(blank[0]), token == newline[0]
         self._forget()
 
     def _forget(self) -> None:
         # open addressing by hash; 0 is a free slot
-        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+        self.keys, self.entry = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32)
         self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
@@ -98,7 +102,7 @@ class LibraryCodec:
         self.starts[self.n:n] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n:n] = sizes
         self.flat[self.used:used] = ids
-        number = np.arange(self.n, n)
+        number = np.arange(self.n, n, dtype=np.int32)
         self.n, self.used = n, used
         if 2 * n > len(self.keys):
             old = np.flatnonzero(self.keys)
@@ -116,19 +120,25 @@ class LibraryCodec:
     def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the pre-tokens, their ids in it, end to end, and the number of each one's ids.
 
-        Between two that do not end in white space a line break is a pre-token
-        of its own, so many are joined by line breaks for one call.
+        Where two do not end in white space, a blank that the second begins with
+        cuts them apart, and so does a line break between them, which is a
+        pre-token of its own.  So many of them are one text for the library.
         """
-        plain = [i for i, x in enumerate(pieces) if not x[-1].isspace()] if self.newline is not None else []
         order, ids, sizes = [], [], []
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.batch(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
-            got = np.array(e.ids, dtype=np.uint32)
-            cut = np.flatnonzero(got == self.newline)
-            if len(cut) == len(group) - 1:
-                order += group
-                ids.append(np.delete(got, cut))
-                sizes.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+        plain = [i for i, x in enumerate(pieces) if not x[-1].isspace()]
+        for between, some in (("", [i for i in plain if pieces[i][0] == " "]), ("\n", [i for i in plain if pieces[i][0] != " "])):
+            groups = [some[i:i + JOINED] for i in range(0, len(some), JOINED)]
+            for group, e in zip(groups, self.batch([between.join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
+                got = np.array(e.ids, dtype=np.uint32)
+                if got.max() >= 1 << 16:
+                    continue
+                cut = np.flatnonzero((self.newline if between else self.led)[got])
+                if between:
+                    got, cut = np.delete(got, cut), np.append(0, cut - np.arange(len(cut)))
+                if len(cut) == len(group) and cut[0] == 0:
+                    order += group
+                    ids.append(got)
+                    sizes.append(np.diff(np.append(cut, len(got))))
         alone = sorted(set(range(len(pieces))) - set(order))
         for i, e in zip(alone, self.batch([pieces[i] for i in alone], add_special_tokens=False)):
             order.append(i)

@@ -111,3 +111,44 @@ def test_added_tokens(spark, library):
     assert library.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
     got = {r["doc_id"]: r["ids"] for r in T.read(T.write(docs(spark, rows).repartition(3), PATH)).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_new_pre_tokens_go_to_the_library_many_at_once(library, monkeypatch):
+    words = [f"w{i:x} é{i} {i}'s 　{i * i}\n\n\t ..{i}" for i in range(900)]
+    texts = [" ".join(words[i:i + 30]) for i in range(0, 900, 30)] * 2
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for remembered in (T.REMEMBERED, 700):  # 700: forgotten again and again
+        monkeypatch.setattr(T, "REMEMBERED", remembered)
+        codec, given, got = T.LibraryCodec(open(PATH, encoding="utf-8").read()), [], []
+        batch = codec.batch
+        codec.batch = lambda x, **k: given.extend(x) or batch(x, **k)
+        for c in chunks(pa.array(texts, pa.string()), 2000):
+            ids, at = codec.encode(c)
+            got += [ids[at[i]:at[i + 1]].tolist() for i in range(c.n)]
+        assert got == want
+        if remembered > 700:
+            assert codec.n > 2000 and len(given) < codec.n / 10
+
+
+def test_small_frequent_ids_take_less_than_their_group_of_256():
+    ids = np.random.default_rng(3).choice([10, 90, 130, 200], 40_000, p=[.7, .1, .1, .1])
+    payloads, checks, sizes = there_and_back(ids)
+    assert sum(map(len, payloads)) < 40_000 * 3.2 / 8
+    assert (R.unpack(payloads, checks, sizes) == ids).all()
+
+
+def test_many_lanes_of_any_length():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 700, 300)
+    blocks = (rng.zipf(1.2, (300, 700)) % 65536).astype(np.uint16)
+    blocks[:60, 50:] = 65535
+    got = R.decode(R.encode(blocks, lengths), lengths)
+    for a, b, n in zip(blocks, got, lengths):
+        assert (a[:n] == b[:n]).all() and not b[n:].any()
+
+
+def test_noise_is_damage():
+    rng = np.random.default_rng(5)
+    payloads = [rng.bytes(2 * n) for n in range(40)] + [b"\xff" * 900]
+    with pytest.raises(ValueError):
+        R.unpack(payloads, [1] * len(payloads), np.full(len(payloads), 3000))
