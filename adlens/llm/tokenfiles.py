@@ -8,7 +8,7 @@ Each unit knows how many ids of its piece come before it; the number of ids
 before a piece follows from one row per piece.
 
 Ids are those of the tokenizers library: it encodes every distinct pre-token
-of a chunk of texts once, and the ids are laid out again for every occurrence
+that the worker does not remember, many in one text, and the ids are laid out again for every occurrence
 (byte-level BPE never merges across pre-tokens).  Strings of the tokenizer's added tokens
 are cut out of the texts first, as the library does; each is its one id.  Its file is read on the
 driver and shipped as a broadcast of bounded size.  Ids of 65536 and more raise an error, as does an added
