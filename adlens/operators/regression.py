@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fit_layout, in_parallel
+from .forest_tasks import Packed, TaskForest, pack_for
 
 # Fixed values of the original linear model: 300 iterations, step 5e-15, no intercept.
 SGD_ITERATIONS = 300
@@ -187,8 +188,13 @@ def fit_forest(train: DataFrame, num_trees: int, max_depth: int, max_bins: int =
                features: str = "features", label: str = "label", *,
                max_memory_mb: int = MAX_MEMORY_MB, cache_node_ids: bool = False,
                checkpoint_interval: int = 10, subsampling_rate: float = 1.0,
-               bootstrap: bool = True) -> RandomForestRegressionModel:
-    """M8: random-forest regressor, variance impurity, all features continuous."""
+               bootstrap: bool = True) -> RandomForestRegressionModel | TaskForest:
+    """M8: random-forest regressor, variance impurity, all features continuous.
+
+    Rows that :func:`for_fits` has packed give a forest grown by tasks, others a ``pyspark.ml`` fit.
+    """
+    if isinstance(train, Packed):
+        return TaskForest(train, num_trees, max_depth, seed, feature_subset, bootstrap, subsampling_rate, features, label)
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, numTrees=num_trees, maxDepth=max_depth,
         maxBins=max_bins, impurity="variance", featureSubsetStrategy=feature_subset,
@@ -196,9 +202,21 @@ def fit_forest(train: DataFrame, num_trees: int, max_depth: int, max_bins: int =
         subsamplingRate=subsampling_rate, bootstrap=bootstrap, seed=seed).fit(train)
 
 
+def for_fits(train: DataFrame | Packed, test: DataFrame | None, max_bins: int, options: dict) -> DataFrame | Packed:
+    """What :func:`fit_forest` is to take for fits of many deep trees: the rows packed for ``forest_tasks`` where they are
+    many and fit a task, else ``train`` as it is.  The grids and repeats call it themselves; given here first, they share it."""
+    if isinstance(train, Packed):
+        return train
+    named = {k: options[k] for k in ("feature_subset", "features", "label") if k in options}
+    return pack_for(train, test, max_bins, **named) or train
+
+
 def _score_forest(train, test, trees, depth, max_bins, seed, options):
     t0 = time.perf_counter()
     model = fit_forest(train, trees, depth, max_bins, seed, **options)
+    if isinstance(model, TaskForest):  # its trees grow while they score
+        score = model.errors().first()["mse"]
+        return model, math.nan if score is None else score, time.perf_counter() - t0
     fit_seconds = time.perf_counter() - t0
     return model, mse_value(model.transform(test)), fit_seconds
 
@@ -210,11 +228,20 @@ def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
 
     Train and test rows are laid out once (``fit_layout``) so every fit rescans
     a short, reliable lineage.  A model is dropped once scored unless
-    ``keep_models``; ``options`` go to :func:`fit_forest`.
+    ``keep_models``; ``options`` go to :func:`fit_forest`.  Forests of packed rows
+    (:func:`for_fits`) with one seed hold each other: all points are scored as the
+    largest grows, with the same trees as fits of their own, and share its seconds.
     """
     if checkpoint_inputs:
         train, test = fit_layout(train), fit_layout(test)
     grid = [(t, d) for t in trees for d in depths]
+    rows = for_fits(train, test, max_bins, options)
+    if isinstance(rows, Packed):
+        res = _grid_together(rows, grid, max_bins, seed, options)
+        metrics = test.sparkSession.createDataFrame(
+            [(t, d, r[1], r[2]) for (t, d), r in zip(grid, res)],
+            "num_trees int, max_depth int, mse double, fit_seconds double")
+        return (metrics, [r[0] for r in res]) if keep_models else metrics
 
     def one(p):
         model, score, seconds = _score_forest(train, test, p[0], p[1], max_bins, seed, options)
@@ -227,6 +254,20 @@ def grid_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
     return (metrics, [r[0] for r in res]) if keep_models else metrics
 
 
+def _grid_together(rows: Packed, grid, max_bins, seed, options):
+    """(model, mse, seconds) of every point, from one growth of the largest forest for each number of features a node takes."""
+    found = {}
+    for alone in (True, False):  # by default a single tree takes all features
+        points = [p for p in grid if (p[0] == 1) == alone]
+        if points:
+            t0 = time.perf_counter()
+            model = fit_forest(rows, max(t for t, _ in points), max(d for _, d in points), max_bins, seed, **options)
+            errors = {(r["num_trees"], r["max_depth"]): r["mse"] for r in model.errors(points).collect()}
+            seconds = time.perf_counter() - t0
+            found |= {p: (fit_forest(rows, *p, max_bins, seed, **options), math.nan if (e := errors.get(p)) is None else e, seconds) for p in points}
+    return [found[p] for p in grid]
+
+
 def repeat_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depths: Sequence[int],
                   max_bins: int = 1024, seeds: Sequence[int] | None = None, parallelism: int = 1,
                   checkpoint_inputs: bool = True, **options):
@@ -234,19 +275,20 @@ def repeat_forest(train: DataFrame, test: DataFrame, trees: Sequence[int], depth
     and the model of lowest test MSE (the first on ties); no other model is kept."""
     if checkpoint_inputs:
         train, test = fit_layout(train), fit_layout(test)
+    rows = for_fits(train, test, max_bins, options)
     runs = [(t, d) for t in trees for d in depths]
     seeds = list(seeds) if seeds is not None else [100 + i for i in range(len(runs))]
     best, lock = [math.inf, len(runs), None], threading.Lock()
 
     def one(i: int):
-        model, score, seconds = _score_forest(train, test, runs[i][0], runs[i][1], max_bins, seeds[i], options)
+        model, score, seconds = _score_forest(rows, test, runs[i][0], runs[i][1], max_bins, seeds[i], options)
         with lock:
             if (score, i) < (best[0], best[1]):
                 best[:] = [score, i, model]
         return score, seconds
 
     res = in_parallel(one, range(len(runs)), parallelism)
-    metrics = train.sparkSession.createDataFrame(
+    metrics = test.sparkSession.createDataFrame(
         [(i, seeds[i], *runs[i], *r) for i, r in enumerate(res)],
         "run int, seed long, num_trees int, max_depth int, mse double, fit_seconds double")
     return metrics, best[2]

@@ -507,8 +507,14 @@ def _forest_rows(spark, sf):
     return _once(spark, sf, "forest-rows", make)
 
 
-def _final_forests(spark, sf):
+def _fit_rows(spark, sf):
+    """What the grids and repeats fit on, and the test rows."""
     train, test = _forest_rows(spark, sf)
+    return _once(spark, sf, "fit-rows", lambda: R.for_fits(train, test, FOREST_BINS, {})), test
+
+
+def _final_forests(spark, sf):
+    train, test = _fit_rows(spark, sf)
     return _once(spark, sf, "final-forests", lambda: R.repeat_forest(
         train, test, *flows.FINAL_FORESTS, max_bins=FOREST_BINS, checkpoint_inputs=False,
         parallelism=FIT_PARALLELISM))
@@ -517,7 +523,7 @@ def _final_forests(spark, sf):
 @query
 def forest_grid(spark, sf):
     """The 12-point forest grid on a stable 70/30 split; test MSE per point."""
-    train, test = _forest_rows(spark, sf)
+    train, test = _fit_rows(spark, sf)
     return R.grid_forest(train, test, *flows.FOREST_GRID_36, FOREST_BINS, SEED, parallelism=FIT_PARALLELISM,
                          checkpoint_inputs=False).drop("fit_seconds")
 
@@ -539,7 +545,7 @@ def forest_residuals(spark, sf):
 def _prefix_log(spark, sf):
     """The 12-point grid from one forest a depth, stopped half way and resumed; its log."""
     def make():
-        train, test = _forest_rows(spark, sf)
+        train, test = _fit_rows(spark, sf)
         path = staging_path(spark, "grid-log")
         for stop in (2, None):  # a new log object finds what the stopped run has committed
             log = RunLog(spark, path, "num_trees int, max_depth int, mse double")
