@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from ..session import checked_broadcast, staging_path
 from . import regression as R
+from .forest_tasks import TaskForest
 
 
-def forest_nodes(model: RandomForestRegressionModel, spark, path: str | None = None) -> DataFrame:
+def forest_nodes(model: RandomForestRegressionModel | TaskForest, spark, path: str | None = None) -> DataFrame:
     """(tree, node, feature, threshold, left_node, right_node, value, rows, gain); leaves have null feature,
     threshold and children.  Rows with ``x[feature] <= threshold`` go left.  The model is saved below ``path``."""
+    if isinstance(model, TaskForest):
+        return model.nodes()
     path = path or staging_path(spark, "forest")
     model.write().overwrite().save(path)
     n = F.col("nodeData")
@@ -89,8 +92,12 @@ def prefix_grid(train: DataFrame, test: DataFrame, trees: Sequence[int], depths:
     Depths that the log holds are not fitted again.  ``stop_after`` ends the run after so many
     fits.  Returns the log's table.
     """
+    rows = R.for_fits(train, test, max_bins, options)
+
     def one(depth):
-        model = R.fit_forest(train, max(trees), depth, max_bins, seed, **options)
+        model = R.fit_forest(rows, max(trees), depth, max_bins, seed, **options)
+        if isinstance(model, TaskForest):  # its trees are scored while they grow
+            return model.errors([(t, depth) for t in trees])
         return prefix_mse(test, forest_nodes(model, train.sparkSession), depth, trees).select(
             "num_trees", F.lit(depth).alias("max_depth"), "mse")
 

@@ -9,6 +9,7 @@ import adlens.operators.forest_table as FO
 import adlens.operators.forest_tasks as FK
 import adlens.operators.regression as R
 from adlens.functions import trees as TR
+from adlens.sources.runlog import RunLog
 
 ROWS, BINS = 900, 64
 
@@ -153,3 +154,12 @@ def test_one_label_gives_single_leaves(data):
     cuts = FK.thresholds(flat, BINS)
     forest = R.fit_forest(FK.Packed(FK.pack(flat, cuts), cuts, ROWS, FK.pack(flat, cuts)), 3, 5, BINS)
     assert forest.totalNumNodes == 3 and forest.errors([(3, 5), (3, 0)]).where("mse = 0").count() == 2
+
+
+def test_prefix_grid_resumes_and_is_the_grid(spark, split, many, tmp_table_dir):
+    train, test = split
+    for stop in (1, None):
+        log = RunLog(spark, tmp_table_dir, "num_trees int, max_depth int, mse double")
+        out = FO.prefix_grid(train, test, [2, 5], [3, 6], log, BINS, 9, stop_after=stop)
+        assert out.count() == (2 if stop else 4)
+    assert near(out, R.grid_forest(train, test, [2, 5], [3, 6], BINS, 9, checkpoint_inputs=False), "num_trees", "max_depth")
