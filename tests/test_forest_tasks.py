@@ -163,3 +163,12 @@ def test_prefix_grid_resumes_and_is_the_grid(spark, split, many, tmp_table_dir):
         out = FO.prefix_grid(train, test, [2, 5], [3, 6], log, BINS, 9, stop_after=stop)
         assert out.count() == (2 if stop else 4)
     assert near(out, R.grid_forest(train, test, [2, 5], [3, 6], BINS, 9, checkpoint_inputs=False), "num_trees", "max_depth")
+
+
+def test_repeats_keep_the_best(split, many):
+    train, test = split
+    metrics, best = R.repeat_forest(train, test, [4, 4], [3, 6], BINS, checkpoint_inputs=False, parallelism=2)
+    rows = metrics.collect()
+    assert len(rows) == 4 and len({r["mse"] for r in rows}) == 4 and [r["seed"] for r in rows] == [100, 101, 102, 103]
+    scored = R.residuals(best.transform(test))
+    assert scored.count() == test.count() and R.mse_value(scored) == pytest.approx(min(r["mse"] for r in rows))
