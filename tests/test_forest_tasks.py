@@ -172,3 +172,16 @@ def test_repeats_keep_the_best(split, many):
     assert len(rows) == 4 and len({r["mse"] for r in rows}) == 4 and [r["seed"] for r in rows] == [100, 101, 102, 103]
     scored = R.residuals(best.transform(test))
     assert scored.count() == test.count() and R.mse_value(scored) == pytest.approx(min(r["mse"] for r in rows))
+
+
+def test_residuals_of_the_best_repeat(spark, many, monkeypatch):
+    """The registered query, with fewer trees, over every test row."""
+    from adlens.plans import catalog as CT
+    from adlens.plans import flows
+    from adlens.session import staging
+    from conftest import SF_SMALL
+    monkeypatch.setattr(flows, "FINAL_FORESTS", ((3, 3), (4,)))
+    with staging(spark):
+        rows = CT.forest_residuals(spark, SF_SMALL).collect()
+        assert len(rows) == CT._forest_rows(spark, SF_SMALL)[1].count() > 0
+        assert all(r["residual"] == r["label"] - r["prediction"] for r in rows) and len({r["prediction"] for r in rows}) > 10
