@@ -185,3 +185,15 @@ def test_residuals_of_the_best_repeat(spark, many, monkeypatch):
         rows = CT.forest_residuals(spark, SF_SMALL).collect()
         assert len(rows) == CT._forest_rows(spark, SF_SMALL)[1].count() > 0
         assert all(r["residual"] == r["label"] - r["prediction"] for r in rows) and len({r["prediction"] for r in rows}) > 10
+
+
+def test_grid_log_of_grown_forests(spark, many, monkeypatch):
+    """The registered query, with a smaller grid: every point once, in the order of the depths, all scored."""
+    from adlens.plans import catalog as CT
+    from adlens.plans import flows
+    from adlens.session import staging
+    from conftest import SF_SMALL
+    monkeypatch.setattr(flows, "FOREST_GRID_36", ((2, 3), (2, 3, 4)))
+    with staging(spark):
+        rows = sorted(map(tuple, CT.grid_log(spark, SF_SMALL).collect()))
+    assert rows == [(i, f"depth-{d}", d, t, 1, True) for i, d in enumerate((2, 3, 4)) for t in (2, 3)]
